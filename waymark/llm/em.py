@@ -36,12 +36,12 @@ class VoteModel:
 
 
 def fit_votes(counts: dict[str, int], rules: int, rounds: int = 50, good_share: float = 0.8,
-              start: tuple[float, float] = (0.99, 0.3), floor: tuple[float, float] = (0.95, 0.1),
+              start: tuple[float, float] = (0.995, 0.3), floor: tuple[float, float] = (0.995, 0.1),
               prior_weight: float = 20.0) -> VoteModel:
     """Fit class share and rule accuracies to pattern counts.
 
     Abstaining tells nothing about the class. Accuracies (on good rows, on bad rows)
-    start at ``start`` and stay at or above ``floor``: good rows pass nearly every rule,
+    start at ``start`` and stay at or above ``floor``: thresholds are set so that a rule fires on few good rows,
     while a bad row may break one and pass the rest. As the floors add to more than 1,
     the classes can't swap. ``prior_weight`` votes at ``start`` are added to each rule,
     which also defines the fit on no data.
