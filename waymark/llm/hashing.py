@@ -20,7 +20,7 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _STEPS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _POWERS = np.ones(1, np.uint64)
 #: Bytes hashed at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def _powers(n: int) -> np.ndarray:

@@ -36,6 +36,8 @@ from waymark.plans.scratch import materialize, release
 
 #: At most so many shingles are ordered last, and nodes with many copies sign once.
 MAX_FREQUENT, MAX_COPIED = 50_000, 100_000
+#: Rows worked on at once in a task.
+SLICE = 1000
 _U = np.uint64
 _SMALL = 16
 
@@ -44,11 +46,17 @@ def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return distinct_runs(*word_hashes(texts.to_pylist()), n)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _sketch(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: key, n_shingles, node; and shingles frequent in a batch as (key = shingle, n_shingles = rows, node null)."""
+    """Per row: key, n_shingles, node; and shingles frequent in a slice as (key = shingle, n_shingles = rows, node null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = _sets(batch.column("text"), n)
             yield pa.RecordBatch.from_arrays([
                 batch.column("key"), pa.array([len(s) for s in sets], pa.int64()),
@@ -131,7 +139,7 @@ def _sign(docs: DataFrame, n: int, g: float, frequent: np.ndarray, copied: dict[
     """``(sig, node)``; of a much-copied node, the row of its smallest key signs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             keys, sets = batch.column("key").to_pylist(), _sets(batch.column("text"), n)
             nodes = [set_key(s) for s in sets]
             own = [i for i, v in enumerate(nodes) if v not in copied or copied[v] == keys[i]]
