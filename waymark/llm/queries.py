@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from waymark.llm.jaccard import jaccard_components
+from waymark.llm.mixing import taken
+from waymark.llm.records import byte_bpe, read_records, write_records
+from waymark.llm.secrets import find_secrets
 from waymark.llm.quality_rules import judge_quality
 
 
@@ -14,6 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """A file of the public tokenizers; WAYMARK_TOKENIZERS names another folder of them."""
+    folder = os.environ.get("WAYMARK_TOKENIZERS")
+    if not folder:
+        folder = importlib.util.find_spec("public_tokenizers").submodule_search_locations[0]
+    return os.path.join(folder, name)
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_records(table(spark, sf_dir, "documents"), byte_bpe(vocabulary("byte_bpe_50k.json")))
+    return read_records(manifest).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -24,6 +51,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mixing": op2_source_mixing,
+    "op4_secret_scan": op4_secret_scan,
+    "op7_token_records": op7_token_records,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
