@@ -15,7 +15,8 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_BYTE[_SPACE] = 0
+_MARK = _SPACE.copy()
+_MARK[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _BASE = _U(0x9E3779B97F4A7C15)
 _STEPS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _POWERS = np.ones(1, np.uint64)
@@ -38,8 +39,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and ``offsets``: text i has those from offsets[i] to offsets[i + 1]."""
+def word_hashes(texts: list[str | None], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and ``offsets``: text i has those from offsets[i] to offsets[i + 1].
+
+    ``marks``: ASCII punctuation separates words like white space does.
+    """
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     offsets, parts, total, at = np.zeros(len(raw) + 1, np.int64), [], 0, 0
     while at < len(raw):
@@ -47,7 +51,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         while end < len(raw) and (end == at or size + len(raw[end]) < CHUNK):
             size += len(raw[end]) + 1
             end += 1
-        h, starts = _hash_words(np.frombuffer(b" ".join(raw[at:end]) + b" ", np.uint8))
+        h, starts = _hash_words(np.frombuffer(b" ".join(raw[at:end]) + b" ", np.uint8), _MARK if marks else _SPACE)
         text_ends = np.cumsum([len(r) + 1 for r in raw[at:end]])
         offsets[at + 1:end + 1] = total + np.searchsorted(starts, text_ends)
         parts.append(h)
@@ -56,8 +60,8 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), offsets
 
 
-def _hash_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    space = _SPACE[buf]
+def _hash_words(buf: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    space = spaces[buf]
     first = ~space
     first[1:] &= space[:-1]
     starts = np.flatnonzero(first)
@@ -68,6 +72,7 @@ def _hash_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at[starts[0]:] -= np.repeat(starts, lengths)
     at[:starts[0]] = 0
     values = _BYTE[buf] * _powers(int(lengths.max()) + 1)[at]
+    values[space] = 0
     return mix(np.add.reduceat(values, starts)), starts
 
 

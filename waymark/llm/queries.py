@@ -9,10 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm.chat import format_chats
+from waymark.llm.decontaminate import contaminated
 from waymark.llm.jaccard import jaccard_components
 from waymark.llm.mixing import taken
 from waymark.llm.records import byte_bpe, read_records, write_records
 from waymark.llm.secrets import find_secrets
+from waymark.llm.sharding import assign_shards
+from waymark.llm.urls import judge_urls
 from waymark.llm.quality_rules import judge_quality
 
 
@@ -28,19 +32,36 @@ def vocabulary(name: str) -> str:
     return os.path.join(folder, name)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_records(table(spark, sf_dir, "documents"), byte_bpe(vocabulary("byte_bpe_50k.json")))
     return read_records(manifest).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "words_covered", "item_words", "coverage")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -51,9 +72,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_source_mixing": op2_source_mixing,
+    "op3_sharding": op3_sharding,
     "op4_secret_scan": op4_secret_scan,
+    "op5_chat_format": op5_chat_format,
     "op7_token_records": op7_token_records,
+    "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
