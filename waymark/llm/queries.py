@@ -13,6 +13,7 @@ from waymark.llm.chat import format_chats
 from waymark.llm.decontaminate import contaminated
 from waymark.llm.jaccard import jaccard_components
 from waymark.llm.mixing import taken
+from waymark.llm.quality_model import score_quality
 from waymark.llm.records import byte_bpe, read_records, write_records
 from waymark.llm.secrets import find_secrets
 from waymark.llm.sharding import assign_shards
@@ -52,6 +53,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_records(table(spark, sf_dir, "documents"), byte_bpe(vocabulary("byte_bpe_50k.json")))
     return read_records(manifest).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_secret_scan": op4_secret_scan,
     "op5_chat_format": op5_chat_format,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_token_records": op7_token_records,
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
