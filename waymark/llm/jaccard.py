@@ -11,9 +11,10 @@ last that hold frequent shingles only, which keeps common passages out of the si
 without touching the guarantee.
 
 Buckets never emit all their pairs. Every member is compared with the bucket's smallest
-node. What then has one component is settled; in the other buckets only members of
-different components that can still reach the threshold, by the number of their shingles
-that any other such document has, are compared.
+node, then, in rounds, with a node of the bucket's largest component. Buckets of one
+component are settled. In the others, nodes that can't reach the threshold by the number
+of their shingles that any other open node has are dropped, and the few that remain are
+compared across components, block by block.
 
 Defined cases: null, empty and blank texts have the empty set and link with nothing; fewer
 words than n make one shingle; equal sets are one node and always link; rows with an equal
@@ -35,9 +36,15 @@ from waymark.plans.components import connected_components
 from waymark.plans.scratch import materialize, release
 
 #: At most so many shingles are ordered last, and nodes with many copies sign once.
-MAX_FREQUENT, MAX_COPIED = 50_000, 100_000
+MAX_FREQUENT, MAX_COPIED = 200_000, 100_000
 #: Rows worked on at once in a task.
 SLICE = 1000
+#: Nodes per block, and shingles per product, in the last comparison.
+BLOCK, WIDE = 128, 16_384
+#: Rounds in which the largest component of a bucket meets the others, before what is left is compared.
+ROUNDS = 2
+#: Slices whose shingles are counted together.
+COUNTED = 4
 _U = np.uint64
 _SMALL = 16
 
@@ -53,19 +60,27 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: key, n_shingles, node; and shingles frequent in a slice as (key = shingle, n_shingles = rows, node null)."""
+    """Per row: key, n_shingles, node; and shingles frequent in some slices as (key = shingle, n_shingles = rows, node null)."""
+
+    def often(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, rows = np.unique(np.concatenate(sets), return_counts=True)
+        many = rows >= max(3, len(sets) // 500)
+        return pa.RecordBatch.from_arrays([
+            pa.array(found[many].view(np.int64)), pa.array(rows[many].astype(np.int64)), pa.nulls(int(many.sum()), pa.int64())], names=["key", "n_shingles", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in _slices(batches):
             sets = _sets(batch.column("text"), n)
             yield pa.RecordBatch.from_arrays([
                 batch.column("key"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_key(s) for s in sets], pa.int64())], names=["key", "n_shingles", "node"])
-            found, rows = np.unique(np.concatenate(sets) if sets else np.empty(0, _U), return_counts=True)
-            often = rows >= max(3, len(sets) // 500)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(found[often].view(np.int64)), pa.array(rows[often].astype(np.int64)),
-                pa.nulls(int(often.sum()), pa.int64())], names=["key", "n_shingles", "node"])
+            held += sets
+            if len(held) >= COUNTED * SLICE:
+                yield often(held)
+                held = []
+        if held:
+            yield often(held)
 
     return docs.mapInArrow(run, "key long, n_shingles long, node long")
 
@@ -230,42 +245,103 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
         a, b = size.toDF("a", "na"), size.toDF("b", "nb")
         return pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
 
-    star = materialize(sized(buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
-    found, texts = _verified(docs, first, star, n, percent)
-    links = materialize(found, "links")
-    release(texts)
-    labels = connected_components(links, "a", "b").toDF("node", "label")
+    def compare(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
+        found, texts = _verified(docs, first, pairs, n, percent)
+        links = materialize(found if links is None else links.unionByName(found), "links")
+        release(texts)
+        return links
 
-    # What the smallest node of a bucket has not settled: members under different labels.
-    w = Window.partitionBy("sig")
-    open_ = (buckets.where("node <> low").join(labels, "node", "left")
-             .select("sig", "node", F.coalesce("label", "node").alias("label"))
-             .withColumn("l0", F.min("label").over(w)).withColumn("l1", F.max("label").over(w))
-             .where("l0 <> l1").select("sig", "node", "label"))
-    open_ = materialize(open_, "open")
-    release(buckets)
-    shared = _possible(docs, first, open_.select("node").distinct(), n)
-    # A partner of size m needs g / (1 + g) (n + m) common shingles, which is at least g n and at least this with the bucket's smallest m.
+    star = buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    checked = star = materialize(sized(star), "pairs")
+    links = compare(star, None)
     need = g / (1 + g)
+    for turn in range(ROUNDS):
+        open_ = materialize(_open(buckets, connected_components(links, "a", "b").toDF("node", "label")), "open")
+        if turn == ROUNDS - 1 or open_.isEmpty():
+            break
+        # the bucket's largest component sends one node, turn by turn another, to meet the members of the others
+        most = Window.partitionBy("sig")
+        led = (open_.withColumn("many", F.count("*").over(Window.partitionBy("sig", "label")))
+               .withColumn("lead", F.max(F.struct("many", F.xxhash64("node", F.lit(turn)), "node", "label")).over(most)))
+        pairs = (led.where(F.col("lead.label") != F.col("label"))
+                 .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+                 .join(checked, ["a", "b"], "left_anti"))
+        pairs = materialize(sized(pairs), "pairs")
+        before, links = links.count(), compare(pairs, links)
+        checked = checked.unionByName(pairs)
+        if links.count() == before:
+            break
+
+    # A partner of size m needs g / (1 + g) (n + m) common shingles: at least g n, and at least this with the bucket's smallest m.
+    shared = _possible(docs, first, open_.select("node").distinct(), n)
+    w = Window.partitionBy("sig")
     alive = (open_.join(size, "node").join(shared, "node").where(F.col("shared") >= g * F.col("n") - 1e-6)
              .withColumn("n0", F.min("n").over(w)).where(F.col("shared") >= need * (F.col("n") + F.col("n0")) - 1e-6)
              .withColumn("l0", F.min("label").over(w)).withColumn("l1", F.max("label").over(w)).where("l0 <> l1")
              .select("sig", "node", "label", "n", "shared"))
     alive = materialize(alive, "open")
-    x, y = (alive.toDF("sig", *[f"{c}_{t}" for c in ("node", "label", "n", "shared")]) for t in "xy")
-    rest = (x.join(y, "sig").where(
-        (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y"))
-        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        & (F.least("shared_x", "shared_y") >= need * (F.col("n_x") + F.col("n_y")) - 1e-6))
-        .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
-    rest = materialize(rest.join(star.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more, texts = _verified(docs, first, rest, n, percent)
-        links = materialize(links.unionByName(more), "links")
-        release(texts)
+    if not alive.isEmpty():
+        links = materialize(links.unionByName(_blockwise(docs, first, alive, n, percent)), "links")
+    release(buckets)
     return members, links
 
 
+def _blockwise(docs: DataFrame, first: DataFrame, alive: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between different labels among ``alive`` (sig, node, label).
+
+    Nodes that share buckets, directly or through others, are dealt into blocks of BLOCK. A
+    task takes two blocks of a group and gets all its intersection sizes from one sparse-to-dense product.
+    Blocks of one label only don't meet.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+        sets = _sets(table.column("text").combine_chunks(), n)
+        good = [i for i, s in enumerate(sets) if set_key(s) == node[i]]
+        sets, node, label = [sets[i] for i in good], node[good], label[good]
+        size = np.array([len(s) for s in sets], np.int64)
+        shingle, column, rows = np.unique(np.concatenate(sets) if sets else np.empty(0, _U), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        keep = rows[column] > 1
+        owner, column = owner[keep], np.unique(column[keep], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float64)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
+            x, y = np.searchsorted(column, (at, at + WIDE))
+            part = np.zeros((len(sets), WIDE), np.float32)
+            part[owner[x:y], column[x:y] - at] = 1
+            both += part @ part.T
+        both = both.astype(np.int64)
+        linked = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (label[:, None] != label[None, :])
+        i, j = np.nonzero(np.triu(linked, 1))
+        return pa.table({"a": pa.array(np.minimum(node[i], node[j]), pa.int64()), "b": pa.array(np.maximum(node[i], node[j]), pa.int64())})
+
+    w = Window.partitionBy("sig")
+    joined = alive.select(F.col("node").alias("src"), F.min("node").over(w).alias("dst"))
+    groups = connected_components(joined).toDF("node", "group")
+    dealt = alive.select("node", "label").distinct().join(groups, "node").withColumn(
+        "block", F.expr(f"(row_number() over (partition by group order by label, node) - 1) div {BLOCK}"))
+    dealt = materialize(dealt, "dealt")
+    blocks = dealt.groupBy("group", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
+    meet = (blocks.toDF("group", "b1", "l0", "l1").join(blocks.toDF("group", "b2", "m0", "m1"), "group")
+            .where("b1 <= b2 and not (l0 = l1 and m0 = m1 and l0 = m0)").select("group", "b1", "b2"))
+    seats = meet.withColumn("block", F.explode(F.array_distinct(F.array("b1", "b2"))))
+    texts = materialize(_texts(docs, first, dealt.select("node")), "texts")
+    table = seats.join(dealt, ["group", "block"]).join(texts, "node").select("group", "b1", "b2", "node", "label", "text")
+    out = materialize(table.groupBy("group", "b1", "b2").applyInArrow(run, "a long, b long").distinct(), "links")
+    release(texts)
+    return out
+
+
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(sig, node, label)`` of buckets whose members are not of one component."""
+    w = Window.partitionBy("sig")
+    return (buckets.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+            .withColumn("l0", F.min("label").over(w)).withColumn("l1", F.max("label").over(w))
+            .where("l0 <> l1").select("sig", "node", "label"))
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """Per row of ``docs``: key, n_shingles, component_id (smallest key reachable by links, itself included)."""
     members, links = jaccard_links(docs, key, text, n, percent)
