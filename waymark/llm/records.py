@@ -24,6 +24,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from waymark.plans.scratch import materialize, new_path
 
 MASK = 0xA282EAD8
-#: Pieces remembered per worker.
-MEMO = 400_000
+#: Pieces remembered per worker, some 200 bytes each.
+MEMO = 1_500_000
 _NULL = -(2**63)
 
 
@@ -101,7 +102,8 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = dtype
         self.line_end = self._ids(["\n"])[0]
-        self.memo: dict[str, bytes] = {}
+        self.marks = {m: np.array(i, dtype).tobytes() for m, i in zip(",.;:!?", self._ids(list(",.;:!?")), strict=True)}
+        self.memo = _Memo()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -110,7 +112,10 @@ class PieceEncoder:
         out: dict[str, bytes] = {}
         mark = np.array(self.line_end, self.dtype).tobytes()
         size = np.dtype(self.dtype).itemsize
-        lines = [p for p in new if _PLAIN.fullmatch(p)]
+        for p in new:  # a mark after a letter is a token of its own
+            if p[-1] in self.marks and p[-2:-1].isalpha() and (known := dict.get(self.memo, p[:-1])) is not None:
+                out[p] = known + self.marks[p[-1]]
+        lines = [p for p in new if p not in out and _PLAIN.fullmatch(p)]
         for at in range(0, len(lines), 4000):
             some = lines[at:at + 4000]
             ids = np.array(self._ids(["\n".join([p[1:] if p[0] in "\0\n" else " " + p for p in some])])[0], self.dtype)
@@ -124,20 +129,31 @@ class PieceEncoder:
         return out | {p: np.array(i, self.dtype).tobytes() for p, i in zip(rest, whole, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [pieces(t) for t in texts]
-        get = self.memo.get
-        found = [list(map(get, s)) for s in split]
-        holes = {p for f, s in zip(found, split, strict=True) if None in f for b, p in zip(f, s, strict=True) if b is None}
-        if holes:
-            new = self._learn(list(holes))
-            for f, s in zip(found, split, strict=True):
-                if None in f:
-                    f[:] = [new[p] if b is None else b for b, p in zip(f, s, strict=True)]
+        found, missed = [], []
+        for t in texts:
+            self.memo.missed = []
+            found.append(list(map(self.memo.__getitem__, pieces(t))))
+            missed.append(self.memo.missed)
+        if any(missed):
+            new = self._learn(list(dict.fromkeys(chain.from_iterable(missed))))
+            for f, m in zip(found, missed, strict=True):
+                at = -1
+                for p in m:
+                    f[at := f.index(None, at + 1)] = new[p]
             if len(self.memo) < MEMO:  # when full, it holds most of what is frequent
                 self.memo.update(new)
         return [b"".join(f) for f in found]
 
 
+class _Memo(dict):
+    """Notes the keys that it lacks, in order, and gives None for them."""
+
+    missed: list[str]
+
+    def __missing__(self, piece: str) -> None:
+        self.missed.append(piece)
+
+
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
@@ -234,5 +250,6 @@ def read_records(manifest: DataFrame, width: int = 2) -> DataFrame:
             pa.array(np.concatenate([r[4] for r in rows]).astype(np.int32) if rows else np.empty(0, np.int32)))
         return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(4)), ids], names=["key", "start", "n_tokens", "ids_crc32", "ids"])
 
-    parts = manifest.repartition(F.col("file"))
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = manifest.repartition(tasks, "file")  # a number, so that the few small rows aren't put into one task
     return parts.select("folder", "file", "start").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long, ids array<int>")
