@@ -42,7 +42,7 @@ SLICE = 1000
 #: Nodes per block, and shingles per product, in the last comparison.
 BLOCK, WIDE = 128, 16_384
 #: Rounds in which the largest component of a bucket meets the others, before what is left is compared.
-ROUNDS = 2
+ROUNDS = 1
 #: Slices whose shingles are counted together.
 COUNTED = 4
 _U = np.uint64
@@ -255,9 +255,10 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     checked = star = materialize(sized(star), "pairs")
     links = compare(star, None)
     need = g / (1 + g)
-    for turn in range(ROUNDS):
-        open_ = materialize(_open(buckets, connected_components(links, "a", "b").toDF("node", "label")), "open")
-        if turn == ROUNDS - 1 or open_.isEmpty():
+    for turn in range(ROUNDS + 1):
+        # pairs with a bucket's smallest node are settled, so it takes no further part
+        open_ = materialize(_open(buckets.where("node <> low"), connected_components(links, "a", "b").toDF("node", "label")), "open")
+        if turn == ROUNDS or open_.isEmpty():
             break
         # the bucket's largest component sends one node, turn by turn another, to meet the members of the others
         most = Window.partitionBy("sig")
@@ -267,10 +268,9 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
                  .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
                  .join(checked, ["a", "b"], "left_anti"))
         pairs = materialize(sized(pairs), "pairs")
-        before, links = links.count(), compare(pairs, links)
+        release(open_)
+        links = compare(pairs, links)
         checked = checked.unionByName(pairs)
-        if links.count() == before:
-            break
 
     # A partner of size m needs g / (1 + g) (n + m) common shingles: at least g n, and at least this with the bucket's smallest m.
     shared = _possible(docs, first, open_.select("node").distinct(), n)
@@ -280,6 +280,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
              .withColumn("l0", F.min("label").over(w)).withColumn("l1", F.max("label").over(w)).where("l0 <> l1")
              .select("sig", "node", "label", "n", "shared"))
     alive = materialize(alive, "open")
+    release(open_)
     if not alive.isEmpty():
         links = materialize(links.unionByName(_blockwise(docs, first, alive, n, percent)), "links")
     release(buckets)
