@@ -6,6 +6,7 @@ executor costs at most a re-read. Nothing is kept in executor-local storage.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,5 +52,11 @@ def release(df: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now; else they stay until the driver happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
