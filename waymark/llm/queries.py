@@ -13,6 +13,7 @@ from waymark.llm.chat import format_chats
 from waymark.llm.decontaminate import contaminated
 from waymark.llm.jaccard import jaccard_components
 from waymark.llm.mixing import taken
+from waymark.llm.oracles import ORACLES
 from waymark.llm.quality_model import score_quality
 from waymark.llm.records import byte_bpe, read_records, write_records
 from waymark.llm.secrets import find_secrets
@@ -38,7 +39,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken(table(spark, sf_dir, "documents"))
+    return taken(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
