@@ -595,3 +595,115 @@ def _(spark, sf):
 def _(spark, sf):
     t = table(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
     return t.select("o_orderpriority", *[F.col(c).alias(c.lower()) for c in "FOP"])
+
+
+@query("m1_class_means", f"""with {_PRICE}, t as (select * from p where l_orderkey % 2 = 0), m as (select g, avg(t) m from t group by 1)
+    select l_orderkey, l_partkey, x, round((select avg(t) from t), 4) constant, round(coalesce(m.m, (select avg(t) from t)), 4) class_mean from p left join m using (g) where l_orderkey % 2 = 1""")
+def _(spark, sf):
+    from waymark.operators import ml
+
+    p = _priced(spark, sf)
+    out = ml.class_means(p.where("l_orderkey % 2 = 0"), p.where("l_orderkey % 2 = 1"), "g", "t")
+    return out.select("l_orderkey", "l_partkey", "x", F.round("constant", 4).alias("constant"), F.round("class_mean", 4).alias("class_mean"))
+
+
+@query("m1_boosted_trees")
+def _(spark, sf):
+    from waymark.operators import ml
+
+    p = _priced(spark, sf)
+    model = ml.fit_trees(p.where("l_orderkey % 2 = 0"), ["g"], ["x"], "t")
+    return model.transform(p.where("l_orderkey % 2 = 1")).select("l_orderkey", "l_partkey", "t", "prediction")
+
+
+@query("m2_calibration")
+def _(spark, sf):
+    from waymark.operators import ml
+
+    s = _scored(spark, sf)
+    return ml.calibrate(s.where("doc_id % 2 = 0"), s.where("doc_id % 2 = 1"), "y", "s").select("doc_id", "y", "s", "platt", "isotonic", "calibrated")
+
+
+@query("m6_shrunk_means", """with u as (select user_id, avg(value) m, count(*) n from events group by 1), g as (select avg(value) m from events)
+    select user_id, n, round(n / (n + 20.0) * u.m + (1 - n / (n + 20.0)) * g.m, 6) shrunk from u, g""")
+def _(spark, sf):
+    from waymark.operators import ml
+
+    e = events(spark, sf)
+    u = e.groupBy("user_id").agg(F.avg("value").alias("m"), F.count("*").alias("n")).crossJoin(e.agg(F.avg("value").alias("g")))  # one row
+    return u.select("user_id", "n", r6(ml.shrink(F.col("m"), F.col("g"), F.col("n"), 20.0)).alias("shrunk"))
+
+
+@query("r1_streamed_cells", """select epoch_us(time_bucket(interval 30 minute, ts)) // 1000000 window_start, event_type, count(*) n, round(sum(value), 4) total, count(value) valid from events group by all""")
+def _(spark, sf):
+    from waymark.streaming import windows
+    import uuid
+
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    # complete mode keeps the open windows too; append mode would hold them back until the watermark passes
+    cells = windows.run_to_memory(windows.state_cells(stream, "ts", ["event_type"], "value"), f"cells_{uuid.uuid4().hex}", "complete")
+    return cells.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"), "valid")
+
+
+@query("a38_gates", """with g as (select time_bucket(interval 15 minute, ts) w, count(*) n0, count(*) filter (value >= 10) n1, count(*) filter (value >= 10 and event_type <> 'view') n2, count(*) filter (value >= 10 and event_type = 'purchase') n3 from events group by 1)
+    select epoch_us(w) // 1000000 window_start, n0, n1, n2, n3, round(n1 / n0, 6) kept_1, case when n1 > 0 then round(n2 / n1, 6) end kept_2, case when n2 > 0 then round(n3 / n2, 6) end kept_3 from g""")
+def _(spark, sf):
+    a, b, c = F.col("value") >= 10, F.col("event_type") != "view", F.col("event_type") == "purchase"
+    g = events(spark, sf).groupBy(F.window("ts", "15 minutes").alias("w")).agg(F.count("*").alias("n0"), F.count_if(a).alias("n1"), F.count_if(a & b).alias("n2"), F.count_if(a & c).alias("n3"))
+    return g.select(F.unix_seconds("w.start").alias("window_start"), "n0", "n1", "n2", "n3", *[r6(F.try_divide(F.col(f"n{i}"), F.col(f"n{i - 1}"))).alias(f"kept_{i}") for i in (1, 2, 3)])
+
+
+@query("a39_time_of_day", """with b as (select unnest(range(48)) time_bin), c as (select (hour(ts) * 60 + minute(ts)) // 30 time_bin, count(*) n, count(distinct user_id) users from events group by 1)
+    select cast(b.time_bin as bigint) time_bin, coalesce(n, 0) n, coalesce(users, 0) users, round(coalesce(n, 0) / sum(n) over (), 6) share from b left join c using (time_bin)""")
+def _(spark, sf):
+    c = events(spark, sf).groupBy(F.expr("(hour(ts) * 60 + minute(ts)) div 30").alias("time_bin")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    dense = spark.range(48).withColumnRenamed("id", "time_bin").join(c, "time_bin", "left").na.fill(0)  # a fixed day grid
+    return show(sequence.share_of_total(dense, [], "n"), "time_bin", "n", "users", share="share")
+
+
+@query("a18_support_counts", """select case when grouping(user_id) = 0 then 'user' when grouping(event_type) = 0 then 'kind_hour' else 'hour' end as scope, user_id, event_type, hour, count(*) n
+    from (select user_id, event_type, cast(hour(ts) as int) as hour from events) group by grouping sets ((user_id, hour), (event_type, hour), (hour))""")
+def _(spark, sf):
+    e = events(spark, sf).withColumn("hour", F.hour("ts"))
+    g = e.groupingSets([[F.col("user_id"), F.col("hour")], [F.col("event_type"), F.col("hour")], [F.col("hour")]], "user_id", "event_type", "hour").agg(
+        F.when(F.grouping("user_id") == 0, "user").when(F.grouping("event_type") == 0, "kind_hour").otherwise("hour").alias("scope"), F.count("*").alias("n"))
+    return g.select("scope", "user_id", "event_type", "hour", "n")
+
+
+@query("a29_profile_stats", """select event_type, day(ts) as "day", count(*) n, round(avg(value), 6) mean, round(stddev_samp(value), 6) std, round(quantile_cont(value, 0.5), 6) q50, round(quantile_cont(value, 0.75), 6) q75,
+    round(quantile_cont(value, 0.9), 6) q90, round(avg((value >= 100)::int), 6) tail_rate from events group by all""")
+def _(spark, sf):
+    v = F.col("value")
+    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
+    return events(spark, sf).withColumn("day", F.day("ts").cast("bigint")).groupBy("event_type", "day").agg(
+        F.count("*").alias("n"), r6(F.avg(v)).alias("mean"), r6(F.stddev_samp(v)).alias("std"), q.alias("q"), r6(F.avg((v >= 100).cast("int"))).alias("tail_rate")).select(
+        "event_type", "day", "n", "mean", "std", *[r6(F.col("q")[i]).alias(c) for i, c in enumerate(("q50", "q75", "q90"))], "tail_rate")
+
+
+@query("a33_mode", "select event_type, arg_max(v, {'n': n, 'v': -v}) as mode from (select event_type, cast(floor(value) as bigint) v, count(*) n from events group by all) group by 1")
+def _(spark, sf):
+    c = events(spark, sf).groupBy("event_type", F.floor("value").alias("v")).agg(F.count("*").alias("n"))
+    return c.groupBy("event_type").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("mode"))
+
+
+@query("a7_trip_ends", """select user_id, count(*) n, arg_min(event_type, {'t': ts, 'e': event_id}) first_type, arg_max(event_type, {'t': ts, 'e': event_id}) last_type, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) span_s from events group by 1""")
+def _(spark, sf):
+    at = F.struct("ts", "event_id")
+    return events(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"), F.min_by("event_type", at).alias("first_type"), F.max_by("event_type", at).alias("last_type"),
+                                                    F.round((X.micros(F.max("ts")) - X.micros(F.min("ts"))) / 1e6, 3).alias("span_s"))
+
+
+@query("a23_change_rate", f"""with l as (select l_orderkey, l_returnflag <> lag(l_returnflag) over (partition by l_orderkey order by {_ORDER}) c from lineitem) select l_orderkey, round(avg(c::int), 6) change_rate from l group by 1""")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy(*ROUTE_ORDER)
+    c = table(spark, sf, "lineitem").withColumn("c", (F.col("l_returnflag") != F.lag("l_returnflag").over(w)).cast("int"))
+    return c.groupBy("l_orderkey").agg(r6(F.avg("c")).alias("change_rate"))
+
+
+@query("e16_inverse_propensity", f"""with {_TRUTH}, w as (select (select avg(y) from t) / greatest(s, 0.05) r from t where y = 1) select round(sum(least(r, 5)) ** 2 / sum(least(r, 5) ** 2), 4) ess, round(max(least(r, 5)), 6) max_weight, count(*) filter (r > 5) clipped from w""")
+def _(spark, sf):
+    s = _scored(spark, sf).withColumn("seen", F.col("y") == 1)
+    return evaluate.inverse_propensity(s, "seen", "s", 0.05, 5.0).select(F.round("ess", 4).alias("ess"), r6("max_weight").alias("max_weight"), "clipped")
