@@ -6,7 +6,6 @@ executor costs at most a re-read. Nothing is kept in executor-local storage.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -35,11 +34,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Makes Spark delete a query's shuffle files when the query ends, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame that reads it."""
+    """Write ``df`` to the shared folder and return a DataFrame that reads it. Its shuffle files go at once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -52,11 +63,5 @@ def release(df: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; else they stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _hadoop_path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)

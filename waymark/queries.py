@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import exprs as X
-from waymark.operators import causal, evaluate, joins, labels, quantiles, sampling, sequence
+from waymark.operators import causal, evaluate, joins, labels, quantiles, reports, sampling, sequence
 from waymark.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -707,3 +707,106 @@ def _(spark, sf):
 def _(spark, sf):
     s = _scored(spark, sf).withColumn("seen", F.col("y") == 1)
     return evaluate.inverse_propensity(s, "seen", "s", 0.05, 5.0).select(F.round("ess", 4).alias("ess"), r6("max_weight").alias("max_weight"), "clipped")
+
+
+@query("p15_traffic_state", """with c as (select user_id, avg(value) / 60 r, avg((value >= 100)::int) s, count(*) n from events group by 1)
+    select user_id, case when n < 30 then 'UNKNOWN' when r >= 2 and s >= 0.5 then 'SEVERE' when r >= 1.3 and s >= 0.3 then 'CONGESTED' when r < 1.3 and s < 0.3 then 'NON' else 'MIXED' end state from c""")
+def _(spark, sf):
+    c = events(spark, sf).groupBy("user_id").agg((F.avg("value") / 60).alias("r"), F.avg((F.col("value") >= 100).cast("int")).alias("s"), F.count("*").alias("n"))
+    return c.select("user_id", reports.traffic_state(F.col("r"), F.col("s"), F.col("n"), 30).alias("state"))
+
+
+@query("a43_residual_quantiles", """with r as (select event_type, cast(hour(ts) as int) as hour, value - 50 v from events)
+    select event_type, hour, grouping(event_type, hour)::bigint gid, round(quantile_cont(v, 0.9), 6) q, count(v) n from r group by grouping sets ((event_type, hour), (event_type), ())""")
+def _(spark, sf):
+    e = events(spark, sf).select("event_type", F.hour("ts").alias("hour"), (F.col("value") - 50).alias("v"))
+    return show(reports.residual_quantiles(e, [["event_type", "hour"], ["event_type"], []], "v", 0.9), "event_type", "hour", "gid", "n", q="q")
+
+
+@query("a20_support_groups", """with c as (select c_custkey, count(o_orderkey) n from customer left join orders on o_custkey = c_custkey group by 1), q as (select quantile_cont(n, 0.25) a, quantile_cont(n, 0.75) b from c where n > 0)
+    select c_custkey, n, case when n <= 0 then 'unseen' when n <= a then 'low' when n <= b then 'medium' else 'high' end support_group from c, q""")
+def _(spark, sf):
+    o = table(spark, sf, "orders")
+    c = table(spark, sf, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
+    return reports.support_groups(c, "n")
+
+
+@query("a45_conservation", """with s as (select l_orderkey k, sum(l_quantity) p from lineitem group by 1), t as (select o_orderkey k, 100.0::double t from orders), j as (select abs(coalesce(p, 0) - coalesce(t, 0)) d from s full join t using (k))
+    select count(*) keys, count(*) filter (d > 50) violations, max(d) largest from j""")
+def _(spark, sf):
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit(100.0).alias("t"))
+    return reports.conservation(table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "k"), t, ["k"], "l_quantity", "t", 50.0)
+
+
+@query("a57_duration_audit", """with d as (select 'ship' as name, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 1e6 d from lineitem join orders on o_orderkey = l_orderkey)
+    select name, count(*) n, count(*) filter (d < 0) negative, count(*) filter (d = 0) zero, count(*) filter (d > 5184000) "over", round(median(d), 3) median from d group by 1""")
+def _(spark, sf):
+    j = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    a = reports.duration_audit(j, {"ship": (X.micros(F.col("o_orderdate")) / 1e6, X.micros(F.col("l_shipdate")) / 1e6)}, 5_184_000.0)
+    return a.select("name", "n", "negative", "zero", "over", F.round("median", 3).alias("median"))
+
+
+@query("e15_against_baseline", """with s as (select event_type, avg(value) m, count(*)::double n from events group by 1), b as (select m, n from s where event_type = 'view')
+    select event_type, round(s.m, 6) m, s.n, round(s.m / b.m - 1, 6) m_change, round(s.n / b.n - 1, 6) n_change from s, b""")
+def _(spark, sf):
+    s = events(spark, sf).groupBy("event_type").agg(F.avg("value").alias("m"), F.count("*").cast("double").alias("n"))
+    return show(reports.against_baseline(s, "event_type", "view", ["m", "n"]), "event_type", "n", m="m", m_change="m_change", n_change="n_change")
+
+
+@query("a68_waterfall", """with k as (select distinct o_orderkey k from orders), a as (select distinct l_orderkey k from lineitem where l_returnflag = 'R'), b as (select distinct l_orderkey k from lineitem where l_linestatus = 'O')
+    select count(*) as start, count(a.k) returned, count(case when a.k is not null and b.k is not null then 1 end) open from k left join a using (k) left join b using (k)""")
+def _(spark, sf):
+    li = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "k")
+    return reports.waterfall(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), "k", [("returned", li.where("l_returnflag = 'R'")), ("open", li.where("l_linestatus = 'O'"))])
+
+
+@query("a66_failures", """with f as (select (not coalesce(o_totalprice >= 50000, false))::int price, (not coalesce(o_orderstatus = 'F', false))::int done, (not coalesce(o_orderpriority <> '5-LOW', false))::int priority from orders),
+    x as (select unnest(['price', 'done', 'priority']) condition, unnest([price, done, priority]) f, price + done + priority n from f)
+    select condition, sum(f)::bigint failures, count(*) filter (f = 1 and n = 1) only_cause, count(*) filter (f = 1 and n > 1) joint, count(*) filter (n = 0) pass_all from x group by 1""")
+def _(spark, sf):
+    return reports.failure_decomposition(table(spark, sf, "orders"), {
+        "price": F.col("o_totalprice") >= 50000, "done": F.col("o_orderstatus") == "F", "priority": F.col("o_orderpriority") != "5-LOW"})
+
+
+@query("e4_two_part", f"""with {_PRICE}, q as (select g, greatest(t - 30000, 0) t, greatest(x - 30000, 0) x from p) select g, round(avg((t > 0)::int), 6) positive_share, round(avg(case when t > 0 then abs(x - t) end), 3) positive_mae, round(avg(abs(x - t)), 3) mae, round(avg(abs(t)), 3) zero_mae from q group by 1""")
+def _(spark, sf):
+    q = _priced(spark, sf).select("g", F.greatest(F.col("t") - 30000, F.lit(0.0)).alias("t"), F.greatest(F.col("x") - 30000, F.lit(0.0)).alias("x"))
+    m = reports.two_part(q, ["g"], "t", "x")
+    return m.select("g", r6("positive_share").alias("positive_share"), *[F.round(c, 3).alias(c) for c in ("positive_mae", "mae", "zero_mae")])
+
+
+@query("e6_cluster_bootstrap")
+def _(spark, sf):
+    return reports.cluster_bootstrap(events(spark, sf), "user_id", "value", 200, "boot")
+
+
+@query("e19_crps", """with s as (select e.user_id, e.value x, t.y from events e join (select user_id, max_by(value, event_id) y from events group by 1) t using (user_id)),
+    r as (select *, row_number() over (partition by user_id order by x) i, count(*) over (partition by user_id) n from s)
+    select user_id, round(avg(abs(x - y)) - sum((2 * i - n - 1) * x) / max(n * n), 6) crps, max(y) between quantile_cont(x, 0.05) and quantile_cont(x, 0.95) covered from r group by 1""")
+def _(spark, sf):
+    e = events(spark, sf)
+    y = e.groupBy("user_id").agg(F.max_by("value", "event_id").alias("y"))
+    return show(reports.crps(e.join(y, "user_id"), ["user_id"], "value", "y"), "user_id", "covered", crps="crps")
+
+
+@query("e25_quantile_map", """with x as (select event_id, value, row_number() over (order by value, event_id) - 1 i, count(*) over () n from events where event_type = 'view'), r as (select value r, row_number() over (order by value) - 1 j, count(*) over () m from events where event_type = 'click'),
+    a as (select event_id, value, i / (n - 1) * ((select max(m) from r) - 1) p from x) select event_id, value, round(lo.r + (hi.r - lo.r) * (p - floor(p)), 6) mapped from a join r lo on lo.j = floor(p) join r hi on hi.j = ceil(p)""")
+def _(spark, sf):
+    e = events(spark, sf)
+    return show(reports.quantile_map(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "event_id", "value", "value"), "event_id", "value", mapped="mapped")
+
+
+@query("e14_interaction", """with m as (select event_id % 2 a, (user_id % 2) b, avg(value) m from events group by all), p as (select max(m) filter (a = 0 and b = 0) m00, max(m) filter (a = 0 and b = 1) m01, max(m) filter (a = 1 and b = 0) m10, max(m) filter (a = 1 and b = 1) m11 from m)
+    select round(m00, 6) m00, round(m01, 6) m01, round(m10, 6) m10, round(m11, 6) m11, round((m11 - m10) - (m01 - m00), 6) did from p""")
+def _(spark, sf):
+    e = events(spark, sf).withColumn("a", F.col("event_id") % 2).withColumn("b", F.col("user_id") % 2)
+    return show(reports.did(e, "a", "b", "value"), **{c: c for c in ("m00", "m01", "m10", "m11", "did")})
+
+
+@query("f12_sequence_overlap")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    s = events(spark, sf).withColumn("date", F.to_date("ts")).groupBy("user_id", "date").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("s"))  # a user's day
+    w = Window.partitionBy("user_id").orderBy("date")
+    return s.withColumn("before", F.lag("s").over(w)).where("before is not null").select("user_id", "date", r6(reports.sequence_overlap(F.col("before"), F.col("s"))).alias("overlap"))
