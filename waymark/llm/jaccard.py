@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.hashing import distinct_runs, mix, set_key, word_hashes
 from waymark.plans.components import connected_components
-from waymark.plans.scratch import materialize, release, sweep
+from waymark.plans.scratch import materialize, release
 
 #: At most so many shingles are ordered last, and nodes with many copies sign once.
 MAX_FREQUENT, MAX_COPIED = 200_000, 100_000
@@ -240,7 +240,6 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
         _sign(docs, n, g, frequent, copied)
         .withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w))
         .where("low <> high").select("sig", "node", "low").distinct(), "buckets")
-    sweep(docs.sparkSession)
 
     def sized(pairs: DataFrame) -> DataFrame:
         a, b = size.toDF("a", "na"), size.toDF("b", "nb")
@@ -250,8 +249,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
         found, texts = _verified(docs, first, pairs, n, percent)
         links = materialize(found if links is None else links.unionByName(found), "links")
         release(texts)
-        sweep(docs.sparkSession)
-        return links
+            return links
 
     star = buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     checked = star = materialize(sized(star), "pairs")
@@ -283,7 +281,6 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
              .select("sig", "node", "label", "n", "shared"))
     alive = materialize(alive, "open")
     release(open_)
-    sweep(docs.sparkSession)
     if not alive.isEmpty():
         links = materialize(links.unionByName(_blockwise(docs, first, alive, n, percent)), "links")
     release(buckets)
