@@ -249,7 +249,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
         found, texts = _verified(docs, first, pairs, n, percent)
         links = materialize(found if links is None else links.unionByName(found), "links")
         release(texts)
-            return links
+        return links
 
     star = buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     checked = star = materialize(sized(star), "pairs")
