@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     manifest = write_records(docs, byte_bpe(vocabulary("byte_bpe_50k.json")))
-    return read_records(manifest).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return read_records(manifest, with_ids=False).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 STAGES = [

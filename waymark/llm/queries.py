@@ -60,7 +60,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_records(table(spark, sf_dir, "documents"), byte_bpe(vocabulary("byte_bpe_50k.json")))
-    return read_records(manifest).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return read_records(manifest, with_ids=False).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,8 +218,8 @@ def write_records(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], f
             .select(F.lit(folder).alias("folder"), "file", "first", "last", "records", "n_tokens", "start"))
 
 
-def read_records(manifest: DataFrame, width: int = 2) -> DataFrame:
-    """Per record of the manifest's files, read back and verified: key, start, n_tokens, ids_crc32 and ids.
+def read_records(manifest: DataFrame, width: int = 2, with_ids: bool = True) -> DataFrame:
+    """Per record of the manifest's files, read back and verified: key, start, n_tokens, ids_crc32 and, if asked for, ids.
 
     ``ids_crc32`` is the plain CRC-32 of the ids as little-endian uint32.
     """
@@ -236,7 +236,7 @@ def read_records(manifest: DataFrame, width: int = 2) -> DataFrame:
                         ids = np.frombuffer(payload, f"<u{width}").astype("<u4")
                         if len(ids) != n:
                             raise ValueError("index and record differ")
-                        out.append((None if k == _NULL else k, start, n, zlib.crc32(ids.tobytes()), ids))
+                        out.append((None if k == _NULL else k, start, n, zlib.crc32(ids.tobytes()), ids if with_ids else None))
                         start += n
                         size += n
                         if size > 1 << 20:
@@ -245,11 +245,14 @@ def read_records(manifest: DataFrame, width: int = 2) -> DataFrame:
                 yield _batch(out)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        numbers = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
+        if not with_ids:
+            return pa.RecordBatch.from_arrays(numbers, names=["key", "start", "n_tokens", "ids_crc32"])
         ids = pa.ListArray.from_arrays(
             pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]), pa.int32()),
             pa.array(np.concatenate([r[4] for r in rows]).astype(np.int32) if rows else np.empty(0, np.int32)))
-        return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(4)), ids], names=["key", "start", "n_tokens", "ids_crc32", "ids"])
+        return pa.RecordBatch.from_arrays([*numbers, ids], names=["key", "start", "n_tokens", "ids_crc32", "ids"])
 
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = manifest.repartition(tasks, "file")  # a number, so that the few small rows aren't put into one task
-    return parts.select("folder", "file", "start").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return parts.select("folder", "file", "start").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
