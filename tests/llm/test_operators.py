@@ -364,3 +364,18 @@ def test_pipeline_stages(spark, sf):
             assert not any(i in r["text"] for i in items for r in after.collect())
         seen = after
     assert corpus_pipeline.run(spark, sf).count() == seen.count()
+
+
+def test_copies_are_dropped_by_row(spark):
+    """Rows with repeated, shared and null keys are documents of their own in both dropping stages."""
+    x, y, z = words(30), words(30, 500), words(30, 900)
+    rows = [(1, x, "a"), (5, x, "a"), (5, y, "a"), (None, x, "a"), (7, z, "a"), (7, z, "a"), (7, z, "b"),
+            (None, words(30, 2000), "a"), (None, words(30, 2000), "a"), (None, words(30, 3000), "a"), (8, "", "a"), (8, "", "a"), (None, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    left = jaccard.keep_first(df)
+    assert left.columns == df.columns
+    got = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert got == Counter([(1, x), (5, y), (7, z), (None, words(30, 2000)), (None, words(30, 3000)), (8, ""), (8, ""), (None, None)])
+    bench = spark.createDataFrame([(1, x)], "item_id long, text string")
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in decontaminate.drop_contaminated(df, bench).collect())
+    assert got == Counter(r for r in rows if r[1] != x)

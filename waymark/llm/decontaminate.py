@@ -11,8 +11,8 @@ Seeds of all documents never travel: each task looks its seeds up in the benchma
 which it holds BLOCK words at a time; a larger benchmark takes one pass per block.
 
 Defined cases: null, empty and short texts (fewer than ``least`` words) have no seeds, so items
-that short are never matched; equal items count each; rows with an equal key are one document,
-with the union of their seeds' places kept apart by row hash; empty tables give an empty result.
+that short are never matched; equal items count each; rows with an equal or null key and other
+texts are documents of their own, told apart by the hash of the text; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -101,6 +101,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     tiles: array of (item_start, doc_start, words).
     """
+    return _found(docs, benchmark, key, text, item, item_text, least, threshold).drop("row")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+           item_text: str = "text", least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
+    """What ``contaminated`` returns, and row: the hash of the document's text."""
     def rows(df: DataFrame, k: str, t: str) -> DataFrame:
         return df.select(F.col(k).cast("long").alias("key"), F.xxhash64(t).alias("row"), F.col(t).alias("text"))
 
@@ -122,11 +128,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                 tiles = tile(places, least)
                 words = sum(size for _, _, size in tiles)
                 if words >= threshold * r["item_words"]:
-                    out.append((r["key"], r["item"], words, r["item_words"], [{"item_start": q, "doc_start": p, "words": s} for q, p, s in sorted(tiles)]))
+                    out.append((r["key"], r["row"], r["item"], words, r["item_words"], [{"item_start": q, "doc_start": p, "words": s} for q, p, s in sorted(tiles)]))
             kind = pa.list_(pa.struct([("item_start", pa.int64()), ("doc_start", pa.int64()), ("words", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array([o[i] for o in out], pa.int64()) for i in range(4)), pa.array([o[4] for o in out], kind)],
-                names=["key", "item", "words_covered", "item_words", "tiles"])
+                [*(pa.array([o[i] for o in out], pa.int64()) for i in range(5)), pa.array([o[5] for o in out], kind)],
+                names=["key", "row", "item", "words_covered", "item_words", "tiles"])
 
     found = None
     for b in range(blocks):
@@ -135,14 +141,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         hits = _seeds(rows(docs, key, text), least, held)
         paired = (hits.join(part, "seed").groupBy("key", "row", "item", "item_row", "item_words")
                   .agg(F.collect_list(F.struct("q", F.col("place").alias("p"))).alias("places")))  # places of one item in one document
-        tiled = paired.select("key", "item", "item_words", "places").mapInArrow(
-            run, "key long, item long, words_covered long, item_words long, tiles array<struct<item_start:long,doc_start:long,words:long>>")
+        tiled = paired.select("key", "row", "item", "item_words", "places").mapInArrow(
+            run, "key long, row long, item long, words_covered long, item_words long, tiles array<struct<item_start:long,doc_start:long,words:long>>")
         found = tiled if found is None else found.unionByName(tiled)
-    return found.select(F.col("key").alias(key), F.col("item").alias(item), "words_covered", "item_words",
+    return found.select(F.col("key").alias(key), "row", F.col("item").alias(item), "words_covered", "item_words",
                         (F.col("words_covered") / F.col("item_words")).alias("coverage"), "tiles")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without contaminated documents; all columns stay."""
-    gone = materialize(contaminated(docs, benchmark, key, **how).select(F.col(key).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[key].eqNullSafe(gone["_gone"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs`` without contaminated documents, judged by key and text; all columns stay."""
+    found = _found(docs, benchmark, key, text, **how)
+    gone = materialize(found.select(F.col(key).alias("_key"), F.col("row").alias("_row")).distinct(), "gone")
+    return docs.join(gone, docs[key].cast("long").eqNullSafe(gone["_key"]) & (F.xxhash64(docs[text]) == gone["_row"]), "left_anti")

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.hashing import distinct_runs, mix, set_key, word_hashes
@@ -60,21 +60,22 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: key, n_shingles, node; and shingles frequent in some slices as (key = shingle, n_shingles = rows, node null)."""
+    """Per row: key, row (text hash), n_shingles, node; and shingles frequent in some slices as (key = shingle, n_shingles = rows, others null)."""
 
     def often(sets: list[np.ndarray]) -> pa.RecordBatch:
         found, rows = np.unique(np.concatenate(sets), return_counts=True)
         many = rows >= max(3, len(sets) // 500)
         return pa.RecordBatch.from_arrays([
-            pa.array(found[many].view(np.int64)), pa.array(rows[many].astype(np.int64)), pa.nulls(int(many.sum()), pa.int64())], names=["key", "n_shingles", "node"])
+            pa.array(found[many].view(np.int64)), pa.nulls(int(many.sum()), pa.int64()), pa.array(rows[many].astype(np.int64)),
+            pa.nulls(int(many.sum()), pa.int64())], names=["key", "row", "n_shingles", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in _slices(batches):
             sets = _sets(batch.column("text"), n)
             yield pa.RecordBatch.from_arrays([
-                batch.column("key"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([set_key(s) for s in sets], pa.int64())], names=["key", "n_shingles", "node"])
+                batch.column("key"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([set_key(s) for s in sets], pa.int64())], names=["key", "row", "n_shingles", "node"])
             held += sets
             if len(held) >= COUNTED * SLICE:
                 yield often(held)
@@ -82,7 +83,7 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield often(held)
 
-    return docs.mapInArrow(run, "key long, n_shingles long, node long")
+    return docs.withColumn("row", F.xxhash64("text")).mapInArrow(run, "key long, row long, n_shingles long, node long")
 
 
 def signatures(sets: list[np.ndarray], frequent: np.ndarray, g: float) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +218,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
                   percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """``(members, links)`` of the self-join at similarity ``percent`` / 100.
 
-    members: (key, n_shingles, node) per row of ``docs``, node being the id of its set (0: empty).
+    members: (key, row, n_shingles, node) per row of ``docs``, row being the hash of its text and node the id of its set (0: empty).
     links: (a, b) pairs of nodes that connect every two linked sets, each verified; pairs
     within what is already one component need not be listed.
     """
@@ -343,18 +344,42 @@ def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
             .where("l0 <> l1").select("sig", "node", "label"))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """Per row of ``docs``: key, n_shingles, component_id (smallest key reachable by links, itself included)."""
+def _placed(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """``(key, row, n_shingles, node, label)`` per row of ``docs``; label is the component's smallest node."""
     members, links = jaccard_links(docs, key, text, n, percent)
     labels = connected_components(links, "a", "b").toDF("node", "label")
-    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """Per row of ``docs``: key, n_shingles, component_id (smallest key reachable by links, itself included)."""
+    placed = _placed(docs, key, text, n, percent)
     least = placed.where("node <> 0").groupBy("label").agg(F.min("key").alias("least"))
     return (placed.join(least, (placed["label"] == least["label"]) & (placed["node"] != 0), "left")
             .select(F.col("key").alias(key), "n_shingles", F.coalesce("least", "key").alias("component_id")))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """One row of each component: the one with the smallest key. All columns stay."""
-    found = jaccard_components(docs, key, text, n, percent)
-    gone = materialize(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """One row of each component: the one with the smallest key (null last), then text hash. All columns stay.
+
+    Rows are told apart by key and text hash. Of rows equal in both, the one with the smallest
+    hash of its columns (maps left out) stays.
+    """
+    rows = materialize(_placed(docs, key, text, n, percent).where("node <> 0")
+                       .groupBy("label", "key", "row").agg(F.count("*").alias("copies")), "rows")
+    best = rows.groupBy("label").agg(F.min(F.struct(F.isnull("key").alias("last"), "key", "row")).alias("best"))
+    judged = rows.join(best, "label").withColumn("_stays", F.col("best.key").eqNullSafe(F.col("key")) & (F.col("best.row") == F.col("row")))
+    named = materialize(judged.where("not _stays or copies > 1").select(F.col("key").alias("_key"), F.col("row").alias("_row"), "_stays"), "gone")
+    release(rows)
+
+    def same(found: DataFrame) -> Column:
+        return docs[key].cast("long").eqNullSafe(found["_key"]) & (F.xxhash64(docs[text]) == found["_row"])
+
+    out = docs.join(named, same(named), "left_anti")
+    repeated = named.where("_stays")
+    if repeated.isEmpty():
+        return out
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = (docs.join(repeated, same(repeated), "left_semi").groupBy(F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_row"))
+           .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("_one")).select("_one.*"))
+    return out.unionByName(one)
