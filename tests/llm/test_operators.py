@@ -379,3 +379,24 @@ def test_copies_are_dropped_by_row(spark):
     bench = spark.createDataFrame([(1, x)], "item_id long, text string")
     got = Counter((r["doc_id"], r["text"], r["source"]) for r in decontaminate.drop_contaminated(df, bench).collect())
     assert got == Counter(r for r in rows if r[1] != x)
+
+
+def test_secret_scan_scores_parts():
+    """Keys at the end of long readable names are found, with their own span."""
+    rng = np.random.default_rng(6)
+    enc = secrets.encoding(vocabulary("byte_bpe_50k.tiktoken"))
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    lead = "https://example.com/account/password/reset/confirmation/and/some/further/readable/names/"
+    for start in (lead, "settings.production.database.connection.for.the.reporting.service.", lead + "q7ZxK2mB9vT4nR8wLp3Yc6Hd1JfG5sAe/" + lead[8:]):
+        for size in (20, 24, 32):
+            hits = 0
+            for _ in range(100):
+                text = start + "".join(rng.choice(alphabet, size))
+                spans = secrets.scan(text, enc)[1]
+                hits += any(b == len(text) for _, b, _ in spans)
+            assert hits >= 90, (start, size, hits)
+    lead += lead[8:]
+    slashed = lead + "q7ZxK2mB9vT4/nR8wLp3Yc6Hd1JfG5sAe"  # neither half is 20 characters long
+    assert [(a, b) for a, b, _ in secrets.scan(slashed, enc)[1]] == [(len(lead), len(slashed))]
+    for text in (lead + "123e4567-e89b-12d3-a456-426614174000", lead + "da39a3ee5e6b4b0d3255bfef95601890afd80709".upper(), lead + "2016-10-15", lead + "someIdentifierName_with_words2"):
+        assert secrets.scan(text, enc)[1] == [], text

@@ -5,7 +5,10 @@ are not. A candidate is a run of 20 or more characters of the key alphabet that
 letters and digits. Its efficiency is characters per token; below LIMIT it is reported as
 kind ``random``. Known digests (hex of a usual digest's length), UUIDs and identifiers
 (words joined by _, -, ., / or case, with at most a short number each) are excluded first,
-and so is what a fixed pattern has reported already.
+and so is what a fixed pattern has reported already. Readable names around a key would hide it,
+so the parts of a candidate that isn't reported are scored too: parts between marks, of 20
+characters or more, alone or, where neighbours joined by /, +, - or _ are hard to spell as
+well, together (keys hold these marks).
 
 Rows are scanned alone, so nothing is shuffled. Defined cases: null text is empty;
 candidates of any length are scored whole, in windows; repeated rows give repeated rows;
@@ -29,6 +32,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 _DIGESTS = {32, 40, 56, 64, 96, 128}
+_PART = re.compile(r"[A-Za-z0-9]+")
 _UUID = re.compile(r"(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})")
 #: Characters per token below which a candidate counts as random.
 LIMIT = 2.2
@@ -79,17 +83,54 @@ def efficiency(s: str, enc) -> float:
     return len(s) / sum(len(enc.encode_ordinary(s[i:i + _WINDOW])) for i in range(0, len(s), _WINDOW))
 
 
+def hard_parts(text: str, start: int, end: int, enc) -> Iterator[list[tuple[int, int]]]:
+    """Runs of neighbouring parts of text[start:end] that are hard to spell, as their spans.
+
+    . and = end a run, and so do UUIDs and known strings of 20 characters or more. Parts of up
+    to 3 characters, hard by their length alone, don't begin or end one.
+    """
+    uuids = [m.span() for m in _UUID.finditer(text, start, end)]
+    run: list[tuple[int, int]] = []
+
+    def trimmed() -> list[tuple[int, int]]:
+        long = [i for i, (a, b) in enumerate(run) if b - a > 3]
+        return run[long[0]:long[-1] + 1] if long else []
+
+    for m in _PART.finditer(text, start, end):
+        a, b = m.span()
+        if run and any(c in ".=" for c in text[run[-1][1]:a]):
+            yield trimmed()
+            run = []
+        s = m[0]
+        if efficiency(s, enc) < LIMIT and not (len(s) >= 20 and known(s)) and not any(x < b and a < y for x, y in uuids):
+            run.append((a, b))
+        else:
+            yield trimmed()
+            run = []
+    yield trimmed()
+
+
 def scan(text: str, enc) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The fixed patterns' spans, and all spans by start and then kind."""
     base = base_spans(text)
     more = []
+
+    def fresh(a: int, b: int) -> bool:
+        return b - a >= 20 and not any(x < b and a < y for x, y, _ in base) and not known(text[a:b]) and efficiency(text[a:b], enc) < LIMIT
+
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
         while b > a and text[b - 1] in ".=-/":  # closing marks of a sentence or path
             b -= 1
-        s = text[a:b]
-        if b - a >= 20 and not any(x < b and a < y for x, y, _ in base) and not known(s) and efficiency(s, enc) < LIMIT:
+        if fresh(a, b):
             more.append((a, b, KINDS[3]))
+        elif b - a > 20 and any(c.isdigit() for c in text[a:b]):
+            for run in hard_parts(text, a, b, enc):
+                # marks are rare in a key, but not in dates and versions
+                if run and 16 * (len(run) - 1) <= run[-1][1] - run[0][0] and fresh(run[0][0], run[-1][1]):
+                    more.append((run[0][0], run[-1][1], KINDS[3]))
+                else:
+                    more += [(x, y, KINDS[3]) for x, y in run if fresh(x, y)]
     return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
