@@ -400,3 +400,27 @@ def test_secret_scan_scores_parts():
     assert [(a, b) for a, b, _ in secrets.scan(slashed, enc)[1]] == [(len(lead), len(slashed))]
     for text in (lead + "123e4567-e89b-12d3-a456-426614174000", lead + "da39a3ee5e6b4b0d3255bfef95601890afd80709".upper(), lead + "2016-10-15", lead + "someIdentifierName_with_words2"):
         assert secrets.scan(text, enc)[1] == [], text
+
+
+def test_urls_judge_targets(spark):
+    """Targets and redirects that are no pages are judged, and relative targets are resolved."""
+    page = '<link rel="canonical" href="%s">'
+    rows = [
+        (1, "http://a.net/1", page % "https://example.org/es/x"), (2, "http://a.net/2", '<meta http-equiv="refresh" content="0; url=https://example.org/es/y">'),
+        (3, "http://a.net/3", page % "https://example.org/es/x" + page % "http://b.org/z"), (4, "http://q.com/a/b/4", page % "../../de/t"),
+        (5, "http://q.com/5?x=1", page % "/de/u"), (6, "https://q.net/6", page % "//q.com/de/v"), (7, "http://q.com/fr/7", ""), (8, "http://q.com/8/", page % "../fr/7#top"),
+        (9, "http://r.net/9", ""), (10, "http://s.net/10", ""), (11, "http://t.net/11", page % "mailto:x@example.org/es/" + page % "#top"), (12, "no url", page % "/de/u"),
+        (13, "http://u.net/13", page % "http://www.u.net/13.html"), (14, "http://v.com/de", page % "de/./w")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    moves = spark.createDataFrame([("http://r.net/9", "http://mid.net/"), ("http://mid.net", "http://example.org/es/w"), ("http://q.com/de/s", "http://s.net/10")], "src string, dst string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(df, redirects=moves).collect()}
+    assert got == {1: "allow", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "block", 10: "block",
+                   11: "allow", 12: "allow", 13: "allow", 14: "block"}
+    alone = {r["page_id"]: r["verdict"] for r in urls.judge_urls(df.where("page_id <> 3")).collect()}
+    assert (alone[1], alone[9], alone[10]) == ("block", "allow", "allow")
+    base = "http://h.org/a/b/c?q=1#f"
+    wanted = {"g": "http://h.org/a/b/g", "./g": "http://h.org/a/b/g", "g/": "http://h.org/a/b/g/", "/g": "http://h.org/g", "//g": "http://g", "?y": "http://h.org/a/b/c?y",
+              "..": "http://h.org/a/", "../..": "http://h.org/", "../../../g": "http://h.org/g", ".": "http://h.org/a/b/", "g?y/../x": "http://h.org/a/b/g?y/../x",
+              "#s": "http://h.org/a/b/c?q=1", "x://y": "x://y", "/r?u=http://x/": "http://h.org/r?u=http://x/", "data:x": None, "": None}
+    df = spark.createDataFrame([(t, base) for t in wanted], "t string, u string")
+    assert {r[0]: r[1] for r in df.select("t", urls.resolved(F.col("t"), F.col("u"))).collect()} == wanted

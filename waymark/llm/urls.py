@@ -5,15 +5,17 @@ decides a url. Urls without a rule take the decision of their aliases. Aliases a
 connected components over canonical links and redirects: every url links to its own normal form
 (scheme, ``www.``/``m.`` hosts, tracking parameters, fragment, trailing slash and
 ``.html`` dropped), to the target of ``<link rel=canonical>`` and of a refresh redirect in its
-page, and along given redirects. A component with an allowed url is allowed, else one
-with a blocked url is blocked, else it is allowed.
+page, and along given redirects. Rules judge the targets and given redirects too, whether or not
+they are pages. A component with an allowed url is allowed, else one with a blocked url is
+blocked, else it is allowed.
 
 Normal forms take most of the work, as a column; components are computed over the links
 between different normal forms only.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule, has no
 alias and is allowed; a rule with an empty path fits every path; of rules of one length the first
-listed wins; repeated rows are judged each; an empty table gives an empty result; other
+listed wins; relative targets are resolved against the page's own url (``<base>`` is not read), and
+those of other kinds, like ``mailto:``, are ignored; repeated rows are judged each; an empty table gives an empty result; other
 columns are never read.
 """
 
@@ -62,14 +64,35 @@ def normal_form(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 
 
-def links_of(html: Column) -> Column:
-    """Targets of canonical links and refresh redirects in a page."""
+def resolved(target: Column, url: Column) -> Column:
+    """``target`` as seen from ``url``; null if it is empty, of a kind without ``://``, or relative to no url."""
+    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = path_of(url)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    full = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_extract(F.when(path == "", "/").otherwise(path), r"(?s)^(.*/)", 1), own))
+    steps = F.slice(F.split(full, "/"), 2, F.length(full) + 1)
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))
+                       .when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    end = F.when(F.element_at(steps, -1).isin(".", ".."), "/").otherwise("")
+    plain = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, end).otherwise(""))
+    return (F.when(target == "", None)
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | ~F.contains(url, F.lit("://")), None)
+            .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+            .when(own == "", F.concat(root, path, F.when(rest.startswith("?"), rest).otherwise(F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1))))
+            .otherwise(F.concat(root, plain, rest)))
+
+
+def links_of(html: Column, url: Column) -> Column:
+    """Targets of canonical links and refresh redirects in a page at ``url``, as whole urls."""
     tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
     link = F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?canonical\b")),
                        lambda t: F.regexp_extract(t, r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh\b")),
                           lambda t: F.regexp_extract(t, r"(?i)url\s*=\s*'?([^\"'\s>]+)", 1))
-    return F.filter(F.concat(link, refresh), lambda u: F.contains(u, F.lit("://")))
+    return F.filter(F.transform(F.concat(link, refresh), lambda t: resolved(t, url)), lambda u: u.isNotNull())
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, redirects: DataFrame | None = None,
@@ -77,15 +100,24 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, red
     """Per row: key, host, path, rule, verdict, and alias (the component's smallest normal form). redirects: (src, dst) urls."""
     u = F.col(url)
     read = materialize(pages.select(F.col(key).alias("key"), u.alias("url"), host_of(u).alias("host"), path_of(u).alias("path"),
-                                    normal_form(u).alias("form"), links_of(F.col(html)).alias("links")), "urls")
-    edges = read.select(F.col("form").alias("src"), F.explode("links").alias("to")).select("src", normal_form(F.col("to")).alias("dst"))
+                                    normal_form(u).alias("form"), links_of(F.col(html), u).alias("links")), "urls")
+    ends = read.select(F.col("form").alias("src"), F.explode("links").alias("to"))
+    edges = ends.select("src", normal_form(F.col("to")).alias("dst"))
+    named = ends.select("to")
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(normal_form(F.col("src")).alias("src"), normal_form(F.col("dst")).alias("dst")))
+        moved = redirects.select("src", resolved(F.col("dst"), F.col("src")).alias("dst"))
+        edges = edges.unionByName(moved.select(normal_form(F.col("src")).alias("src"), normal_form(F.col("dst")).alias("dst")))
+        named = named.union(moved.select("src")).union(moved.select("dst"))
+    to = F.col("to")
+    named = (named.distinct().select(normal_form(to).alias("form"), fitting_rule(host_of(to), path_of(to), rules).alias("fit"))
+             .where("form is not null and fit is not null"))
     groups = connected_components(edges).toDF("node", "alias")
     rows = (read.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
             .join(groups, F.col("form") == F.col("node"), "left").withColumn("alias", F.coalesce("alias", "form")))
     # one row per blocked component: an explicit allow anywhere in it takes precedence
-    blocked = (rows.where("fit is not null and alias is not null").groupBy("alias")
+    judged = (rows.where("fit is not null and alias is not null").select("alias", "fit")
+              .unionByName(named.join(groups, F.col("form") == F.col("node"), "left").select(F.coalesce("alias", "form").alias("alias"), "fit")))
+    blocked = (judged.groupBy("alias")
                .agg(F.bool_or(F.col("fit.verdict") == "allow").alias("allowed")).where("not allowed").select(F.col("alias").alias("_blocked")))
     rows = rows.join(blocked, rows["alias"] == blocked["_blocked"], "left")
     verdict = F.coalesce("fit.verdict", F.when(F.col("_blocked").isNotNull(), "block").otherwise("allow"))
