@@ -147,3 +147,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_hash_sample_is_whole(spark):
+    """Few keys, hot keys and null groups give the n smallest hashes too."""
+    df = spark.range(10_000, numPartitions=5).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 2 == 0, "a").alias("g"), "id")
+    for seed in ("s1", "s2", "s3"):
+        got = sampling.hash_sample(df, ["g"], "k", seed, 20).select(X.seeded_hash(seed, F.col("k")).alias("h"), "*").collect()
+        for g in ("a", None):
+            mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["rank"])
+            assert [r["rank"] for r in mine] == list(range(1, 21)) and {r["probability"] for r in mine} == {20 / 5000}
+            assert {r["h"] for r in mine} == {min(r[0] for r in df.select(X.seeded_hash(seed, F.col("k"))).distinct().collect())}
+    few = sampling.hash_sample(df.where("id < 10"), ["g"], "id", "s1", 20)
+    assert few.columns == ["g", "k", "id", "rank", "probability", "design_weight"]
+    assert few.count() == 10 and {r["design_weight"] for r in few.collect()} == {1.0}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,18 +11,21 @@ from waymark.functions.exprs import hash_modulo, hash_uniform, seeded_hash
 
 
 def hash_sample(rows: DataFrame, group: list[str], key: str, seed: str, n: int) -> DataFrame:
-    """The n smallest hashes per group, with probability and design weight.
+    """The n smallest hashes per group, with probability and design weight (T1). A null group is a group.
 
-    Ranking only what a uniform draw leaves near the cut keeps a hot group from being sorted whole:
-    4 n rows are expected below the bound, and groups that get too few are ranked whole.
+    Each input partition ranks its own rows first, and the n smallest of every group there are
+    ranked together, so that a hot group or key is never sorted whole.
     """
-    size = rows.groupBy(*group).agg(F.count("*").alias("_n"))
-    near = rows.join(size, group).withColumn("_u", hash_uniform(seed, F.col(key)))
-    few = (F.col("_n") <= 64 * n) | (F.col("_u") < 4.0 * n / F.col("_n") + 8.0 / F.col("_n"))
-    w = Window.partitionBy(*group).orderBy("_h", key)
-    out = near.where(few).withColumn("_h", seeded_hash(seed, F.col(key))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    hashed = rows.withColumn("_h", seeded_hash(seed, F.col(key))).withColumn("_slot", F.spark_partition_id())
+
+    def least(found: DataFrame, by: list[str], rank: str) -> DataFrame:
+        return found.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy("_h", key))).where(F.col(rank) <= n)
+
+    out = least(least(hashed, [*group, "_slot"], "_r").drop("_r", "_slot"), group, "rank")
+    size = rows.groupBy(*group).agg(F.count("*").alias("_n")).toDF(*[f"_g{i}" for i in range(len(group))], "_n")
+    out = out.join(size, reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], F.lit(True)))
     p = F.least(F.lit(1.0), n / F.col("_n"))
-    return out.withColumn("probability", p).withColumn("design_weight", 1 / p).drop("_n", "_u", "_h")
+    return out.select(*group, *[c for c in rows.columns if c not in group], "rank", p.alias("probability"), (1 / p).alias("design_weight"))
 
 
 def thin(rows: DataFrame, key: str, seed: str, rate: float) -> DataFrame:
