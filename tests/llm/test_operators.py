@@ -424,3 +424,19 @@ def test_urls_judge_targets(spark):
               "#s": "http://h.org/a/b/c?q=1", "x://y": "x://y", "/r?u=http://x/": "http://h.org/r?u=http://x/", "data:x": None, "": None}
     df = spark.createDataFrame([(t, base) for t in wanted], "t string, u string")
     assert {r[0]: r[1] for r in df.select("t", urls.resolved(F.col("t"), F.col("u"))).collect()} == wanted
+
+
+def test_records_keep_special_tokens():
+    """Strings of special tokens give the ids that the library gives by default."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rng = np.random.default_rng(8)
+    bits = ["<|endoftext|>", "<|endoftext", "|>", "a", " ", "  ", "\n", "\t", "\x00", "b, c", "é", "12"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *("".join(rng.choice(bits, rng.integers(1, 14))) for _ in range(800))]
+    encoder = records.PieceEncoder(path, np.uint16)
+    for _ in range(2):  # anew, and from memory
+        got = [np.frombuffer(x, np.uint16).tolist() for x in encoder.encode(texts)]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [64, 220, 50256, 275]

@@ -92,18 +92,24 @@ class PieceEncoder:
 
     A byte-level BPE with the usual word pattern never joins a non-space character to a
     space that follows it, so a text may be cut at every such place. Pieces repeat far more
-    often than texts do. New ones are encoded many at a time, one to a line.
+    often than texts do. New ones are encoded many at a time, one to a line. Strings of added
+    tokens, like <|endoftext|>, are these tokens, as by the library's default: texts are cut at them first.
     """
 
     def __init__(self, path: str, dtype: type) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = dtype
         self.line_end = self._ids(["\n"])[0]
         self.marks = {m: np.array(i, dtype).tobytes() for m, i in zip(",.;:!?", self._ids(list(",.;:!?")), strict=True)}
         self.memo = _Memo()
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that depend on their neighbours are not supported")
+        self.added = sorted((t.content for t in added.values()), key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, self.added))})")
+        self.memo.update(("\0" + t.content, np.array([i], dtype).tobytes()) for i, t in added.items())
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -128,11 +134,16 @@ class PieceEncoder:
         whole = self._ids([p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in rest])
         return out | {p: np.array(i, self.dtype).tobytes() for p, i in zip(rest, whole, strict=True)}
 
+    def _pieces(self, text: str) -> list[str]:
+        if not any(t in text for t in self.added):
+            return pieces(text)
+        return [p for i, part in enumerate(self.cut.split(text)) for p in (["\0" + part] if i % 2 else pieces(part))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         found, missed = [], []
         for t in texts:
             self.memo.missed = []
-            found.append(list(map(self.memo.__getitem__, pieces(t))))
+            found.append(list(map(self.memo.__getitem__, self._pieces(t))))
             missed.append(self.memo.missed)
         if any(missed):
             new = self._learn(list(dict.fromkeys(chain.from_iterable(missed))))
