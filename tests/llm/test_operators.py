@@ -440,3 +440,9 @@ def test_records_keep_special_tokens():
         got = [np.frombuffer(x, np.uint16).tolist() for x in encoder.encode(texts)]
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert got[0] == [64, 220, 50256, 275]
+
+
+def test_jaccard_refuses_what_it_cannot_promise(docs):
+    for percent in (50, 0, 101):
+        with pytest.raises(ValueError, match="above 50"):
+            jaccard.jaccard_links(docs, percent=percent)

@@ -220,8 +220,11 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
 
     members: (key, row, n_shingles, node) per row of ``docs``, row being the hash of its text and node the id of its set (0: empty).
     links: (a, b) pairs of nodes that connect every two linked sets, each verified; pairs
-    within what is already one component need not be listed.
+    within what is already one component need not be listed. ``percent`` must be above 50: linked
+    sets then share two shingles at least, and lie in one band or two next to each other.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("the signatures' guarantee holds for a similarity above 50 and up to 100 percent")
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     g = percent / 100
     both = materialize(_sketch(docs, n), "sketch")
