@@ -35,15 +35,14 @@ class VoteModel:
         return total
 
 
-def fit_votes(counts: dict[str, int], rules: int, rounds: int = 50, good_share: float = 0.8,
-              start: tuple[float, float] = (0.995, 0.3), floor: tuple[float, float] = (0.995, 0.1),
-              prior_weight: float = 20.0) -> VoteModel:
+def fit_votes(counts: dict[str, int], rules: int, rounds: int = 100, good_share: float = 0.8,
+              start: tuple[float, float] = (0.95, 0.5), most: float = 0.999, prior_weight: float = 20.0) -> VoteModel:
     """Fit class share and rule accuracies to pattern counts.
 
     Abstaining tells nothing about the class. Accuracies (on good rows, on bad rows)
-    start at ``start`` and stay at or above ``floor``: thresholds are set so that a rule fires on few good rows,
-    while a bad row may break one and pass the rest. As the floors add to more than 1,
-    the classes can't swap. ``prior_weight`` votes at ``start`` are added to each rule,
+    start at ``start``, which names the classes, and move freely between 1 - ``most`` and ``most``, but
+    for one bound: no rule is worse than chance, so a '+' never counts against a document nor
+    a '-' for it. ``prior_weight`` votes at ``start`` are added to each rule,
     which also defines the fit on no data.
     """
     share, acc = good_share, [start] * rules
@@ -52,7 +51,7 @@ def fit_votes(counts: dict[str, int], rules: int, rounds: int = 50, good_share:
         model = _model(share, acc)
         good = {p: 1 / (1 + math.exp(-max(-60.0, min(60.0, model.log_odds(p))))) for p, _ in patterns}
         share = (sum(n * good[p] for p, n in patterns) + prior_weight * good_share) / (sum(n for _, n in patterns) + prior_weight)
-        share = min(max(share, 0.5), 0.999)
+        share = min(max(share, 0.5), most)
         acc = []
         for r in range(rules):
             right = [prior_weight * s for s in start]
@@ -62,7 +61,8 @@ def fit_votes(counts: dict[str, int], rules: int, rounds: int = 50, good_share:
                     all_[0] += n * good[p]
                     all_[1] += n * (1 - good[p])
                     right[p[r] == "-"] += n * (good[p] if p[r] == "+" else 1 - good[p])
-            acc.append(tuple(min(max(a / b, low), 0.999) for a, b, low in zip(right, all_, floor, strict=True)))
+            good_right, bad_right = (min(max(a / b, 1 - most), most) for a, b in zip(right, all_, strict=True))
+            acc.append((good_right, max(bad_right, 1 - good_right)))
     return _model(share, acc)
 
 
