@@ -21,24 +21,30 @@ from pyspark.sql import functions as F
 
 from waymark.llm.em import VoteModel, fit_votes
 from waymark.llm.quality_rules import RULES, measures, votes
-from waymark.llm.text import ascii_lower, let, words
+from waymark.llm.text import let, words
 from waymark.plans.scratch import materialize
 
 MAX_TRAIN = 20_000
-FEATURES = 1 << 18
+FEATURES = 1 << 16
 
 
 def tokens(text: Column) -> Column:
-    """Words, and their shapes with runs of capitals, small letters and digits as A, a and 0."""
+    """Words; their shapes, with runs of capitals, small letters and digits as A, a and 0; and a mark for each word or line that repeats the one before."""
     shape = text
     for pattern, to in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"\p{N}+", "0")):
         shape = F.regexp_replace(shape, pattern, to)
-    return F.concat(words(ascii_lower(text)), F.transform(words(shape), lambda s: F.concat(F.lit("\0"), s)))
+
+    def again(parts: Column, mark: str) -> Column:
+        same = F.zip_with(parts, F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda x, y: F.when(x == y, F.lit(mark)))
+        return F.filter(same, lambda x: x.isNotNull())
+
+    return F.concat(let(words(F.lower(text)), lambda w: F.concat(w, again(w, "\1"))), again(F.split(text, "\n"), "\2"),
+                    F.transform(words(shape), lambda s: F.concat(F.lit("\0"), s)))
 
 
 def labellers(m: Column) -> list[Column]:
     """The quality rules' votes, but for length: a short text may be good, so shortness alone abstains."""
-    return [F.when(m["n_words"] >= 50, 1).otherwise(0), *votes(m)[1:]]
+    return [F.when(m["n_words"] >= 60, 1).otherwise(0), *votes(m)[1:]]
 
 
 def fit_labellers(docs: DataFrame, text: str = "text") -> tuple[VoteModel, int]:
@@ -65,7 +71,7 @@ def fit_scorer(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tra
     both = ready.select("features", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("y"))
     both = both.select("features", "y.label", "y.weight").where("weight > 0.001")
-    linear = LogisticRegression(weightCol="weight", regParam=0.02, maxIter=25).fit(both)
+    linear = LogisticRegression(weightCol="weight", regParam=0.001, maxIter=25).fit(both)
     return PipelineModel([hashed, scaled, linear])
 
 
