@@ -7,6 +7,8 @@ item with enough of them the longest match of unmarked words is marked again and
 down to ``least`` words. Tiles may come in any order, so reordered passages count. A document
 is contaminated when the tiles cover ``threshold`` of an item's words.
 
+A document and an item meet only through seeds other than the item's most common ones, of which it can
+spare as many as still leave a match; so a phrase that everybody uses doesn't pair all documents with all items.
 Seeds of all documents never travel: each task looks its seeds up in the benchmark's,
 which it holds BLOCK words at a time; a larger benchmark takes one pass per block.
 
@@ -19,49 +21,79 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.hashing import shingles, word_hashes
 from waymark.plans.scratch import materialize
 
 LEAST, THRESHOLD = 5, 0.5
+#: Pairs of places expanded at once.
+PAIRS = 1_000_000
 #: Benchmark words that a task holds at once (8 bytes a word).
 BLOCK = 2_000_000
 
 
 def tile(places: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (start in item, start in document, length) from seed places (item, document)."""
-    runs: dict[int, list[int]] = {}
-    for q, p in sorted(set(places)):
-        runs.setdefault(p - q, []).append(q)
-    heap = []
-    for shift, starts in runs.items():
-        first = previous = starts[0]
-        for q in [*starts[1:], None]:
-            if q is None or q != previous + 1:
-                heap.append((-(previous - first + least), first, first + shift))
-                first = q
-            previous = q
+    q, p = np.array(sorted(set(places)), np.int64).reshape(-1, 2).T
+    return tile_runs(_runs(q, p), least)
+
+
+def _runs(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """``(start in item, start in document, seeds)`` of the runs of seeds that go on in both texts."""
+    order = np.lexsort((q, p - q))
+    q, p = q[order], p[order]
+    first = np.ones(len(q), bool)
+    first[1:] = (p[1:] - q[1:] != p[:-1] - q[:-1]) | (q[1:] != q[:-1] + 1)
+    at = np.flatnonzero(first)
+    return np.stack([q[at], p[at], np.diff(np.append(at, len(q)))], axis=1)
+
+
+def matched_runs(item: np.ndarray, seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The runs between an item's seeds (by place) and a document's (with their places).
+
+    Where a text repeats itself so much that all pairs of places would not fit in memory, texts are compared shift by shift.
+    """
+    order = np.argsort(item, kind="stable")
+    low, high = (np.searchsorted(item[order], seeds, side) for side in ("left", "right"))
+    count = high - low
+    if count.sum() <= PAIRS:
+        ends = np.cumsum(count)
+        q = order[np.repeat(low - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        return _runs(q, np.repeat(places, count))
+    dense, there = np.zeros(int(places.max()) + 1, item.dtype), np.zeros(int(places.max()) + 1, bool)
+    dense[places], there[places] = seeds, True
+    found = []
+    for shift in range(1 - len(item), len(dense)):
+        q0, p0 = max(0, -shift), max(0, shift)
+        size = min(len(item) - q0, len(dense) - p0)
+        q = q0 + np.flatnonzero((item[q0:q0 + size] == dense[p0:p0 + size]) & there[p0:p0 + size])
+        if len(q):
+            found.append(_runs(q, q + shift))
+    return np.concatenate(found)
+
+
+def tile_runs(runs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Mark the longest run of unmarked words, cut the others by it, and so on down to ``least`` words."""
+    heap = [(1 - least - n, q, p) for q, p, n in runs.tolist()]
     heapq.heapify(heap)
-    marked_q, marked_p, tiles = set(), set(), []
+    marked_q, marked_p = (np.zeros(1 + max((x[i] - x[0] for x in heap), default=0), bool) for i in (1, 2))
+    tiles = []
     while heap:
         size, q, p = heapq.heappop(heap)
-        free = [i for i in range(-size) if q + i not in marked_q and p + i not in marked_p]
+        free = np.flatnonzero(~(marked_q[q:q - size] | marked_p[p:p - size]))
         if len(free) == -size:
             tiles.append((q, p, -size))
-            marked_q.update(range(q, q - size))
-            marked_p.update(range(p, p - size))
+            marked_q[q:q - size] = marked_p[p:p - size] = True
             continue
-        start = 0  # what is left of it, in runs of unmarked words
-        for i in range(1, len(free) + 1):
-            if i == len(free) or free[i] != free[i - 1] + 1:
-                if i - start >= least:
-                    heapq.heappush(heap, (-(i - start), q + free[start], p + free[start]))
-                start = i
+        for part in np.split(free, np.flatnonzero(np.diff(free) != 1) + 1):  # what is left of it
+            if len(part) >= least:
+                heapq.heappush(heap, (-len(part), q + int(part[0]), p + int(part[0])))
     return tiles
 
 
@@ -119,13 +151,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                places = [(x["q"], x["p"]) for x in r["places"]]
-                covered = set()
-                for q in {q for q, _ in places}:
-                    covered.update(range(q, q + least))
-                if len(covered) < threshold * r["item_words"]:
-                    continue
-                tiles = tile(places, least)
+                wanted = np.array([x["seed"] for x in sorted(r["wanted"], key=lambda x: x["q"])], np.int64)
+                seeds, places = (np.array([x[c] for x in r["hits"]], np.int64) for c in ("seed", "place"))
+                tiles = tile_runs(matched_runs(wanted, seeds, places), least)
                 words = sum(size for _, _, size in tiles)
                 if words >= threshold * r["item_words"]:
                     out.append((r["key"], r["row"], r["item"], words, r["item_words"], [{"item_start": q, "doc_start": p, "words": s} for q, p, s in sorted(tiles)]))
@@ -138,10 +166,20 @@ def _found(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "item_row"), F.lit(blocks)) == b)
         held = np.unique(np.array([r[0] for r in part.select("seed").distinct().collect()], np.int64).view(np.uint64))
-        hits = _seeds(rows(docs, key, text), least, held)
-        paired = (hits.join(part, "seed").groupBy("key", "row", "item", "item_row", "item_words")
-                  .agg(F.collect_list(F.struct("q", F.col("place").alias("p"))).alias("places")))  # places of one item in one document
-        tiled = paired.select("key", "row", "item", "item_words", "places").mapInArrow(
+        hits = materialize(_seeds(rows(docs, key, text), least, held).select("key", "row", "seed", "place").distinct(), "hits")
+        # tiles that cover the threshold hold this many places of the item's at least, so one of them is not among its most common ones
+        often = hits.groupBy("seed").agg(F.count("*").alias("often"))
+        each = ["item", "item_row"]
+        ranked = part.join(often, "seed", "left").withColumn("turn", F.row_number().over(Window.partitionBy(*each).orderBy(F.desc_nulls_last("often"), "q")))  # places of one item
+        telling = ranked.where(F.col("turn") > F.ceil(threshold * F.col("item_words") / least) - 1)
+        pairs = (hits.select("key", "row", "seed").distinct().join(telling.select(*each, "item_words", "seed").distinct(), "seed")
+                 .select("key", "row", *each, "item_words").distinct())
+        wanted = part.groupBy(*each).agg(F.collect_list(F.struct("q", "seed")).alias("wanted"))  # one item's places
+        held_by = hits.groupBy("key", "row").agg(F.collect_list(F.struct("place", "seed")).alias("hits"))  # one document's places
+        same = lambda x, y, names: reduce(lambda a, b: a & b, [x[c].eqNullSafe(y[c]) for c in names])
+        both = pairs.join(wanted, same(pairs, wanted, each)).select(pairs["*"], "wanted")
+        both = both.join(held_by, same(both, held_by, ["key", "row"])).select(both["*"], "hits")
+        tiled = both.select("key", "row", "item", "item_words", "wanted", "hits").mapInArrow(
             run, "key long, row long, item long, words_covered long, item_words long, tiles array<struct<item_start:long,doc_start:long,words:long>>")
         found = tiled if found is None else found.unionByName(tiled)
     return found.select(F.col("key").alias(key), "row", F.col("item").alias(item), "words_covered", "item_words",
