@@ -13,12 +13,15 @@ taken of a source and pass are those up to one place in its shuffle, ``mix`` fil
 place and never joins texts by document.
 
 Defined cases: a null source is one more source, after all others; null and blank texts have
-size 0 and ride along free; a source without words gets target 0; equal rows are ordered
-by key and text and taken alike; an empty table gives an empty mix; other columns are kept.
+size 0 and ride along free; a source without words gets target 0; equal rows
+are one document, taken or left together; rows with a null key are drawn by their text, and those with an
+equal key follow each other, ordered by their texts' hash; an empty table gives an empty mix; other columns are kept.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +31,16 @@ from waymark.llm.text import words
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source's words are used so often at most.
 PASSES = 2
-#: Hash ranges per source and pass, and ranges of finish time. Raise them with the number of documents in a source.
-RANGES = 4096
 
 
-def draw(key: Column, turn: Column, seed: str) -> Column:
-    """A number in [0, 2**32) for a document and pass, from SHA-256."""
-    named = F.concat_ws("|", F.lit(seed), turn.cast("string"), F.coalesce(key.cast("string"), F.lit("")))
+def n_ranges(rows: int) -> int:
+    """Hash ranges per source and pass, and ranges of finish time: about the root of the number of rows, so that neither the ranges nor what one holds grow as fast as the data."""
+    return 1 << max(6, math.ceil(math.log2(max(1, rows)) / 2))
+
+
+def draw(key: Column, turn: Column, seed: str, h: Column) -> Column:
+    """A number in [0, 2**32) for a document (its key or, without one, its text's hash ``h``) and pass, from SHA-256."""
+    named = F.concat_ws("|", F.lit(seed), turn.cast("string"), F.coalesce(key.cast("string"), F.concat(F.lit("h"), h.cast("string"))))
     return F.conv(F.substring(F.sha2(named, 256), 1, 8), 16, 10).cast("long")
 
 
@@ -71,47 +77,51 @@ def schedule(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     sized = materialize(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.cast("long").alias("size"),
                                     F.xxhash64(text).alias("h")), "sizes")
     plan = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share), "targets")
-    turns = sized.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(PASSES)])))
-    turns = turns.withColumn("u", draw(F.col("key"), F.col("pass"), seed)).withColumn("range", F.expr(f"u div {2**32 // RANGES}"))
+    rows = sized.groupBy("key", "source", "size", "h").agg(F.count("*").alias("n"))  # equal rows travel as one
+    ranges = n_ranges(sized.count())
+    turns = rows.withColumn("words", F.col("size") * F.col("n")).withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(PASSES)])))
+    turns = turns.withColumn("u", draw(F.col("key"), F.col("pass"), seed, F.col("h"))).withColumn("range", F.expr(f"u div {2**32 // ranges}"))
     by = ["source", "pass", "range"]
-    sums = turns.groupBy(*by).agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source").orderBy("pass", "range")  # at most PASSES * RANGES rows of a source
+    sums = turns.groupBy(*by).agg(F.sum("words").alias("words"))
+    order = Window.partitionBy("source").orderBy("pass", "range")  # PASSES * ranges rows of a source
     sums = sums.select(F.col("source").alias("s"), F.col("pass").alias("p"), F.col("range").alias("r"),
                        (F.sum("words").over(order) - F.col("words")).alias("earlier"))
     within = Window.partitionBy(*by).orderBy("u", "h", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    timed = (turns.withColumn("inside", F.sum("size").over(within))
+    timed = (turns.withColumn("inside", F.sum("words").over(within))
              .join(sums, turns["source"].eqNullSafe(sums["s"]) & (turns["pass"] == sums["p"]) & (turns["range"] == sums["r"])))
     goal = plan.select(F.col("source").alias("t"), "target")
     timed = materialize(timed.join(goal, timed["source"].eqNullSafe(goal["t"]))
-                        .select("source", "pass", "u", "h", "key", "size",
+                        .select("source", "pass", "u", "h", "words",
                                 F.when(F.col("target") > 0, (F.col("earlier") + F.col("inside")) / F.col("target")).otherwise(0.0).alias("finish")), "times")
-    cut = _cut(timed, plan)
+    cut = _cut(timed, plan, ranges)
     taken = timed.where(F.col("finish") <= cut).groupBy("source", "pass").agg(F.max(F.struct("u", "h")).alias("last"))
     return sized, plan, materialize(taken.select("source", "pass", "last.u", "last.h"), "last")
 
 
-def _cut(timed: DataFrame, plan: DataFrame) -> float:
-    """The latest finish time within the budget: range-sort, accumulate, truncate. One number reaches the driver."""
-    budget = plan.agg(F.sum("target")).first()[0] or 0.0
-    # a few ulps of slack: a source whose target is its cap ends at a finish time of 1
-    ranged = timed.where("finish <= 4").withColumn("slot", F.floor(F.col("finish") * RANGES))
-    slots = ranged.groupBy("slot").agg(F.sum("size").alias("words"))  # at most 4 * RANGES rows
+def _cut(timed: DataFrame, plan: DataFrame, ranges: int) -> float:
+    """The latest finish time within the budget: range-sort, accumulate, truncate. Three numbers reach the driver."""
+    budget = (plan.agg(F.sum("target")).first()[0] or 0.0) + 1e-6
+    # sources without oversized documents are done by a time of 1, give or take one document; later times share a few wide ranges
+    slot = F.when(F.col("finish") < 4, F.floor(F.col("finish") * ranges)).otherwise(4 * ranges + F.floor(F.log2(F.greatest("finish", F.lit(4.0))) * 64))
+    ranged = timed.withColumn("slot", slot.cast("long"))
+    slots = ranged.groupBy("slot").agg(F.sum("words").alias("words"), F.max("finish").alias("last"))  # some 4 * ranges rows
     running = slots.withColumn("up_to", F.sum("words").over(Window.orderBy("slot")))
-    over = running.where(F.col("up_to") > budget + 1e-6).orderBy("slot").select("slot", (F.col("up_to") - F.col("words")).alias("before")).first()
+    over = running.where(F.col("up_to") > budget).orderBy("slot").select("slot", (F.col("up_to") - F.col("words")).alias("before")).first()
     if over is None:
         return float("inf")
-    last = Window.orderBy("finish")  # one range of finish times, a small share of the mix
-    inside = (ranged.where(F.col("slot") == over["slot"]).groupBy("finish").agg(F.sum("size").alias("words"))
-              .withColumn("up_to", over["before"] + F.sum("words").over(last))
-              .where(F.col("up_to") <= budget + 1e-6).agg(F.max("finish")).first()[0])
-    return inside if inside is not None else over["slot"] / RANGES - 1e-12
+    inside = (ranged.where(F.col("slot") == over["slot"]).groupBy("finish").agg(F.sum("words").alias("words"))
+              .withColumn("up_to", over["before"] + F.sum("words").over(Window.orderBy("finish")))  # one range of finish times
+              .where(F.col("up_to") <= budget).agg(F.max("finish")).first()[0])
+    if inside is None:
+        inside = slots.where(F.col("slot") < over["slot"]).agg(F.max("last")).first()[0]
+    return inside if inside is not None else -1.0
 
 
 def _served(rows: DataFrame, last: DataFrame, seed: str) -> Column:
     """Number of passes in which a row of (key, source, h) is taken, given last's places as columns."""
     total = F.lit(0)
     for i in range(PASSES):
-        u = draw(F.col("key"), F.lit(i), seed)
+        u = draw(F.col("key"), F.lit(i), seed, F.col("h"))
         end = F.col("ends")[i]
         total = total + F.when(F.struct(u.alias("u"), F.col("h").alias("h")) <= end, 1).otherwise(0)
     return total
