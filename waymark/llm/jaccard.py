@@ -1,24 +1,32 @@
 """Exact n-gram Jaccard self-join by PartEnum signatures, as links and components.
 
-Sets with similarity g or more differ in at most k = floor(s (1 + 1 / g) (1 - g) / (1 + g))
-elements, s being either's size. Sizes fall into bands (s < 16, then doubling). In a band
+Sets with similarity g or more differ in at most k = floor((n + m) (1 - g) / (1 + g)) elements,
+n and m being their sizes. Sizes fall into bands (n < 16, then doubling). In a band
 the shingle domain is cut into parts; k differing elements touch at most k parts, so two
-linked sets agree on all but k of their non-empty parts. Each set lists its parts in one
-global order and enumerates subsets of the first k + q of them: q = 1 part from size 16 on,
-every pair of parts (q = 2) below it. Linked sets then share a subset. A set whose smaller
+linked sets agree on all but k of their non-empty parts. PartEnum pairs parts up (first
+level) and enumerates, within a pair, the subsets that one difference leaves whole (second level, of two
+halves one): that is one signature a part, and k + 1 of them suffice. Below 16 shingles every pair of
+the first k + 2 parts is enumerated. Each set lists its non-empty parts in one global order, so that
+linked sets share a signature among their first ones. A set whose smaller
 partner may lie in the band below signs for that band too. The global order puts parts
 last that hold frequent shingles only, which keeps common passages out of the signatures
 without touching the guarantee.
 
-Buckets never emit all their pairs. Every member is compared with the bucket's smallest
-node, then, in rounds, with a node of the bucket's largest component. Buckets of one
+Most sets that share a signature aren't similar, and are told apart without their shingles: each set has a
+parity bitmap of one to two bits a shingle, and two bitmaps differ in no more bits than their
+sets differ in elements. Only pairs within k bits are verified, on the sets.
+
+Buckets of equal members are one bucket. Buckets never emit all their pairs. In one of up to SMALL members, each
+member first meets the smallest one within k bits; when the links found are joined into components, pairs within k bits
+of different components follow. In larger ones every member is compared with the smallest
+node, then with a node of the bucket's largest component. Buckets of one
 component are settled. In the others, nodes that can't reach the threshold by the number
 of their shingles that any other open node has are dropped, and the few that remain are
 compared across components, block by block.
 
 Defined cases: null, empty and blank texts have the empty set and link with nothing; fewer
 words than n make one shingle; equal sets are one node and always link; rows with an equal
-or null key are documents of their own; an empty table gives an empty result; other
+or null key are documents of their own, told apart by their texts; an empty table gives an empty result; other
 columns are never read.
 """
 
@@ -39,12 +47,16 @@ from waymark.plans.scratch import materialize, release
 MAX_FREQUENT, MAX_COPIED = 200_000, 100_000
 #: Rows worked on at once in a task.
 SLICE = 1000
+#: Largest bucket whose members are compared by their bitmaps in one task.
+SMALL = 64
 #: Nodes per block, and shingles per product, in the last comparison.
 BLOCK, WIDE = 128, 16_384
-#: Rounds in which the largest component of a bucket meets the others, before what is left is compared.
-ROUNDS = 1
 #: Slices whose shingles are counted together.
 COUNTED = 4
+#: Bits of the filter that names the wanted texts (8 MB, whatever the number of texts).
+FILTER = 1 << 26
+#: Bytes kept of a shingle's hash in verification.
+KEPT = 6
 _U = np.uint64
 _SMALL = 16
 
@@ -59,15 +71,23 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap of a set: bit i tells whether an odd number of elements fall on i. Widths are powers of two, 64 at least."""
+    width = max(64, 1 << len(s).bit_length())
+    odd = np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sketch(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: key, row (text hash), n_shingles, node; and shingles frequent in some slices as (key = shingle, n_shingles = rows, others null)."""
+    """Per row: key, row (text hash), n_shingles, node, bits; and shingles frequent in some slices as (key = shingle, n_shingles = rows, others null)."""
 
     def often(sets: list[np.ndarray]) -> pa.RecordBatch:
         found, rows = np.unique(np.concatenate(sets), return_counts=True)
         many = rows >= max(3, len(sets) // 500)
+        size = int(many.sum())
         return pa.RecordBatch.from_arrays([
-            pa.array(found[many].view(np.int64)), pa.nulls(int(many.sum()), pa.int64()), pa.array(rows[many].astype(np.int64)),
-            pa.nulls(int(many.sum()), pa.int64())], names=["key", "row", "n_shingles", "node"])
+            pa.array(found[many].view(np.int64)), pa.nulls(size, pa.int64()), pa.array(rows[many].astype(np.int64)),
+            pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary())], names=["key", "row", "n_shingles", "node", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -75,7 +95,8 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
             sets = _sets(batch.column("text"), n)
             yield pa.RecordBatch.from_arrays([
                 batch.column("key"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([set_key(s) for s in sets], pa.int64())], names=["key", "row", "n_shingles", "node"])
+                pa.array([set_key(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())],
+                names=["key", "row", "n_shingles", "node", "bits"])
             held += sets
             if len(held) >= COUNTED * SLICE:
                 yield often(held)
@@ -83,13 +104,13 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield often(held)
 
-    return docs.withColumn("row", F.xxhash64("text")).mapInArrow(run, "key long, row long, n_shingles long, node long")
+    return docs.withColumn("row", F.xxhash64("text")).mapInArrow(run, "key long, row long, n_shingles long, node long, bits binary")
 
 
 def signatures(sets: list[np.ndarray], frequent: np.ndarray, g: float) -> tuple[np.ndarray, np.ndarray]:
     """``(signature, index of its set)`` for all sets; ``frequent``: sorted shingles that go last."""
     sigs, owners = [], []
-    large: list[tuple[int, int, int]] = []
+    large: list[tuple[int, int, int, int]] = []
     for i, s in enumerate(sets):
         size = len(s)
         if size < 2:
@@ -98,20 +119,20 @@ def signatures(sets: list[np.ndarray], frequent: np.ndarray, g: float) -> tuple[
         for b in (band, band - 1):
             if b < band and (band == 3 or -(-size * g // 1) > 2 ** band - 1):
                 continue
+            k = _differ(size, int(size / g + 1e-9) if b == band else 2 ** band - 1, g)
             if b > 3:
-                large.append((i, b, size))
+                large.append((i, b, size, k))
             else:
                 last = _among(s, frequent)
-                k = _differ(size, g)
                 first = np.concatenate([s[~last], s[last]])[:k + 2]
                 a, c = np.triu_indices(len(first), 1)
                 sigs.append(mix(first[a] * _U(0x9E3779B97F4A7C15) + mix(first[c])))
                 owners.append(np.full(len(a), i))
     if large:
-        index, bands, sizes = (np.array(x) for x in zip(*large, strict=True))
+        index, bands, sizes, differ = (np.array(x) for x in zip(*large, strict=True))
         flat = np.concatenate([sets[i] for i in index])
         turn = np.repeat(np.arange(len(index)), sizes)
-        parts = 3 * 2 ** (bands - 1)  # 3/4 of the band's upper size
+        parts = 2 ** bands  # half of the band's upper size
         base = np.concatenate([[0], np.cumsum(parts)])
         h = mix(flat)
         slot = base[turn] + (h % parts[turn].astype(_U)).astype(np.int64)
@@ -128,7 +149,6 @@ def signatures(sets: list[np.ndarray], frequent: np.ndarray, g: float) -> tuple[
         n_rare = before[starts[1:]] - before[starts[:-1]]
         rank_rare = before[:-1] - before[starts[who]]
         rank_last = np.arange(len(who)) - starts[who] - rank_rare + n_rare[who]
-        differ = np.array([_differ(s, g) for s in sizes])
         take = np.where(rare, rank_rare, rank_last) <= differ[who]
         sigs.append(sig[take])
         owners.append(index[who[take]])
@@ -140,9 +160,9 @@ def signatures(sets: list[np.ndarray], frequent: np.ndarray, g: float) -> tuple[
     return np.concatenate(sigs), np.concatenate(owners)
 
 
-def _differ(size: int, g: float) -> int:
-    """Most elements in which a set of this size and a partner of any allowed size differ."""
-    return int(np.floor(size * (1 + 1 / g) * (1 - g) / (1 + g) + 1e-9))
+def _differ(n: int, m: int, g: float) -> int:
+    """Most elements in which linked sets of sizes n and m differ."""
+    return int(np.floor((n + m) * (1 - g) / (1 + g) + 1e-9))
 
 
 def _among(values: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -168,37 +188,138 @@ def _sign(docs: DataFrame, n: int, g: float, frequent: np.ndarray, copied: dict[
     return docs.mapInArrow(run, "sig long, node long")
 
 
-def _texts(docs: DataFrame, first: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, text)`` of the named nodes; a key that rows share can bring other texts, which verification drops."""
-    wanted = first.join(nodes, "node").withColumnRenamed("key", "k")
-    return (docs.join(wanted, docs["key"].eqNullSafe(wanted["k"])).select("node", "text")
-            .withColumn("h", F.xxhash64("text")).repartition("node").dropDuplicates(["node", "h"]).drop("h"))
+def _folded(maps: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the width."""
+    half = maps.shape[1] // 2
+    return maps[:, :half] ^ maps[:, half:]
+
+
+def near(sizes: np.ndarray, maps: list[bytes], g: float) -> np.ndarray:
+    """``(i, j)``, i < j: pairs of sets that sizes and bitmaps allow to be linked."""
+    size = sizes.astype(float)
+    ok = np.triu(np.minimum.outer(size, size) >= g * np.maximum.outer(size, size) - 1e-9, 1)
+    most = (size[:, None] + size[None, :]) * (1 - g) / (1 + g) + 1e-9
+    width = np.array([len(m) for m in maps])
+    for w in np.unique(width):  # linked sets' widths are equal or next to each other
+        own = np.flatnonzero(width == w)
+        bits = np.frombuffer(b"".join(maps[i] for i in own), _U).reshape(len(own), -1)
+        for x, y, bx, by in ((own, own, bits, bits), (own, wide := np.flatnonzero(width == 2 * w), bits, None)):
+            if by is None and len(y):
+                by = _folded(np.frombuffer(b"".join(maps[i] for i in wide), _U).reshape(len(wide), -1))
+            if len(y):
+                apart = np.bitwise_count(bx[:, None, :] ^ by[None, :, :]).sum(2, dtype=np.int64)
+                fits = apart <= most[np.ix_(x, y)]
+                ok[np.ix_(x, y)] &= fits
+                if y is not x:
+                    ok[np.ix_(y, x)] &= fits.T
+    return np.argwhere(ok)
+
+
+def _met(groups: DataFrame, g: float, every: bool) -> DataFrame:
+    """``(grp, a, b)`` of groups up to SMALL (grp, node, n, bits and, for ``every``, label).
+
+    Nodes that may be linked with another of their group give a row (grp, node, null), and a row
+    (null, a, b) with the smallest such other. ``every``: rows (null, a, b) for all of them with different labels.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for grp, members in zip(batch.column("grp").to_pylist(), batch.column("members").to_pylist(), strict=True):
+                node = [m["node"] for m in members]
+                pairs = near(np.array([m["n"] for m in members]), [m["bits"] for m in members], g).tolist()
+                if every:
+                    label = [m["label"] for m in members]
+                    rows += [(None, min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs if label[i] != label[j]]
+                    continue
+                best: dict[int, int] = {}
+                for i, j in pairs:
+                    best[node[i]] = min(best.get(node[i], node[j]), node[j])
+                    best[node[j]] = min(best.get(node[j], node[i]), node[i])
+                rows += [(None, min(x, y), max(x, y)) for x, y in best.items()]
+                rows += [(grp, x, None) for x in best]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["grp", "a", "b"])
+
+    fields = ["node", "n", "bits"] + ["label"] * every
+    return groups.groupBy("grp").agg(F.collect_list(F.struct(*fields)).alias("members")).mapInArrow(run, "grp long, a long, b long")
+
+
+def _within_bits(pairs: DataFrame, nodes: DataFrame, g: float) -> DataFrame:
+    """The pairs ``(a, b)`` that sizes and then bitmaps allow to be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, ba, bb = (batch.column(c).to_pylist() for c in ("na", "nb", "bits_a", "bits_b"))
+            keep = [bool(len(near(np.array([x, y]), [p, q], g))) for x, y, p, q in zip(na, nb, ba, bb, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    n = nodes.select("node", "n")
+    sized = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").where(F.least("na", "nb") >= g * F.greatest("na", "nb") - 1e-9)
+    bits = nodes.select("node", "bits")
+    return (sized.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+            .select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long"))
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, text)`` of ``nodes`` (node, key, row: where its text is found).
+
+    Texts that nobody asks for are left out by a bit filter of fixed size before any text moves;
+    the join decides.
+    """
+    place = lambda row: F.pmod(F.xxhash64(row), F.lit(FILTER))
+    page = 1 << 15
+    filled = nodes.select(place("row").alias("p")).groupBy(F.expr(f"p div {page}").alias("page")).agg(
+        F.bitmap_construct_agg(F.pmod("p", F.lit(page))).alias("map"))  # FILTER / page rows of 4 KB
+    rows = docs.withColumn("r", F.xxhash64("text")).withColumn("p", place("r"))
+    byte = F.expr(f"cast(conv(hex(substring(map, cast(pmod(p, {page}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    asked = rows.join(F.broadcast(filled), F.expr(f"p div {page}") == F.col("page")).where(
+        byte.bitwiseAND(F.expr("shiftleft(1, cast(pmod(p, 8) as int))")) != 0)
+    wanted = nodes.select("node", F.col("key").alias("k"), F.col("row").alias("w"))
+    return (asked.join(wanted, (asked["r"] == wanted["w"]) & asked["key"].eqNullSafe(wanted["k"]))
+            .groupBy("node").agg(F.first("text").alias("text")))
+
+
+def _pack(s: np.ndarray) -> bytes:
+    return s.view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEPT, 8), np.uint8)
+    out[:, :KEPT] = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
+    return out.view(_U).ravel()
 
 
-def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def _packed_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """``(node, shingles)`` of ``nodes`` (node, key, row), KEPT bytes a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            sets = _sets(batch.column("text"), n)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([_pack(s) for s in sets], pa.binary())], names=["node", "shingles"])
+
+    return _texts(docs, nodes).mapInArrow(run, "node long, shingles binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of nodes whose sets are similar enough, by exact sizes of intersection and union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             ok = []
-            for at in range(0, len(a), 500):
-                x, y = (_sets(batch.column(c).slice(at, 500), n) for c in ("text_a", "text_b"))
-                for i, (s, t) in enumerate(zip(x, y, strict=True)):
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(t) - both) and set_key(s) == a[at + i] and set_key(t) == b[at + i]:
-                        ok.append(at + i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], names=["a", "b"])
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = _unpack(x.as_py()), _unpack(y.as_py())
+                both = np.concatenate((x, y))
+                both.sort()
+                same = int(np.count_nonzero(both[1:] == both[:-1]))
+                ok.append(100 * same >= percent * (len(both) - same))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = materialize(_texts(docs, first, nodes), "texts")
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), texts
+    left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _possible(docs: DataFrame, first: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """``(node, shared)``: how many of its shingles another of these nodes has too."""
+def _possible(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """``(node, shared)``: how many of its shingles another of these nodes (node, key, row) has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +329,7 @@ def _possible(docs: DataFrame, first: DataFrame, nodes: DataFrame, n: int) -> Da
                     pa.array(np.concatenate(sets).view(np.int64)),
                     pa.array(np.repeat(np.array([set_key(s) for s in sets], np.int64), [len(s) for s in sets]))], names=["shingle", "node"])
 
-    rows = _texts(docs, first, nodes).mapInArrow(run, "shingle long, node long")
+    rows = _texts(docs, nodes).mapInArrow(run, "shingle long, node long")
     w = Window.partitionBy("shingle")
     return (rows.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w))
             .where("low <> high").groupBy("node").agg(F.count_distinct("shingle").alias("shared")))
@@ -228,56 +349,83 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     g = percent / 100
     both = materialize(_sketch(docs, n), "sketch")
-    members = both.where("node is not null")
+    members = both.where("node is not null").drop("bits")
     frequent = np.sort(np.array([r[0] for r in (
         both.where("node is null").groupBy("key").agg(F.sum("n_shingles").alias("rows"))
         .orderBy(F.desc("rows"), "key").limit(MAX_FREQUENT).select("key").collect())], np.int64).view(_U))
-    first = members.where("node <> 0").groupBy("node").agg(
-        F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
-    first = materialize(first, "nodes")
-    copied = {r["node"]: r["key"] for r in first.where("rows >= 8").orderBy(F.desc("rows"), "node").limit(MAX_COPIED).select("node", "key").collect()}
-    size = first.select("node", "n")
-    first = first.select("node", "key")
+    at = F.min(F.struct(F.isnull("key").alias("last"), "key", "row"))
+    nodes = materialize(both.where("node <> 0").groupBy("node").agg(
+        at.alias("at"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("rows"))
+        .select("node", "at.key", "at.row", "n", "bits", "rows"), "nodes")
+    copied = {r["node"]: r["key"] for r in nodes.where("rows >= 8 and key is not null").orderBy(F.desc("rows"), "node").limit(MAX_COPIED).select("node", "key").collect()}
+    nodes = nodes.drop("rows")
 
     w = Window.partitionBy("sig")
-    buckets = materialize(
-        _sign(docs, n, g, frequent, copied)
-        .withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w))
-        .where("low <> high").select("sig", "node", "low").distinct(), "buckets")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        a, b = size.toDF("a", "na"), size.toDF("b", "nb")
-        return pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-
-    def compare(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
-        found, texts = _verified(docs, first, pairs, n, percent)
-        links = materialize(found if links is None else links.unionByName(found), "links")
-        release(texts)
-        return links
+    shared = (_sign(docs, n, g, frequent, copied)
+              .withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w))
+              .where("low <> high").select("sig", "node", "low").distinct())
+    # buckets of equal members get one name, and are one from here on
+    named = shared.withColumn("size", F.count("*").over(w)).withColumn("grp", F.xxhash64(
+        "low", "size", F.bit_xor(F.xxhash64("node")).over(w), F.bit_xor(F.xxhash64("node", F.lit(1))).over(w)))
+    groups = materialize(named.select("grp", "node", "low", "size").dropDuplicates(["grp", "node"]), "groups")
+    small, large = groups.where(F.col("size") <= SMALL), groups.where(F.col("size") > SMALL)
+
+    met = materialize(_met(small.select("grp", "node").join(nodes.select("node", "n", "bits"), "node"), g, False), "met")
+    stars = large.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    hot = not stars.isEmpty()
+    pairs = met.where("grp is null").groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(
+        met.where("grp is null").groupBy("a").agg(F.min("b").alias("b"))).distinct()
+    if hot:
+        pairs = pairs.union(_within_bits(stars, nodes, g)).distinct()
+    pairs = materialize(pairs, "pairs")
+    sets = materialize(_packed_sets(docs, _where(nodes, pairs), n), "sets")
+    links = materialize(_verified(pairs, sets, percent), "links")
 
-    star = buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    checked = star = materialize(sized(star), "pairs")
-    links = compare(star, None)
-    need = g / (1 + g)
-    for turn in range(ROUNDS + 1):
-        # pairs with a bucket's smallest node are settled, so it takes no further part
-        open_ = materialize(_open(buckets.where("node <> low"), connected_components(links, "a", "b").toDF("node", "label")), "open")
-        if turn == ROUNDS or open_.isEmpty():
-            break
-        # the bucket's largest component sends one node, turn by turn another, to meet the members of the others
-        most = Window.partitionBy("sig")
-        led = (open_.withColumn("many", F.count("*").over(Window.partitionBy("sig", "label")))
-               .withColumn("lead", F.max(F.struct("many", F.xxhash64("node", F.lit(turn)), "node", "label")).over(most)))
-        pairs = (led.where(F.col("lead.label") != F.col("label"))
-                 .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-                 .join(checked, ["a", "b"], "left_anti"))
-        pairs = materialize(sized(pairs), "pairs")
+    labels = connected_components(links, "a", "b").toDF("node", "label")
+    alive = _open(met.where("grp is not null").select(F.col("grp").alias("sig"), F.col("a").alias("node")), labels)
+    again = _met(alive.withColumnRenamed("sig", "grp").join(nodes.select("node", "n", "bits"), "node"), g, True)
+    again = materialize(again.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "again")
+    if not again.isEmpty():
+        links = materialize(links.unionByName(_verified(again, sets, percent)), "links")
+        labels = connected_components(links, "a", "b").toDF("node", "label")
+    for table in (met, sets, again):
+        release(table)
+    if hot:
+        links = _large(docs, nodes, large, pairs, links, labels, n, percent)
+    release(groups)
+    return members, links
+
+
+def _where(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(node, key, row)`` of the nodes of ``pairs``."""
+    return nodes.select("node", "key", "row").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+
+
+def _large(docs: DataFrame, nodes: DataFrame, large: DataFrame, checked: DataFrame, links: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame:
+    """``links`` and those within buckets of more than SMALL nodes, whose pairs with the bucket's smallest node are settled."""
+    g = percent / 100
+    size = nodes.select("node", "n")
+    buckets = large.where("node <> low").select(F.col("grp").alias("sig"), "node")
+    open_ = materialize(_open(buckets, labels), "open")
+    if open_.isEmpty():
+        return links
+    # the bucket's largest component sends one node to meet the members of the others
+    led = (open_.withColumn("many", F.count("*").over(Window.partitionBy("sig", "label")))
+           .withColumn("lead", F.max(F.struct("many", F.xxhash64("node"), "node", "label")).over(Window.partitionBy("sig"))))
+    pairs = (led.where(F.col("lead.label") != F.col("label"))
+             .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+             .join(checked, ["a", "b"], "left_anti"))
+    pairs = materialize(_within_bits(pairs, nodes, g), "pairs")
+    if not pairs.isEmpty():
+        sets = materialize(_packed_sets(docs, _where(nodes, pairs), n), "sets")
+        links = materialize(links.unionByName(_verified(pairs, sets, percent)), "links")
+        release(sets)
         release(open_)
-        links = compare(pairs, links)
-        checked = checked.unionByName(pairs)
+        open_ = materialize(_open(buckets, connected_components(links, "a", "b").toDF("node", "label")), "open")
 
     # A partner of size m needs g / (1 + g) (n + m) common shingles: at least g n, and at least this with the bucket's smallest m.
-    shared = _possible(docs, first, open_.select("node").distinct(), n)
+    need = g / (1 + g)
+    shared = _possible(docs, nodes.select("node", "key", "row").join(open_.select("node").distinct(), "node"), n)
     w = Window.partitionBy("sig")
     alive = (open_.join(size, "node").join(shared, "node").where(F.col("shared") >= g * F.col("n") - 1e-6)
              .withColumn("n0", F.min("n").over(w)).where(F.col("shared") >= need * (F.col("n") + F.col("n0")) - 1e-6)
@@ -286,12 +434,11 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     alive = materialize(alive, "open")
     release(open_)
     if not alive.isEmpty():
-        links = materialize(links.unionByName(_blockwise(docs, first, alive, n, percent)), "links")
-    release(buckets)
-    return members, links
+        links = materialize(links.unionByName(_blockwise(docs, nodes, alive, n, percent)), "links")
+    return links
 
 
-def _blockwise(docs: DataFrame, first: DataFrame, alive: DataFrame, n: int, percent: int) -> DataFrame:
+def _blockwise(docs: DataFrame, nodes: DataFrame, alive: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between different labels among ``alive`` (sig, node, label).
 
     Nodes that share buckets, directly or through others, are dealt into blocks of BLOCK. A
@@ -332,7 +479,7 @@ def _blockwise(docs: DataFrame, first: DataFrame, alive: DataFrame, n: int, perc
     meet = (blocks.toDF("group", "b1", "l0", "l1").join(blocks.toDF("group", "b2", "m0", "m1"), "group")
             .where("b1 <= b2 and not (l0 = l1 and m0 = m1 and l0 = m0)").select("group", "b1", "b2"))
     seats = meet.withColumn("block", F.explode(F.array_distinct(F.array("b1", "b2"))))
-    texts = materialize(_texts(docs, first, dealt.select("node")), "texts")
+    texts = materialize(_texts(docs, nodes.select("node", "key", "row").join(dealt.select("node"), "node")), "texts")
     table = seats.join(dealt, ["group", "block"]).join(texts, "node").select("group", "b1", "b2", "node", "label", "text")
     out = materialize(table.groupBy("group", "b1", "b2").applyInArrow(run, "a long, b long").distinct(), "links")
     release(texts)
