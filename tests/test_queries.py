@@ -1,5 +1,6 @@
 import pytest
 
+import waymark.road_queries  # noqa: F401
 from tests.oracle import compare
 from waymark.queries import ORACLES, QUERIES
 

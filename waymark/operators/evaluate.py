@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.ranks import counted, running
 from waymark.operators.sequence import average_rank
 
 
@@ -25,8 +26,7 @@ def spearman(rows: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
 def binary(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """n, positives, ROC-AUC, average precision, Brier (E2). Sums by distinct score first, so equal scores count half."""
     at = rows.groupBy(score).agg(F.sum(F.col(truth)).alias("p"), F.count("*").alias("c"), F.sum(F.pow(F.col(score) - F.col(truth), 2)).alias("b"))
-    w = Window.orderBy(F.desc(score))  # one row per distinct score
-    run = at.withColumn("tp", F.sum("p").over(w)).withColumn("seen", F.sum("c").over(w)).withColumn("neg", F.col("c") - F.col("p"))
+    run = running(at, [], score, {"tp": "p", "seen": "c"}, descending=True).withColumn("neg", F.col("c") - F.col("p"))
     total = run.agg(F.sum("p").alias("P"), F.sum("neg").alias("N"), F.sum("b").alias("B"),
                     F.sum(F.col("neg") * (F.col("tp") - F.col("p") / 2)).alias("wins"), F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("prec"))
     return total.select((F.col("P") + F.col("N")).alias("n"), F.col("P").alias("positives"), F.try_divide(F.col("wins"), F.col("P") * F.col("N")).alias("auc"),
@@ -60,8 +60,7 @@ def ks_distance(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """Largest distance of two empirical distribution functions (E8), on sums by distinct value."""
     both = a.select(value, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(value, F.lit(0).alias("x"), F.lit(1).alias("y")))
     at = both.groupBy(value).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    w = Window.orderBy(value)  # one row per distinct value
-    run = at.select(F.sum("x").over(w).alias("cx"), F.sum("y").over(w).alias("cy"))
+    run = running(at, [], value, {"cx": "x", "cy": "y"})
     return run.crossJoin(run.agg(F.max("cx").alias("nx"), F.max("cy").alias("ny"))).agg(F.max(F.abs(F.col("cx") / F.col("nx") - F.col("cy") / F.col("ny"))).alias("ks"))
 
 
@@ -79,10 +78,9 @@ def variance_shares(rows: DataFrame, group: str, value: str) -> DataFrame:
 def split_conformal(calibration: DataFrame, rows: DataFrame, truth: str, prediction: str, level: float = 0.9) -> DataFrame:
     """Band of the ``level`` quantile (method higher) of absolute calibration residuals: q, coverage, mean width."""
     r = calibration.select(F.abs(F.col(truth) - F.col(prediction)).alias("r"))
-    n = r.agg(F.count("r").alias("n"))
     # the higher quantile is the smallest residual with at least ceil(level (n - 1)) residuals below it
-    at = r.groupBy("r").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("r"))).crossJoin(n)
-    q = at.where(F.col("upto") >= F.ceil(F.round(level * (F.col("n") - 1), 9)) + 1).agg(F.min("r").alias("q"))
+    at = counted(r.where("r is not null"), [], "r")
+    q = at.where(F.col("upto") >= F.ceil(F.round(level * (F.col("total") - 1), 9)) + 1).agg(F.min("r").alias("q"))
     low = F.greatest(F.col(prediction) - F.col("q"), F.lit(0.0))
     return rows.crossJoin(q).agg(F.max("q").alias("q"), F.avg(F.col(truth).between(low, F.col(prediction) + F.col("q")).cast("int")).alias("coverage"),
                                  F.avg(F.col(prediction) + F.col("q") - low).alias("width"))
@@ -92,7 +90,14 @@ def top_fraction(rows: DataFrame, truth: str, score: str, tie: str, share: float
     """Precision, recall and lift of the top ceil(n x share) rows by score."""
     n = rows.agg(F.count("*").alias("n"), F.sum(truth).alias("P")).first()
     k = -(-n["n"] * int(round(share * 1_000_000)) // 1_000_000)
-    top = rows.orderBy(F.desc(score), tie).limit(k).agg(F.sum(truth).alias("hits"))
+    # scores above the cut are in; rows of the score at the cut, nulls last, are taken by the tie
+    at = running(rows.groupBy(score).agg(F.count("*").alias("c"), F.sum(truth).alias("p")), [], score, {"seen": "c"}, descending=True)
+    cut = at.where(F.col("seen") >= k).agg(F.max_by(F.struct(score, (F.col("seen") - F.col("c")).alias("above")), F.struct(-F.col("seen"))).alias("cut"))
+    whole = at.where(F.col("seen") < k).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p"))
+    edge = rows.join(F.broadcast(cut), F.col(score).eqNullSafe(F.col(f"cut.{score}")))  # one row
+    ranked = running(edge.groupBy(tie, "cut.above").agg(F.count("*").alias("one"), F.sum(truth).alias("p")), [], tie, {"place": "one"})
+    part = ranked.where(F.col("place") + F.col("above") <= k).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("q"))
+    top = whole.crossJoin(part).select((F.col("p") + F.col("q")).alias("hits"))
     return top.select(F.lit(k).cast("long").alias("k"), (F.col("hits") / k).alias("precision"), (F.col("hits") / n["P"]).alias("recall"), (F.col("hits") / k / (n["P"] / n["n"])).alias("lift"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.ranks import counted, running, same
+
 
 def histogram(rows: DataFrame, key: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
     """Counts per key and bin: 0..bins-1, -1 under, ``bins`` over, null invalid; the top edge is in the last bin."""
@@ -39,10 +41,24 @@ def midrank_cdf(hist: DataFrame, key: list[str]) -> DataFrame:
 
 def ecdf(train: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
     """Share of the key's training values at or below each row's value, null without training values."""
-    both = train.select(F.col(key), F.col(value), F.lit(1).alias("_t")).unionByName(rows.withColumn("_t", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(key)
-    out = both.withColumn("ecdf", F.try_divide(F.sum("_t").over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)), F.sum("_t").over(w)))
-    return out.where("_t = 0").drop("_t")
+    both = train.select(F.col(key), F.col(value), F.lit(1).alias("_t")).unionByName(rows.select(key, value, F.lit(0).alias("_t")))
+    at = both.groupBy(key, value).agg(F.sum("_t").alias("_t"))
+    total = at.groupBy(key).agg(F.sum("_t").alias("_n"))
+    run = running(at, [key], value, {"_upto": "_t"})
+    out = rows.join(run, same(rows, run, [key, value])).select(rows["*"], "_upto")
+    return out.join(total, same(out, total, [key])).select(*[out[c] for c in rows.columns], F.try_divide(F.col("_upto"), F.col("_n")).alias("ecdf"), F.col("_n").alias("support"))
+
+
+def ecdf_with_fallback(train: DataFrame, rows: DataFrame, levels: list[str], value: str, least: int) -> DataFrame:
+    """The share at the first level of key with ``least`` training values, and that level."""
+    out, found = rows, []
+    for i, key in enumerate(levels):
+        out = ecdf(train, out, key, value).withColumnRenamed("ecdf", f"_e{i}").withColumnRenamed("support", f"_n{i}")
+        found.append((key, F.col(f"_e{i}"), F.col(f"_n{i}") >= least))
+    share, level = F.lit(None), F.lit(None)
+    for key, e, ok in reversed(found):
+        share, level = F.when(ok, e).otherwise(share), F.when(ok, F.lit(key)).otherwise(level)
+    return out.select(*rows.columns, share.alias("ecdf"), level.alias("level"))
 
 
 def weighted_quantile(rows: DataFrame, key: list[str], value: str, weight: str, q: float) -> DataFrame:
@@ -61,13 +77,13 @@ def weighted_mid_cdf(rows: DataFrame, key: list[str], value: str, weight: str) -
 
 
 def exact_quantiles(rows: DataFrame, key: list[str], value: str, q: float) -> DataFrame:
-    """linear, inverted_cdf, higher and nearest of one quantile."""
-    w = Window.partitionBy(*key)
-    ranked = (rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1)
-              .withColumn("_n", F.count("*").over(w)))
-    at = q * (F.col("_n") - 1)
-    pick = lambda i: F.max(F.when(F.col("_i") == i, F.col(value)))
-    return ranked.groupBy(*key).agg(
-        F.percentile(value, F.lit(q)).alias("linear"),
-        F.min(F.when((F.col("_i") + 1) / F.col("_n") >= q - 1e-12, F.col(value))).alias("inverted_cdf"),
-        pick(F.ceil(F.round(at, 9))).alias("higher"), pick(F.bround(at, 0).cast("long")).alias("nearest"))
+    """linear, inverted_cdf, higher and nearest of one quantile, and the median (A16), from counts by distinct value."""
+    at = counted(rows.where(F.col(value).isNotNull()), key, value)
+    place = F.round(q * (F.col("total") - 1), 9)
+    half = (F.col("total") - 1) / 2
+    pick = lambda i: F.min(F.when(F.col("upto") > i, F.col(value)))
+    out = at.groupBy(*key).agg(
+        pick(F.floor(place)).alias("_lo"), pick(F.ceil(place)).alias("higher"), F.max(place - F.floor(place)).alias("_part"),
+        F.min(F.when(F.col("upto") / F.col("total") >= q - 1e-12, F.col(value))).alias("inverted_cdf"),
+        pick(F.bround(q * (F.col("total") - 1), 0)).alias("nearest"), ((pick(F.floor(half)) + pick(F.ceil(half))) / 2).alias("median"))
+    return out.select(*key, (F.col("_lo") + F.col("_part") * (F.col("higher") - F.col("_lo"))).alias("linear"), "inverted_cdf", "higher", "nearest", "median")

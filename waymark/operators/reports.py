@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.ranks import running
+
 
 def traffic_state(pace_ratio: Column, slow_share: Column, support: Column, least: int) -> Column:
     """UNKNOWN without support, else SEVERE, CONGESTED, NON or MIXED by pace ratio and share of slow time."""
@@ -118,8 +120,10 @@ def quantile_map(rows: DataFrame, reference: DataFrame, key: str, value: str, ta
     """
     n = rows.agg(F.count("*").alias("_n"))
     m = reference.agg(F.count("*").alias("_m"))
-    ref = reference.select(F.col(target).alias("r"), (F.row_number().over(Window.orderBy(target)) - 1).alias("j"))
-    x = rows.withColumn("_i", F.row_number().over(Window.orderBy(value, key)) - 1).crossJoin(n).crossJoin(m)  # one row each
+    ref = running(reference.select(F.col(target).alias("r")).groupBy("r").agg(F.count("*").alias("c")), [], "r", {"upto": "c"})
+    ref = ref.select("r", F.explode(F.sequence(F.col("upto") - F.col("c"), F.col("upto") - 1)).alias("j"))
+    each = rows.withColumn("_one", F.lit(1)).withColumn("_o", F.struct(value, key))
+    x = running(each, [], "_o", {"_i": "_one"}).withColumn("_i", F.col("_i") - 1).crossJoin(n).crossJoin(m)  # one row each
     at = F.try_divide(F.col("_i"), F.col("_n") - 1) * (F.col("_m") - 1)
     x = x.withColumn("_at", F.coalesce(at, F.lit(0.0))).withColumn("_lo", F.floor("_at")).withColumn("_hi", F.ceil("_at"))
     lo, hi = ref.select(F.col("j").alias("_lo"), F.col("r").alias("_a")), ref.select(F.col("j").alias("_hi"), F.col("r").alias("_b"))
@@ -141,8 +145,9 @@ def sequence_overlap(a: Column, b: Column, most: int = 200_000) -> Column:
     first = F.array_repeat(F.lit(0), F.size(b) + 1)
 
     def step(row: Column, x: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), lambda out, j: F.concat(out, F.array(
-            F.when(F.get(b, j - 1) == x, F.get(row, j - 1) + 1).otherwise(F.greatest(F.get(row, j), F.get(out, j - 1))))))
+        """Row by row: the best end at a column is the diagonal's plus a match, or the one above; then a running maximum."""
+        best = F.transform(row, lambda up, j: F.when((j > 0) & (F.get(b, j - 1) == x), F.greatest(up, F.get(row, j - 1) + 1)).otherwise(up))
+        return F.transform(best, lambda _, j: F.array_max(F.slice(best, 1, j + 1)))
 
     length = F.element_at(F.aggregate(a, first, step), -1)
     return F.when((F.size(a) > 0) & (F.size(b) > 0) & (F.size(a).cast("long") * F.size(b) <= most), length / F.size(b))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.exprs import micros
+from waymark.operators.ranks import counted, same
 
 
 def next_intervals(rows: DataFrame, key: list[str], ts: str, tie: str) -> DataFrame:
@@ -70,11 +71,11 @@ def share_of_total(rows: DataFrame, key: list[str], value: str) -> DataFrame:
 
 
 def average_rank(rows: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Rank from 1 with ties averaged, and percent rank."""
-    w = Window.partitionBy(*key)
-    tied = F.count("*").over(Window.partitionBy(*key, value))
-    out = rows.withColumn("avg_rank", F.rank().over(w.orderBy(value)) + (tied - 1) / 2)
-    return out.withColumn("pct_rank", F.col("avg_rank") / F.count("*").over(w))
+    """Rank from 1 with ties averaged, and percent rank (W9), from counts by distinct value."""
+    at = counted(rows, key, value)
+    out = rows.join(at, same(rows, at, [*key, value]))
+    rank = F.col("upto") - (F.col("n") - 1) / 2
+    return out.select(*[rows[c] for c in rows.columns], rank.alias("avg_rank"), (rank / F.col("total")).alias("pct_rank"))
 
 
 def largest_remainder(rows: DataFrame, group: list[str], share: str, total: int, tie: str) -> DataFrame:

@@ -192,10 +192,10 @@ def _(spark, sf):
 
 @query("a16_exact_quantiles", """with r as (select event_type, value, row_number() over (partition by event_type order by value) - 1 i, count(*) over (partition by event_type) n from events)
     select event_type, round(quantile_cont(value, 0.85), 6) linear, round(min(case when (i + 1) / n >= 0.85 - 1e-12 then value end), 6) inverted_cdf,
-    round(max(case when i = ceil(round(0.85 * (n - 1), 9)) then value end), 6) higher, round(max(case when i = round_even(0.85 * (n - 1), 0) then value end), 6) nearest from r group by 1""")
+    round(max(case when i = ceil(round(0.85 * (n - 1), 9)) then value end), 6) higher, round(max(case when i = round_even(0.85 * (n - 1), 0) then value end), 6) nearest, round(quantile_cont(value, 0.5), 6) median from r group by 1""")
 def _(spark, sf):
     q = quantiles.exact_quantiles(events(spark, sf), ["event_type"], "value", 0.85)
-    return show(q, "event_type", **{c: c for c in ("linear", "inverted_cdf", "higher", "nearest")})
+    return show(q, "event_type", **{c: c for c in ("linear", "inverted_cdf", "higher", "nearest", "median")})
 
 
 def _history(spark, sf):
@@ -281,11 +281,15 @@ def _(spark, sf):
     return o.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.sum("overlap_s"), 3).alias("overlap_s"))
 
 
-@query("j13_adjacency", """with e as (select distinct l_suppkey % 20 s, l_partkey % 20 d from lineitem), x as (select s * 100 + d id, s, d from e)
+@query("j13_adjacency", """with e as (select distinct c_nationkey s, s_nationkey d from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey),
+    x as (select s * 1000 + d id, s, d from e)
     select distinct a.id upstream, b.id downstream from x a join x b on a.d = b.s where a.id <> b.id""")
 def _(spark, sf):
-    e = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("s"), (F.col("l_partkey") % 20).alias("d")).distinct()
-    return joins.adjacency(e.withColumn("id", F.col("s") * 100 + F.col("d")), "s", "d", "id")
+    """Flows of goods between nations that follow each other."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", F.col("c_nationkey").alias("s"))
+    l = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", F.col("s_nationkey").alias("d"))
+    e = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("s", "d").distinct()
+    return joins.adjacency(e.withColumn("id", F.col("s") * 1000 + F.col("d")), "s", "d", "id")
 
 
 def _points(spark, sf):
@@ -560,14 +564,14 @@ def _(spark, sf):
     return show(sequence.share_of_total(e.groupBy(F.col("event_type").alias("a"), "b").agg(F.count("*").alias("n")), ["a"], "n"), "a", "b", "n", share="share")
 
 
-@query("g1_components", """with recursive e as (select distinct 2 * l_suppkey s, 2 * l_partkey + 1 d from lineitem where l_quantity <= 1.0), b as (select s, d from e union select d, s from e),
-    r(n, m) as (select s, s from b union select b.d, r.m from r join b on b.s = r.n where r.m < b.d or true)
+@query("g1_components", """with recursive e as (select distinct 2 * o_custkey s, 2 * cast(floor(o_totalprice) as bigint) + 1 d from orders), b as (select s, d from e union select d, s from e),
+    r(n, m) as (select s, s from b union select b.d, r.m from r join b on b.s = r.n)
     select n node, min(m) component from r group by 1""")
 def _(spark, sf):
+    """Customers with an order of the same price, to the unit, belong together."""
     from waymark.plans.components import connected_components
 
-    e = table(spark, sf, "lineitem").where("l_quantity <= 1.0").select((2 * F.col("l_suppkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst"))
-    return connected_components(e)
+    return connected_components(table(spark, sf, "orders").select((2 * F.col("o_custkey")).alias("src"), (2 * F.floor("o_totalprice") + 1).alias("dst")))
 
 
 @query("g2_node_degrees", "with e as (select distinct l_suppkey s, l_partkey d from lineitem) select d node, count(*) degree_in from e group by 1")
