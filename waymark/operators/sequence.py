@@ -106,3 +106,10 @@ def overlapping_chunks(rows: DataFrame, key: list[str], sequence: str, length: i
     out = rows.withColumn("_n", n).withColumn("_starts", starts.alias("s"))
     out = out.withColumn("chunk_start", F.explode(F.filter("_starts", lambda s: (s <= F.col(sequence)) & (F.col(sequence) < s + length))))
     return out.withColumn("weight", 1 / F.count("*").over(Window.partitionBy(*key, sequence))).drop("_n", "_starts")
+
+
+def idle_chains(rows: DataFrame, key: str, trip: str, start: str, end: str, longest_s: float) -> DataFrame:
+    """Each trip with the one before it: gap, and whether they overlap or lie far apart (G11). start, end: epoch seconds."""
+    w = Window.partitionBy(key).orderBy(start, trip)
+    out = rows.withColumn("previous", F.lag(trip).over(w)).withColumn("gap_s", F.col(start) - F.lag(end).over(w)).where("previous is not null")
+    return out.withColumn("overlaps", F.col("gap_s") < 0).withColumn("long", F.col("gap_s") > longest_s)

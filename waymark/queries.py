@@ -638,15 +638,18 @@ def _(spark, sf):
     return u.select("user_id", "n", r6(ml.shrink(F.col("m"), F.col("g"), F.col("n"), 20.0)).alias("shrunk"))
 
 
-@query("r1_streamed_cells", """select epoch_us(time_bucket(interval 30 minute, ts)) // 1000000 window_start, event_type, count(*) n, round(sum(value), 4) total, count(value) valid from events group by all""")
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("r1_streamed_cells", """with c as (select time_bucket(interval 30 minute, ts) w, event_type, count(*) n, sum(value) total, count(value) valid from events group by all)
+    select epoch_us(w) // 1000000 window_start, event_type, n, round(total, 4) total, valid from c where w + interval 30 minute <= (select max(ts) from events) - interval 1 hour""")
 def _(spark, sf):
+    """Cells that the watermark has closed, appended to files."""
     from waymark.streaming import windows
-    import uuid
 
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    # complete mode keeps the open windows too; append mode would hold them back until the watermark passes
-    cells = windows.run_to_memory(windows.state_cells(stream, "ts", ["event_type"], "value"), f"cells_{uuid.uuid4().hex}", "complete")
+    cells = windows.run_to_files(windows.state_cells(event_stream(spark, sf), "ts", ["event_type"], "value", late="1 hour"), "cells")
     return cells.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"), "valid")
 
 

@@ -41,6 +41,11 @@ def publish(rows: DataFrame, root: str, partitions: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(root)
 
 
+def write_summary(rows: DataFrame, path: str, kind: str) -> None:
+    """A small result as one JSON or headed CSV file."""
+    rows.coalesce(1).write.option("header", True).format(kind).save(path)
+
+
 def check_schema(rows: DataFrame, expected: T.StructType) -> None:
     """Missing, undeclared or differently typed columns are an error."""
     have, want = ({f.name: f.dataType for f in s} for s in (rows.schema, expected))

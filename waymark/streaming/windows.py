@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.plans.scratch import new_path
+
 
 def state_cells(stream: DataFrame, ts: str, key: list[str], value: str, width: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """Count, sum and non-null count per key and half-open window; a boundary event belongs to the next one."""
@@ -23,8 +25,31 @@ def deduplicate(stream: DataFrame, ts: str, key: list[str], late: str = "1 day")
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
+def gate_windows(stream: DataFrame, ts: str, gates: dict[str, Column], width: str = "15 minutes", late: str = "1 day") -> DataFrame:
+    """Rows that pass each gate and those before it, per window."""
+    counts, passed = [], F.lit(True)
+    for name, gate in gates.items():
+        passed = passed & F.coalesce(gate, F.lit(False))
+        counts.append(F.count_if(passed).alias(name))
+    return (stream.withWatermark(ts, late).groupBy(F.window(ts, width)).agg(F.count("*").alias("n"), *counts)
+            .select(F.col("window.start").alias("window_start"), "n", *gates))
+
+
+def run_to_files(stream: DataFrame, name: str) -> DataFrame:
+    """Process what is available in append mode into Parquet files of the shared folder, and return a reader of them.
+
+    Windows leave when the watermark passes their end, so the last ones wait for later events.
+    """
+    spark = stream.sparkSession
+    path, state = new_path(spark, name), new_path(spark, f"{name}-state")
+    query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state)
+             .outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what is available and return it; for files read with ``availableNow`` and for tests."""
+    """Process what is available into a table on the driver; for small results in tests only."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
