@@ -76,7 +76,7 @@ def _(spark, sf):
     return s.select("event_id", "edge_hour", "kind_hour", "neighbour_hour", "level")
 
 
-@query("a28_reference_pace", "select user_id, round(quantile_cont(value, 0.2), 6) q20, round(quantile_cont(value, 0.5), 6) median, count(value) n, count(distinct cast(ts as date)) as "days" from events where day(ts) <= 20 group by 1")
+@query("a28_reference_pace", "select user_id, round(quantile_cont(value, 0.2), 6) q20, round(quantile_cont(value, 0.5), 6) median, count(value) n, count(distinct cast(ts as date)) as days from events where day(ts) <= 20 group by 1")
 def _(spark, sf):
     e = events(spark, sf).where(F.day("ts") <= 20).withColumn("date", F.to_date("ts"))
     return show(history.reference_pace(e, ["user_id"], "value", "date"), "user_id", "n", "days", q20="q20", median="median")
@@ -154,7 +154,7 @@ def _(spark, sf):
     return d.select("bin", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("demand", "replay", "supply")], r6(ratio).alias("ratio"), r6(F.col("supply") * F.col("replay") / F.col("demand")).alias("target"))
 
 
-@query("a50_vehicle_hours", "with s as (select user_id, epoch_us(ts) / 1e6 s, epoch_us(ts) / 1e6 + value * 60 e from events) select user_id, round(sum(greatest(0, least(e, 1705276800) - greatest(s, 1704672000))) / 3600, 5) as "hours" from s group by 1")
+@query("a50_vehicle_hours", "with s as (select user_id, epoch_us(ts) / 1e6 s, epoch_us(ts) / 1e6 + value * 60 e from events) select user_id, round(sum(greatest(0, least(e, 1705276800) - greatest(s, 1704672000))) / 3600, 5) as hours from s group by 1")
 def _(spark, sf):
     s = X.micros(F.col("ts")) / 1e6
     part = F.greatest(F.lit(0.0), F.least(s + F.col("value") * 60, F.lit(1705276800.0)) - F.greatest(s, F.lit(1704672000.0)))
