@@ -1,10 +1,9 @@
 """Secret scan: fixed patterns, and strings that a token vocabulary finds hard to spell.
 
 Text that people write, code included, is cheap under a byte-pair vocabulary; random keys
-are not. A candidate is a run of 20 or more characters of the key alphabet that mixes
-letters and digits. Its efficiency is characters per token; below LIMIT it is reported as
+are not. A candidate is a run of 20 or more characters of the key alphabet, letters among them. Its efficiency is characters per token; below LIMIT it is reported as
 kind ``random``. Known digests (hex of a usual digest's length), UUIDs and identifiers
-(words joined by _, -, ., / or case, with at most a short number each) are excluded first,
+(words joined by _, -, ., / or case, with at most a short number each, unless no word could be that hard) are excluded first,
 and so is what a fixed pattern has reported already. Readable names around a key would hide it,
 so the parts of a candidate that isn't reported are scored too: parts between marks, of 20
 characters or more, alone or, where neighbours joined by /, +, - or _ are hard to spell as
@@ -34,8 +33,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 _DIGESTS = {32, 40, 56, 64, 96, 128}
 _PART = re.compile(r"[A-Za-z0-9]+")
 _UUID = re.compile(r"(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})")
-#: Characters per token below which a candidate counts as random.
-LIMIT = 2.2
+#: Characters per token below which a candidate counts as random: with digits, of letters alone, and built like an identifier.
+LIMIT, PLAIN, HARD = 2.2, 1.95, 1.8
 _WINDOW = 512
 #: The vocabulary's own splitting rule.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -62,12 +61,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def known(s: str) -> bool:
-    """A digest, UUID or identifier, or no mixture of letters and digits."""
-    if s.isdigit() or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
+    """A digest or UUID, or no letters at all."""
+    if not any(c.isalpha() for c in s):
         return True
-    if len(s) in _DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
-        return True
-    return len(s) <= 4096 and bool(_UUID.fullmatch(s) or _words_only(s))
+    return len(s) in _DIGESTS and bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s)) or bool(_UUID.fullmatch(s))
+
+
+def random_like(s: str, enc) -> bool:
+    """Whether the vocabulary finds a string too hard to spell for words: below LIMIT with digits, PLAIN without, HARD if it is built like an identifier."""
+    found = efficiency(s, enc)
+    if not any(c.isdigit() for c in s):
+        return found < PLAIN
+    return found < HARD or found < LIMIT and not _words_only(s)
 
 
 def _words_only(s: str) -> bool:
@@ -102,7 +107,7 @@ def hard_parts(text: str, start: int, end: int, enc) -> Iterator[list[tuple[int,
             yield trimmed()
             run = []
         s = m[0]
-        if efficiency(s, enc) < LIMIT and not (len(s) >= 20 and known(s)) and not any(x < b and a < y for x, y in uuids):
+        if efficiency(s, enc) < LIMIT and not (len(s) >= 20 and (known(s) or not random_like(s, enc))) and not any(x < b and a < y for x, y in uuids):
             run.append((a, b))
         else:
             yield trimmed()
@@ -116,7 +121,7 @@ def scan(text: str, enc) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
     more = []
 
     def fresh(a: int, b: int) -> bool:
-        return b - a >= 20 and not any(x < b and a < y for x, y, _ in base) and not known(text[a:b]) and efficiency(text[a:b], enc) < LIMIT
+        return b - a >= 20 and not any(x < b and a < y for x, y, _ in base) and not known(text[a:b]) and random_like(text[a:b], enc)
 
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
@@ -124,7 +129,7 @@ def scan(text: str, enc) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
             b -= 1
         if fresh(a, b):
             more.append((a, b, KINDS[3]))
-        elif b - a > 20 and any(c.isdigit() for c in text[a:b]):
+        elif b - a > 20:
             for run in hard_parts(text, a, b, enc):
                 # marks are rare in a key, but not in dates and versions
                 if run and 16 * (len(run) - 1) <= run[-1][1] - run[0][0] and fresh(run[0][0], run[-1][1]):
