@@ -9,7 +9,7 @@ still too large at that depth are summed again, STEP bits deeper.
 Defined cases: null text has 0 bytes; rows with an equal key are told apart by their text's
 hash, and equal rows by a turn within the pair, so that no key is too hot to split; a single row larger
 than the limit is a shard of its own, marked oversized; an empty table gives an empty
-result; other columns pass through ``assign_shards`` untouched.
+result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -32,12 +32,13 @@ def _prefix(h: Column, depth: int) -> Column:
 
 
 def _hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("pair"),
-                       F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
+    rows = materialize(docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("pair"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"),
+                                   F.spark_partition_id().alias("slot")), "rows")
     # equal rows get a turn each; pairs that occur once, nearly all, don't travel for it
     many = rows.groupBy("pair").count().where("count > 1").select("pair")
-    turns = (rows.join(many, "pair", "left_semi").groupBy("pair", "key").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes"))
-             .withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n"))
+    copies = rows.join(many, "pair", "left_semi").groupBy("pair", "key", "slot").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("pair").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))  # a row per input partition
+    turns = copies.withColumn("_b", before).withColumn("turn", F.explode(F.sequence(F.col("_b"), F.col("_b") + F.col("n") - 1)))  # the copies in one input partition
     once = rows.join(many, "pair", "left_anti").withColumn("turn", F.lit(0).cast("long"))
     return once.select("key", "pair", "bytes", "turn").unionByName(turns.select("key", "pair", "bytes", "turn"))
 
