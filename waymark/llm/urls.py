@@ -29,7 +29,7 @@ from waymark.plans.components import connected_components
 from waymark.plans.scratch import materialize
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Rules are part of the plan, so their number is bounded.
+#: So many rules are part of the plan; more are joined by host.
 MOST_RULES = 1000
 TRACKING = r"(?i)^(utm_[a-z]+|ref|fbclid|gclid|sessionid|sid)="
 
@@ -44,8 +44,6 @@ def path_of(url: Column) -> Column:
 
 def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
     """A struct (rule, verdict) of the longest fitting rule, or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for rule, verdict in reversed(sorted(rules, key=lambda r: -len(r[0]))):
         own, slash, start = rule.partition("/")
@@ -55,6 +53,20 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return out
 
 
+def with_fit(rows: DataFrame, rules: tuple[tuple[str, str], ...] | DataFrame) -> DataFrame:
+    """``rows`` (with host and path) and ``fit``, their longest fitting rule. A table of rules (rule, verdict), or a long list, is joined by host."""
+    if isinstance(rules, tuple) and len(rules) <= MOST_RULES:
+        return rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    table = rules if isinstance(rules, DataFrame) else rows.sparkSession.createDataFrame(list(rules), "rule string, verdict string")
+    table = table.select("rule", "verdict", F.substring_index("rule", "/", 1).alias("_own"), F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1).alias("_start"))
+    places = rows.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    own = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    found = places.withColumn("_own", F.explode(own)).join(table, "_own").where(F.col("path").startswith(F.col("_start")))
+    best = found.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule")).alias("fit"))
+    return rows.join(best, ["host", "path"], "left")
+
+
 def normal_form(url: Column) -> Column:
     """The form that aliases of one page share: host, path and the parameters that matter; null without ``://``."""
     host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
@@ -95,7 +107,7 @@ def links_of(html: Column, url: Column) -> Column:
     return F.filter(F.transform(F.concat(link, refresh), lambda t: resolved(t, url)), lambda u: u.isNotNull())
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, redirects: DataFrame | None = None,
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] | DataFrame = RULES, redirects: DataFrame | None = None,
                key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per row: key, host, path, rule, verdict, and alias (the component's smallest normal form). redirects: (src, dst) urls."""
     u = F.col(url)
@@ -109,16 +121,17 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, red
         edges = edges.unionByName(moved.select(normal_form(F.col("src")).alias("src"), normal_form(F.col("dst")).alias("dst")))
         named = named.union(moved.select("src")).union(moved.select("dst"))
     to = F.col("to")
-    named = (named.distinct().select(normal_form(to).alias("form"), fitting_rule(host_of(to), path_of(to), rules).alias("fit"))
-             .where("form is not null and fit is not null"))
+    named = with_fit(named.distinct().select(normal_form(to).alias("form"), host_of(to).alias("host"), path_of(to).alias("path")), rules).select("form", "fit").where("form is not null and fit is not null")
     groups = connected_components(edges).toDF("node", "alias")
-    rows = (read.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
-            .join(groups, F.col("form") == F.col("node"), "left").withColumn("alias", F.coalesce("alias", "form")))
+    fitted = with_fit(read, rules)
+    formed = fitted.where("form is not null")  # urls without a form have no aliases, so they stay out of the joins
+    rows = formed.join(groups, F.col("form") == F.col("node"), "left").withColumn("alias", F.coalesce("alias", "form"))
     # one row per blocked component: an explicit allow anywhere in it takes precedence
     judged = (rows.where("fit is not null and alias is not null").select("alias", "fit")
               .unionByName(named.join(groups, F.col("form") == F.col("node"), "left").select(F.coalesce("alias", "form").alias("alias"), "fit")))
     blocked = (judged.groupBy("alias")
                .agg(F.bool_or(F.col("fit.verdict") == "allow").alias("allowed")).where("not allowed").select(F.col("alias").alias("_blocked")))
     rows = rows.join(blocked, rows["alias"] == blocked["_blocked"], "left")
+    rows = rows.unionByName(fitted.where("form is null"), allowMissingColumns=True)
     verdict = F.coalesce("fit.verdict", F.when(F.col("_blocked").isNotNull(), "block").otherwise("allow"))
     return rows.select(F.col("key").alias(key), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "alias")
