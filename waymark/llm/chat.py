@@ -11,7 +11,7 @@ comes in parts of at most one chunk each, so that no row grows without bound.
 
 Defined cases: turns are ordered by number, then role and text; null numbers come last; a null role reads
 ``unknown``, a null text is empty; rows with a null conversation id are one conversation;
-repeated rows are repeated turns; an empty table gives an empty result; other columns are
+repeated rows are repeated turns; marks inside a role or text are broken by a space; an empty table gives an empty result; other columns are
 never read.
 """
 
@@ -24,6 +24,8 @@ from waymark.plans.scratch import materialize
 
 CHUNK = 1024
 START, END = "<|im_start|>", "<|im_end|>"
+#: What begins a mark inside a turn, and what it becomes, so that no turn can forge another.
+FORGED, BROKEN = "<|im_", "<| im_"
 
 
 def prefixes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -63,7 +65,8 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """Per kept conversation and part: conv, part (from 0), n_turns, copies (equal conversations) and rendered text."""
     hashed = materialize(prefixes(turns, conv, turn, role, text), "turns")
     kept = maximal(hashed).withColumnRenamed("conv", "kept")
-    shown = F.concat(F.lit(START), F.col("role"), F.lit("\n"), F.col("text"), F.lit(END + "\n"))
+    plain = lambda c: F.replace(c, F.lit(FORGED), F.lit(BROKEN))
+    shown = F.concat(F.lit(START), plain(F.col("role")), F.lit("\n"), plain(F.col("text")), F.lit(END + "\n"))
     rows = hashed.join(kept, hashed["conv"].eqNullSafe(kept["kept"]))
     parts = rows.groupBy("conv", F.expr(f"(place - 1) div {CHUNK}").alias("part")).agg(
         F.max("n_turns").alias("n_turns"), F.max("copies").alias("copies"),

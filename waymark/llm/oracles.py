@@ -41,7 +41,7 @@ select d.doc_id, d.size, s.source_size, round(s.target, 6) target, k.taken from
 OP5 = """with c as (select conv_id, list({'r': coalesce(role, 'unknown'), 't': coalesce(text, '')} order by turn nulls last, role, text) l from conversations group by 1),
 p as (select distinct l[1:i] l from (select l, unnest(range(1, len(l))) i from c)),
 k as (select min(conv_id) conv_id, count(*) copies, l from c group by l)
-select conv_id, 0::bigint part, len(l) n_turns, copies, array_to_string(list_transform(l, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') rendered
+select conv_id, 0::bigint part, len(l) n_turns, copies, array_to_string(list_transform(l, lambda x: '<|im_start|>' || replace(x.r, '<|im_', '<| im_') || chr(10) || replace(x.t, '<|im_', '<| im_') || '<|im_end|>' || chr(10)), '') rendered
 from k where not exists (select 1 from p where p.l = k.l)"""
 
 OP9 = f"""with recursive w as (select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from documents),
