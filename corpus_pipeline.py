@@ -16,7 +16,7 @@ from waymark.llm.mixing import mix
 from waymark.llm.quality_rules import filter_quality
 from waymark.llm.queries import table, vocabulary
 from waymark.llm.records import byte_bpe, read_records, write_records
-from waymark.plans.scratch import materialize
+from waymark.plans.scratch import materialize, release
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        release(before)  # a stage's table goes when the next one is written; the input is not one
     return STAGES[-1][1](spark, docs, sf_dir)
