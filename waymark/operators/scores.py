@@ -160,3 +160,18 @@ def speed_posterior(train: DataFrame, rows: DataFrame, kind: str, speed: str, li
     j = each.join(prior.withColumnRenamed(limit, "candidate"), [kind, "candidate"], "left").crossJoin(F.broadcast(ratio))  # one row
     score = F.log(F.coalesce("_c", F.lit(0)) + 1.0) - F.pow(F.log(F.col(speed) / F.col("candidate")) - F.col("_mu"), 2) / (2 * spread * spread)
     return j.withColumn("_s", F.round(score, 9)).groupBy(key).agg(F.min(F.struct(-F.col("_s"), "candidate")).alias("b")).select(key, F.col("b.candidate").alias("limit"))
+
+
+def moments(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """n, mean, std, quartiles and extremes per key, the quartiles from counts by distinct value."""
+    known = rows.where(F.col(value).isNotNull())
+    at = counted(known, key, value)
+    place = lambda q: F.round(q * (F.col("total") - 1), 9)
+    pick = lambda i: F.min(F.when(F.col("upto") > i, F.col(value)))
+
+    def quantile(q: float) -> Column:
+        low, part = pick(F.floor(place(q))), F.max(place(q) - F.floor(place(q)))
+        return low + part * (pick(F.ceil(place(q))) - low)
+
+    quartiles = at.groupBy(*key).agg(quantile(0.25).alias("q25"), quantile(0.75).alias("q75"))
+    return known.groupBy(*key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high")).join(quartiles, key)
