@@ -108,5 +108,24 @@ def set_key(distinct: np.ndarray) -> int:
     """One signed 64-bit number for a set of hashes; the empty set's is 0."""
     if not len(distinct):
         return 0
-    both = np.add.reduce(mix(distinct)) ^ (np.add.reduce(mix(distinct ^ _BASE)) * _BASE)
-    return int(mix(np.array([both + _U(len(distinct))], np.uint64)).view(np.int64)[0]) or 1
+    sums = np.array([[np.add.reduce(mix(distinct))], [np.add.reduce(mix(distinct ^ _BASE))]], np.uint64)
+    return int(mix((sums[0] ^ (sums[1] * _BASE)) + _U(len(distinct))).view(np.int64)[0]) or 1
+
+
+_EXACT = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def range_sums(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Per range of bytes from one start to the next (the first start is 0), the sum that ``range_key`` makes a hash of."""
+    lengths = np.diff(np.append(starts, len(buf)))
+    at = np.arange(len(buf), dtype=np.int64) - np.repeat(starts, lengths)
+    return np.add.reduceat(_EXACT[buf] * _powers(int(lengths.max()))[at], starts)
+
+
+def without_last(sums: np.ndarray, last: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The sums of the ranges without their last byte."""
+    return sums - _EXACT[last] * _powers(int(lengths.max()))[lengths - 1]
+
+
+def range_key(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return mix(sums + lengths.astype(_U) * _BASE)

@@ -24,20 +24,23 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.hashing import range_key, range_sums, without_last
 from waymark.plans.scratch import materialize, new_path
 
 MASK = 0xA282EAD8
-#: Pieces remembered per worker, some 200 bytes each.
-MEMO = 1_500_000
+#: Pieces remembered per worker, some 30 bytes each.
+MEMO = 3_000_000
+#: Bytes of text encoded at once.
+SLICE = 1_500_000
 _NULL = -(2**63)
 
 
@@ -63,28 +66,85 @@ def read_frames(data: Iterator[bytes] | object) -> Iterator[bytes]:
         yield body[:size]
 
 
+def read_at(folder: str, file: str, places: list[int], width: int = 2) -> list[tuple[int | None, np.ndarray]]:
+    """``(key, ids)`` of a file's records at these places, in this order, by seeking to the offsets in its index."""
+    fs, root = filesystem(folder)
+    with fs.open_input_file(f"{root}/{file}.idx") as f:
+        index = np.frombuffer(f.read(), "<i8").reshape(-1, 3)
+    out = []
+    with fs.open_input_file(f"{root}/{file}.rec") as f:
+        for position, k, n in index[places].tolist():
+            f.seek(position)
+            ids = np.frombuffer(next(read_frames(f)), f"<u{width}")
+            if len(ids) != n:
+                raise ValueError("index and record differ")
+            out.append((None if k == _NULL else k, ids))
+    return out
+
+
 def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """Of a plain path or a URI that Arrow knows (file, hdfs, s3, gs)."""
+    """Of a plain path or a URI that Arrow knows (file, hdfs, s3, gs, abfs), Hadoop's names of S3 included."""
+    uri = re.sub("^s3[an]://", "s3://", uri)
     if urlparse(uri).scheme in ("", "file"):
         return pyarrow.fs.LocalFileSystem(), urlparse(uri).path
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-#: White space other than a space or line end; texts that hold none, and no two in a row, are cut by plain splits.
-_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Before a single space or line end between two other characters; no token crosses such a place.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_PLAIN = re.compile(r"[\0\n]?\S+")
-
-
-def pieces(text: str) -> list[str]:
-    """The text, cut at every _CUT. ``abc`` stands for a space and abc, NUL and abc for abc itself."""
-    parts = text.replace("\n", " \n").split(" ")
-    if "" in parts or "\n" in parts or "\0" in text or _RARE.search(text):
-        return [p[1:] if p[0] == " " and p[1:2] not in ("", "\0", "\n") else "\0" + p for p in _CUT.split(text)] if text else []
-    if parts[0][0] != "\n":
-        parts[0] = "\0" + parts[0]
-    return parts
+_PLAIN = re.compile(r"[ \n]?\S+")
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: How characters begin in UTF-8 among which there is white space beyond ASCII's.
+_LEADS = ((0xC2, 0x85, 2), (0xC2, 0xA0, 2), (0xE1, 0x9A, 3), (0xE2, 0x80, 3), (0xE2, 0x81, 3), (0xE3, 0x80, 3))
+
+
+_MARKS = ",.;:!?"
+#: How byte-level vocabularies show bytes: printable ones as they are, the others from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+class _Memo:
+    """Ids of pieces by the pieces' 64-bit hash: sorted arrays, and one pool of ids. Some 30 bytes a piece."""
+
+    def __init__(self, dtype: type) -> None:
+        self.pool, self.used = np.empty(1 << 16, dtype), 0
+        self.tables = [self._table(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(2)]  # settled and recent
+
+    @staticmethod
+    def _table(keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        return keys[order], at[order].astype(np.int64), size[order].astype(np.int32)
+
+    def __len__(self) -> int:
+        return sum(len(t[0]) for t in self.tables)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool (-1: unknown) and number of ids per key."""
+        at, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for known, place, sizes in self.tables:
+            if len(known):
+                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[i] == keys
+                at[hit], size[hit] = place[i[hit]], sizes[i[hit]]
+        return at, size
+
+    def append(self, ids: np.ndarray) -> int:
+        """Put ids into the pool; returns their place."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.used], np.empty(max(len(ids), self.used // 2), self.pool.dtype)])
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def add(self, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        settled, recent = self.tables
+        recent = self._table(*(np.concatenate([x, y]) for x, y in zip(recent, (keys, at, size), strict=True)))
+        if len(recent[0]) > 50_000 + len(settled[0]) // 4:
+            settled = self._table(*(np.concatenate([x, y]) for x, y in zip(settled, recent, strict=True)))
+            recent = tuple(x[:0] for x in recent)
+        self.tables = [settled, recent]
 
 
 class PieceEncoder:
@@ -92,7 +152,8 @@ class PieceEncoder:
 
     A byte-level BPE with the usual word pattern never joins a non-space character to a
     space that follows it, so a text may be cut at every such place. Pieces repeat far more
-    often than texts do. New ones are encoded many at a time, one to a line. Strings of added
+    often than texts do, so a batch of texts is cut, hashed and looked up as arrays, and only new pieces
+    reach the library, many at a time, one to a line. Strings of added
     tokens, like <|endoftext|>, are these tokens, as by the library's default: texts are cut at them first.
     """
 
@@ -102,67 +163,155 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = dtype
         self.line_end = self._ids(["\n"])[0]
-        self.marks = {m: np.array(i, dtype).tobytes() for m, i in zip(",.;:!?", self._ids(list(",.;:!?")), strict=True)}
-        self.memo = _Memo()
+        self.words, self.usual = self._for_words(), self.tokenizer.pre_tokenizer
+        self.marks = {ord(m): i[0] for m, i in zip(_MARKS, self._ids(list(_MARKS)), strict=True) if len(i) == 1}
+        self.memo = _Memo(dtype)
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError("added tokens that depend on their neighbours are not supported")
         self.added = sorted((t.content for t in added.values()), key=len, reverse=True)
         self.cut = re.compile(f"({'|'.join(map(re.escape, self.added))})")
-        self.memo.update(("\0" + t.content, np.array([i], dtype).tobytes()) for i, t in added.items())
+        for i, t in added.items():
+            buf = np.frombuffer(t.content.encode(), np.uint8)
+            size = np.array([len(buf)])
+            self.memo.add(range_key(range_sums(buf, np.array([0])), size), np.array([self.memo.append(np.array([i], dtype))]), np.array([1]))
+
+    def _for_words(self):
+        """Rules that take the place of the word pattern for lines of one word each, which the pattern leaves whole, and for those of a word and a mark; None if the tokenizer does more to texts than usual."""
+        from tokenizers import Regex
+        from tokenizers.pre_tokenizers import Split
+
+        usual = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+        if self.tokenizer.normalizer is not None or str(self.tokenizer.pre_tokenizer) != usual:
+            return None
+        return Split(_SHOWN[10], "isolated"), Split(Regex(f"{_SHOWN[10]}|[{_MARKS}]"), "isolated")
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        mark = np.array(self.line_end, self.dtype).tobytes()
-        size = np.dtype(self.dtype).itemsize
-        for p in new:  # a mark after a letter is a token of its own
-            if p[-1] in self.marks and p[-2:-1].isalpha() and (known := dict.get(self.memo, p[:-1])) is not None:
-                out[p] = known + self.marks[p[-1]]
-        lines = [p for p in new if p not in out and _PLAIN.fullmatch(p)]
-        for at in range(0, len(lines), 4000):
-            some = lines[at:at + 4000]
-            ids = np.array(self._ids(["\n".join([p[1:] if p[0] in "\0\n" else " " + p for p in some])])[0], self.dtype)
-            ends = np.flatnonzero(ids == self.line_end[0]) if len(self.line_end) == 1 else ids
-            if len(ends) == len(some) - 1:
-                raw, stops = ids.tobytes(), (ends * size).tolist()
-                spans = zip([0, *(e + size for e in stops)], [*stops, len(raw)], strict=True)
-                out.update((p, mark + raw[x:y] if p[0] == "\n" else raw[x:y]) for p, (x, y) in zip(some, spans, strict=True))
-        rest = [p for p in new if p not in out]
-        whole = self._ids([p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in rest])
-        return out | {p: np.array(i, self.dtype).tobytes() for p, i in zip(rest, whole, strict=True)}
-
-    def _pieces(self, text: str) -> list[str]:
+    def _lines(self, lines: list[str], kind: int) -> np.ndarray | None:
+        """Ids of lines (of kind 0: words, 1: words and a mark, 2: others), a line end before each; None if a line gave a line end of its own."""
+        text = "\n".join(lines)
+        if kind < 2:
+            text = text.encode().decode("latin-1").translate(_SHOWN)
+            self.tokenizer.pre_tokenizer = self.words[kind]  # one tokenizer, as each holds its whole vocabulary
+            try:
+                ids = self._ids([text])[0]
+            finally:
+                self.tokenizer.pre_tokenizer = self.usual
+        else:
+            ids = self._ids([text])[0]
+        ids = np.array([*self.line_end, *ids], self.dtype)
+        return ids if np.count_nonzero(ids == self.line_end[0]) == len(lines) else None
+
+    def _kind(self, piece: str) -> int:
+        if self.words is not None:
+            word = piece[1:] if piece[0] in " \n" else piece
+            if word.isalpha() and max(word) < "\u0530":
+                return 0
+            if word[-1:] in _MARKS and word[:-1].isalpha() and max(word) < "\u0530":
+                return 1
+        return 2 if _PLAIN.fullmatch(piece) else 3
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode new pieces; their places in the pool and numbers of ids."""
+        at, size = np.zeros(len(pieces), np.int64), np.full(len(pieces), -1, np.int64)
+        kinds = np.array([self._kind(p) for p in pieces])
+        for kind in range(3) if len(self.line_end) == 1 else ():
+            mine = np.flatnonzero(kinds == kind).tolist()
+            for start in range(0, len(mine), 4000):
+                some = mine[start:start + 4000]
+                ids = self._lines([pieces[i].removeprefix("\n") for i in some], kind)
+                if ids is not None:
+                    breaks = np.flatnonzero(ids == self.line_end[0])
+                    after = np.array([pieces[i][0] != "\n" for i in some], np.int64)  # the break is a piece's own if it begins with one
+                    at[some] = self.memo.append(ids) + breaks + after
+                    size[some] = np.diff(np.append(breaks, len(ids))) - after
+        rest = np.flatnonzero(size < 0).tolist()
+        for i, ids in zip(rest, self._ids([pieces[i] for i in rest]), strict=True):
+            at[i], size[i] = self.memo.append(np.array(ids, self.dtype)), len(ids)
+        return at, size
+
+    def _segments(self, text: str) -> list[bytes] | None:
+        """The pieces of a text that holds added tokens; None for all others."""
         if not any(t in text for t in self.added):
-            return pieces(text)
-        return [p for i, part in enumerate(self.cut.split(text)) for p in (["\0" + part] if i % 2 else pieces(part))]
+            return None
+        return [p.encode() for i, part in enumerate(self.cut.split(text)) if part for p in ([part] if i % 2 else _CUT.split(part))]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found, missed = [], []
+    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All bytes, where pieces start, and where texts end."""
+        raw, forced, whole, at = [], [], [], 0
         for t in texts:
-            self.memo.missed = []
-            found.append(list(map(self.memo.__getitem__, self._pieces(t))))
-            missed.append(self.memo.missed)
-        if any(missed):
-            new = self._learn(list(dict.fromkeys(chain.from_iterable(missed))))
-            for f, m in zip(found, missed, strict=True):
-                at = -1
-                for p in m:
-                    f[at := f.index(None, at + 1)] = new[p]
-            if len(self.memo) < MEMO:  # when full, it holds most of what is frequent
-                self.memo.update(new)
-        return [b"".join(f) for f in found]
+            segments = self._segments(t)
+            data = b"".join(segments) if segments else t.encode()
+            if segments:
+                forced.append(at + np.cumsum([0, *map(len, segments[:-1])]))
+                whole.append((at, at + len(data)))
+            raw.append(data)
+            at += len(data)
+        buf = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([len(r) for r in raw])
+        white = _WHITE[buf]
+        for lead, second, size in _LEADS:  # next to these, white or not, nothing is cut, which is always right
+            for i in range(size) if (at := np.flatnonzero(buf[:-1] == lead)).size and (at := at[buf[at + 1] == second]).size else ():
+                white[at + i] = True
+        cut = np.zeros(len(buf), bool)
+        if len(buf) > 2:
+            cut[1:-1] = ((buf[1:-1] == 32) | (buf[1:-1] == 10)) & ~white[:-2] & ~white[2:]
+        cut[ends[ends > 0] - 1] = False  # white space at a text's end, though another text follows
+        for a, b in whole:
+            cut[a:b] = False
+        for f in forced:
+            cut[f] = True
+        cut[np.concatenate([[0], ends[:-1]])[np.diff(ends, prepend=0) > 0]] = True
+        return buf, np.flatnonzero(cut), ends
 
-
-class _Memo(dict):
-    """Notes the keys that it lacks, in order, and gives None for them."""
-
-    missed: list[str]
-
-    def __missing__(self, piece: str) -> None:
-        self.missed.append(piece)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        buf, starts, ends = self._pieces(texts)
+        if not len(buf):
+            return [b""] * len(texts)
+        lengths = np.diff(np.append(starts, len(buf)))
+        sums = range_sums(buf, starts)
+        keys, first, which = np.unique(range_key(sums, lengths), return_index=True, return_inverse=True)
+        at, size = self.memo.find(keys)
+        before = self.memo.used
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            stems, rest = self._stems(buf, starts, lengths, sums, first, new)
+            if len(stems[0]):
+                known, place, count, mark = stems
+                upto = np.cumsum(count + 1)
+                ids = self.memo.pool[np.minimum(np.repeat(place - (upto - count - 1), count + 1) + np.arange(upto[-1]), self.memo.used - 1)]
+                ids[upto - 1] = mark
+                at[known], size[known] = self.memo.append(ids) + upto - count - 1, count + 1
+            if len(rest):
+                data = buf.tobytes()
+                at[rest], size[rest] = self._learn([data[starts[f]:starts[f] + lengths[f]].decode() for f in first[rest]])
+        counts, places = size[which], at[which]
+        stops = np.cumsum(counts)
+        ids = self.memo.pool[np.repeat(places - (stops - counts), counts) + np.arange(stops[-1])].tobytes()
+        if len(new) and len(self.memo) < MEMO:  # when full, it holds most of what is frequent
+            self.memo.add(keys[new], at[new], size[new])
+        elif len(new):
+            self.memo.used = before
+        width = np.dtype(self.dtype).itemsize
+        bounds = (np.append(0, stops)[np.searchsorted(starts, np.append(0, ends))] * width).tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _stems(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sums: np.ndarray, first: np.ndarray,
+               new: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """New pieces that are a known one and a mark, which after a letter is a token of its own (index, place and number of ids, mark); and the others."""
+        f = first[new]
+        size = lengths[f]
+        last, previous = buf[starts[f] + size - 1], buf[starts[f] + np.maximum(size - 2, 0)] | 32
+        fits = np.isin(last, list(self.marks)) & (size > 1) & (previous >= 97) & (previous <= 122)
+        at, count = np.full(len(new), -1, np.int64), np.zeros(len(new), np.int64)
+        if fits.any():
+            shorter = without_last(sums[f[fits]], last[fits], size[fits])
+            at[fits], count[fits] = self.memo.find(range_key(shorter, size[fits] - 1))
+        known = at >= 0
+        mark = np.array([self.marks.get(c, 0) for c in range(256)], self.dtype)[last[known]]
+        return (new[known], at[known], count[known], mark), new[~known]
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
@@ -182,6 +331,16 @@ def byte_bpe(path: str, vocabulary: int = 50_257, end: int = 0) -> Callable[[lis
     return encode
 
 
+def _by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at least one row, of up to SLICE bytes of text where rows are smaller."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write_records(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], folder: str | None = None,
                   key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write ``docs`` in ascending order of ``key``; returns the manifest, one row per file.
@@ -198,8 +357,7 @@ def write_records(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], f
         name, index, n_tokens = f"{root}/{uuid.uuid4().hex}", [], 0
         out = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in _by_size(batch):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out, position = fs.open_output_stream(f"{name}.rec"), 0
