@@ -148,7 +148,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     blocks = max(1, -(-n // BLOCK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 100) for whole in batches for at in range(0, whole.num_rows, 100)):
             out = []
             for r in batch.to_pylist():
                 wanted = np.array([x["seed"] for x in sorted(r["wanted"], key=lambda x: x["q"])], np.int64)
