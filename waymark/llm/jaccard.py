@@ -207,7 +207,8 @@ def near(sizes: np.ndarray, maps: list[bytes], g: float) -> np.ndarray:
             if by is None and len(y):
                 by = _folded(np.frombuffer(b"".join(maps[i] for i in wide), _U).reshape(len(wide), -1))
             if len(y):
-                apart = np.bitwise_count(bx[:, None, :] ^ by[None, :, :]).sum(2, dtype=np.int64)
+                step = max(1, (1 << 21) // by.size)  # some 16 MB at once, however long the sets
+                apart = np.concatenate([np.bitwise_count(bx[i:i + step, None, :] ^ by[None, :, :]).sum(2, dtype=np.int64) for i in range(0, len(bx), step)])
                 fits = apart <= most[np.ix_(x, y)]
                 ok[np.ix_(x, y)] &= fits
                 if y is not x:
@@ -223,7 +224,7 @@ def _met(groups: DataFrame, g: float, every: bool) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 100) for whole in batches for at in range(0, whole.num_rows, 100)):
             rows: list[tuple] = []
             for grp, members in zip(batch.column("grp").to_pylist(), batch.column("members").to_pylist(), strict=True):
                 node = [m["node"] for m in members]
@@ -248,7 +249,7 @@ def _within_bits(pairs: DataFrame, nodes: DataFrame, g: float) -> DataFrame:
     """The pairs ``(a, b)`` that sizes and then bitmaps allow to be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             na, nb, ba, bb = (batch.column(c).to_pylist() for c in ("na", "nb", "bits_a", "bits_b"))
             keep = [bool(len(near(np.array([x, y]), [p, q], g))) for x, y, p, q in zip(na, nb, ba, bb, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -260,20 +261,22 @@ def _within_bits(pairs: DataFrame, nodes: DataFrame, g: float) -> DataFrame:
             .select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long"))
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, text)`` of ``nodes`` (node, key, row: where its text is found).
-
-    Texts that nobody asks for are left out by a bit filter of fixed size before any text moves;
-    the join decides.
-    """
-    place = lambda row: F.pmod(F.xxhash64(row), F.lit(FILTER))
+def _filtered(rows: DataFrame, row: Column, wanted: DataFrame) -> DataFrame:
+    """``rows`` and ``__bit_maybe``: whether their hash ``row`` may be among ``wanted`` (row). A bit filter of fixed size, so it can be broadcast whatever the data."""
+    place = lambda r: F.pmod(F.xxhash64(r), F.lit(FILTER))
     page = 1 << 15
-    filled = nodes.select(place("row").alias("p")).groupBy(F.expr(f"p div {page}").alias("page")).agg(
-        F.bitmap_construct_agg(F.pmod("p", F.lit(page))).alias("map"))  # FILTER / page rows of 4 KB
-    rows = docs.withColumn("r", F.xxhash64("text")).withColumn("p", place("r"))
-    byte = F.expr(f"cast(conv(hex(substring(map, cast(pmod(p, {page}) div 8 as int) + 1, 1)), 16, 10) as int)")
-    asked = rows.join(F.broadcast(filled), F.expr(f"p div {page}") == F.col("page")).where(
-        byte.bitwiseAND(F.expr("shiftleft(1, cast(pmod(p, 8) as int))")) != 0)
+    filled = wanted.select(place("row").alias("p")).groupBy(F.expr(f"p div {page}").alias("__bit_page")).agg(
+        F.bitmap_construct_agg(F.pmod("p", F.lit(page))).alias("__bit_map"))  # FILTER / page rows of 4 KB
+    placed = rows.withColumn("__bit_p", place(row))
+    byte = F.expr(f"cast(conv(hex(substring(__bit_map, cast(pmod(__bit_p, {page}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(pmod(__bit_p, 8) as int))")) != 0
+    return (placed.join(F.broadcast(filled), F.expr(f"__bit_p div {page}") == F.col("__bit_page"), "left")
+            .withColumn("__bit_maybe", F.coalesce(hit, F.lit(False))).drop("__bit_p", "__bit_page", "__bit_map"))
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, text)`` of ``nodes`` (node, key, row: where its text is found). Texts that nobody asks for don't move."""
+    asked = _filtered(docs.withColumn("r", F.xxhash64("text")), F.col("r"), nodes).where("__bit_maybe")
     wanted = nodes.select("node", F.col("key").alias("k"), F.col("row").alias("w"))
     return (asked.join(wanted, (asked["r"] == wanted["w"]) & asked["key"].eqNullSafe(wanted["k"]))
             .groupBy("node").agg(F.first("text").alias("text")))
@@ -370,7 +373,12 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     groups = materialize(named.select("grp", "node", "low", "size").dropDuplicates(["grp", "node"]), "groups")
     small, large = groups.where(F.col("size") <= SMALL), groups.where(F.col("size") > SMALL)
 
-    met = materialize(_met(small.select("grp", "node").join(nodes.select("node", "n", "bits"), "node"), g, False), "met")
+    # in a bucket sorted by size, a set without a neighbour of a fitting size has no partner there, and its bitmap needn't travel
+    by_size = Window.partitionBy("grp").orderBy("n", "node")
+    sized = small.select("grp", "node").join(nodes.select("node", "n"), "node")
+    fits = (F.lag("n").over(by_size) >= g * F.col("n") - 1e-6) | (g * F.lead("n").over(by_size) <= F.col("n") + 1e-6)
+    sized = sized.withColumn("fits", fits).where("fits").select("grp", "node", "n")
+    met = materialize(_met(sized.join(nodes.select("node", "bits"), "node"), g, False), "met")
     stars = large.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     hot = not stars.isEmpty()
     pairs = met.where("grp is null").groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(
@@ -522,14 +530,18 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     named = materialize(judged.where("not _stays or copies > 1").select(F.col("key").alias("_key"), F.col("row").alias("_row"), "_stays"), "gone")
     release(rows)
 
+    # rows that may be named join the names; the others, most of the texts, stay where they are
+    marked = _filtered(docs, F.xxhash64(text), named.select(F.col("_row").alias("row")))
+    some = marked.where("__bit_maybe").drop("__bit_maybe")
+
     def same(found: DataFrame) -> Column:
-        return docs[key].cast("long").eqNullSafe(found["_key"]) & (F.xxhash64(docs[text]) == found["_row"])
+        return some[key].cast("long").eqNullSafe(found["_key"]) & (F.xxhash64(some[text]) == found["_row"])
 
-    out = docs.join(named, same(named), "left_anti")
+    out = marked.where("not __bit_maybe").drop("__bit_maybe").unionByName(some.join(named, same(named), "left_anti"))
     repeated = named.where("_stays")
     if repeated.isEmpty():
         return out
     plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    one = (docs.join(repeated, same(repeated), "left_semi").groupBy(F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_row"))
+    one = (some.join(repeated, same(repeated), "left_semi").groupBy(F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_row"))
            .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("_one")).select("_one.*"))
     return out.unionByName(one)
