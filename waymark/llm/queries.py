@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from waymark.llm.chat import format_chats
 from waymark.llm.decontaminate import contaminated
 from waymark.llm.jaccard import jaccard_components
+from waymark.llm.line_dedup import drop_shared_lines
+from waymark.llm.merkle import audit_tampering
 from waymark.llm.mixing import taken
 from waymark.llm.oracles import ORACLES
 from waymark.llm.quality_model import score_quality
 from waymark.llm.records import byte_bpe, read_records, write_records
+from waymark.llm.repair import damage, repair_summary
 from waymark.llm.secrets import find_secrets
 from waymark.llm.sharding import assign_shards
 from waymark.llm.urls import judge_urls
@@ -77,6 +80,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_summary(damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_shared_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_tampering(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mixing": op2_source_mixing,
@@ -88,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
