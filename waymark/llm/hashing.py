@@ -1,25 +1,29 @@
 """Word and shingle hashes of whole texts, vectorised over a batch of texts.
 
-A word's hash is the sum, mod 2**64, of a random odd-power polynomial in its bytes,
-then mixed; a shingle's is a mixed chain of its words' hashes. Both depend on the
+The hash of a word of up to 8 bytes is its bytes as one number, mixed, so such words never collide; a longer word's is
+64 bits of BLAKE2b. A shingle's is a mixed chain of its words' hashes. Both depend on the
 words alone, so they agree between tasks, runs and machines.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240601))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_rng.integers(1, 2**63, 256, dtype=np.uint64)  # keeps the numbers below as they were
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32  # A-Z count as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _MARK = _SPACE.copy()
 _MARK[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _BASE = _U(0x9E3779B97F4A7C15)
 _STEPS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _POWERS = np.ones(1, np.uint64)
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Bytes hashed at once.
 CHUNK = 1 << 20
 
@@ -67,13 +71,37 @@ def _hash_words(buf: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.nda
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.empty(0, np.uint64), starts
-    lengths = np.diff(np.append(starts, len(buf)))
-    at = np.arange(len(buf), dtype=np.int64)
-    at[starts[0]:] -= np.repeat(starts, lengths)
-    at[:starts[0]] = 0
-    values = _BYTE[buf] * _powers(int(lengths.max()) + 1)[at]
-    values[space] = 0
-    return mix(np.add.reduceat(values, starts)), starts
+    last = ~space
+    last[:-1] &= space[1:]
+    lengths = np.flatnonzero(last) + 1 - starts
+    low = _LOWERED[buf]
+    h = mix(_block(low, starts, lengths) + lengths.astype(_U) * _BASE)
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        data = low.tobytes()
+        h[long] = [_long_word(data[a:b]) for a, b in zip(starts[long].tolist(), (starts + lengths)[long].tolist(), strict=True)]
+    return h, starts
+
+
+_LONG: dict[bytes, int] = {}
+
+
+def _long_word(word: bytes) -> int:
+    h = _LONG.get(word)
+    if h is None:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(_LONG) >= 500_000:
+                _LONG.clear()
+            _LONG[word] = h
+    return h
+
+
+def _block(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of each range as a number."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(buf),), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    return eights[starts] & _FIRST[np.minimum(lengths, 8)]
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -115,17 +143,28 @@ def set_key(distinct: np.ndarray) -> int:
 _EXACT = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
-def range_sums(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Per range of bytes from one start to the next (the first start is 0), the sum that ``range_key`` makes a hash of."""
-    lengths = np.diff(np.append(starts, len(buf)))
-    at = np.arange(len(buf), dtype=np.int64) - np.repeat(starts, lengths)
-    return np.add.reduceat(_EXACT[buf] * _powers(int(lengths.max()))[at], starts)
+def flat(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of all ranges (none empty) after one another, and where each range begins among them."""
+    stops = np.cumsum(lengths)
+    return np.repeat(starts - (stops - lengths), lengths) + np.arange(stops[-1] if len(stops) else 0), stops - lengths
 
 
-def without_last(sums: np.ndarray, last: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The sums of the ranges without their last byte."""
-    return sums - _EXACT[last] * _powers(int(lengths.max()))[lengths - 1]
+def range_keys(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit key per range of bytes. Ranges of up to 8 bytes and one length never share one; longer ones may, so compare them."""
+    keys = mix(_block(buf, starts, lengths) + lengths.astype(_U) * _BASE)
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        places, begins = flat(starts[long], lengths[long])
+        at = places - np.repeat(starts[long], lengths[long])
+        sums = np.add.reduceat(_EXACT[buf[places]] * _powers(int(lengths[long].max()))[at], begins)
+        keys[long] = mix(sums + lengths[long].astype(_U) * _BASE)
+    return keys
 
 
-def range_key(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    return mix(sums + lengths.astype(_U) * _BASE)
+def same_bytes(a: np.ndarray, starts_a: np.ndarray, b: np.ndarray, starts_b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether ranges of ``a`` and ``b`` of equal lengths hold the same bytes."""
+    if not len(lengths):
+        return np.empty(0, bool)
+    places, begins = flat(starts_a, lengths)
+    others = places + np.repeat(starts_b - starts_a, lengths)
+    return np.add.reduceat((a[places] != b[others]).astype(np.int64), begins) == 0

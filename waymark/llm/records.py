@@ -33,11 +33,11 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.hashing import range_key, range_sums, without_last
+from waymark.llm.hashing import flat, range_keys, same_bytes
 from waymark.plans.scratch import materialize, new_path
 
 MASK = 0xA282EAD8
-#: Pieces remembered per worker, some 30 bytes each.
+#: Pieces remembered per worker, some 50 bytes each.
 MEMO = 3_000_000
 #: Bytes of text encoded at once.
 SLICE = 1_500_000
@@ -106,41 +106,59 @@ _SHOWN = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(
 
 
 class _Memo:
-    """Ids of pieces by the pieces' 64-bit hash: sorted arrays, and one pool of ids. Some 30 bytes a piece."""
+    """Ids of pieces by the pieces' 64-bit key and bytes: sorted arrays, one pool of ids and one of the bytes of pieces longer than 8."""
 
     def __init__(self, dtype: type) -> None:
         self.pool, self.used = np.empty(1 << 16, dtype), 0
-        self.tables = [self._table(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(2)]  # settled and recent
+        self.text, self.text_used = np.empty(1 << 16, np.uint8), 0
+        none = np.empty(0, np.int64)
+        self.tables = [self._table(none.astype(np.uint64), none, none, none, none) for _ in range(2)]  # settled and recent
 
     @staticmethod
-    def _table(keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _table(keys: np.ndarray, at: np.ndarray, size: np.ndarray, length: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(keys)
-        return keys[order], at[order].astype(np.int64), size[order].astype(np.int32)
+        return keys[order], at[order].astype(np.int64), size[order].astype(np.int32), length[order].astype(np.int32), place[order].astype(np.int64)
 
     def __len__(self) -> int:
         return sum(len(t[0]) for t in self.tables)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the pool (-1: unknown) and number of ids per key."""
-        at, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        for known, place, sizes in self.tables:
+    def find(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per piece its place in the pool (-1: unknown), number of ids, and whether its key is another piece's."""
+        at, size, clash = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for known, places, sizes, length, place in self.tables:
             if len(known):
                 i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 hit = known[i] == keys
-                at[hit], size[hit] = place[i[hit]], sizes[i[hit]]
-        return at, size
+                right = hit & (length[i] == lengths)
+                long = np.flatnonzero(right & (lengths > 8))
+                right[long] = same_bytes(buf, starts[long], self.text, place[i[long]], lengths[long])
+                at[right], size[right] = places[i[right]], sizes[i[right]]
+                clash |= hit & ~right
+        return at, size, clash
+
+    @staticmethod
+    def _append(pool: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+        if used + len(more) > len(pool):
+            pool = np.concatenate([pool[:used], np.empty(max(len(more), used // 2), pool.dtype)])
+        pool[used:used + len(more)] = more
+        return pool
 
     def append(self, ids: np.ndarray) -> int:
         """Put ids into the pool; returns their place."""
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[:self.used], np.empty(max(len(ids), self.used // 2), self.pool.dtype)])
-        self.pool[self.used:self.used + len(ids)] = ids
+        self.pool = self._append(self.pool, self.used, ids)
         self.used += len(ids)
         return self.used - len(ids)
 
-    def add(self, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, at: np.ndarray, size: np.ndarray, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        place = np.zeros(len(keys), np.int64)
+        long = np.flatnonzero(lengths > 8)
+        if len(long):
+            places, begins = flat(starts[long], lengths[long])
+            place[long] = self.text_used + begins
+            self.text = self._append(self.text, self.text_used, buf[places])
+            self.text_used += len(places)
         settled, recent = self.tables
-        recent = self._table(*(np.concatenate([x, y]) for x, y in zip(recent, (keys, at, size), strict=True)))
+        recent = self._table(*(np.concatenate([x, y]) for x, y in zip(recent, (keys, at, size, lengths, place), strict=True)))
         if len(recent[0]) > 50_000 + len(settled[0]) // 4:
             settled = self._table(*(np.concatenate([x, y]) for x, y in zip(settled, recent, strict=True)))
             recent = tuple(x[:0] for x in recent)
@@ -173,8 +191,8 @@ class PieceEncoder:
         self.cut = re.compile(f"({'|'.join(map(re.escape, self.added))})")
         for i, t in added.items():
             buf = np.frombuffer(t.content.encode(), np.uint8)
-            size = np.array([len(buf)])
-            self.memo.add(range_key(range_sums(buf, np.array([0])), size), np.array([self.memo.append(np.array([i], dtype))]), np.array([1]))
+            start, size = np.array([0]), np.array([len(buf)])
+            self.memo.add(range_keys(buf, start, size), np.array([self.memo.append(np.array([i], dtype))]), np.array([1]), buf, start, size)
 
     def _for_words(self):
         """Rules that take the place of the word pattern for lines of one word each, which the pattern leaves whole, and for those of a word and a mark; None if the tokenizer does more to texts than usual."""
@@ -271,47 +289,62 @@ class PieceEncoder:
         if not len(buf):
             return [b""] * len(texts)
         lengths = np.diff(np.append(starts, len(buf)))
-        sums = range_sums(buf, starts)
-        keys, first, which = np.unique(range_key(sums, lengths), return_index=True, return_inverse=True)
-        at, size = self.memo.find(keys)
+        keys, first, which = np.unique(range_keys(buf, starts, lengths), return_index=True, return_inverse=True)
+        alone = self._unlike(buf, starts, lengths, first[which])  # pieces whose key another piece of this batch has
+        at, size, clash = self.memo.find(keys, buf, starts[first], lengths[first])
         before = self.memo.used
         new = np.flatnonzero(at < 0)
-        if len(new):
-            stems, rest = self._stems(buf, starts, lengths, sums, first, new)
-            if len(stems[0]):
-                known, place, count, mark = stems
+        if len(new) or len(alone):
+            known, place, count, mark = self._stems(buf, starts, lengths, first, new)
+            if len(known):
                 upto = np.cumsum(count + 1)
                 ids = self.memo.pool[np.minimum(np.repeat(place - (upto - count - 1), count + 1) + np.arange(upto[-1]), self.memo.used - 1)]
                 ids[upto - 1] = mark
                 at[known], size[known] = self.memo.append(ids) + upto - count - 1, count + 1
-            if len(rest):
-                data = buf.tobytes()
-                at[rest], size[rest] = self._learn([data[starts[f]:starts[f] + lengths[f]].decode() for f in first[rest]])
+            data = buf.tobytes()
+            rest = np.flatnonzero(at < 0)
+            for some, put in ((first[rest], rest), (alone, None)):
+                if len(some):
+                    learned = self._learn([data[starts[f]:starts[f] + lengths[f]].decode() for f in some])
+                    if put is not None:
+                        at[put], size[put] = learned
+                    else:
+                        which[alone] = len(at) + np.arange(len(alone))
+                        at, size = np.append(at, learned[0]), np.append(size, learned[1])
         counts, places = size[which], at[which]
         stops = np.cumsum(counts)
         ids = self.memo.pool[np.repeat(places - (stops - counts), counts) + np.arange(stops[-1])].tobytes()
-        if len(new) and len(self.memo) < MEMO:  # when full, it holds most of what is frequent
-            self.memo.add(keys[new], at[new], size[new])
-        elif len(new):
+        if len(self.memo) < MEMO:  # when full, it holds most of what is frequent
+            fresh = new[~clash[new]]
+            if len(fresh):
+                self.memo.add(keys[fresh], at[fresh], size[fresh], buf, starts[first[fresh]], lengths[first[fresh]])
+        else:
             self.memo.used = before
         width = np.dtype(self.dtype).itemsize
         bounds = (np.append(0, stops)[np.searchsorted(starts, np.append(0, ends))] * width).tolist()
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    def _stems(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sums: np.ndarray, first: np.ndarray,
-               new: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-        """New pieces that are a known one and a mark, which after a letter is a token of its own (index, place and number of ids, mark); and the others."""
+    @staticmethod
+    def _unlike(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, twin: np.ndarray) -> np.ndarray:
+        """Pieces that differ from the one that stands for their key."""
+        right = lengths == lengths[twin]
+        long = np.flatnonzero(right & (lengths > 8) & (twin != np.arange(len(twin))))
+        right[long] = same_bytes(buf, starts[long], buf, starts[twin[long]], lengths[long])
+        return np.flatnonzero(~right)
+
+    def _stems(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, ...]:
+        """New pieces that are a known one and a mark, which after a letter is a token of its own: index, place and number of ids, mark."""
         f = first[new]
         size = lengths[f]
         last, previous = buf[starts[f] + size - 1], buf[starts[f] + np.maximum(size - 2, 0)] | 32
         fits = np.isin(last, list(self.marks)) & (size > 1) & (previous >= 97) & (previous <= 122)
         at, count = np.full(len(new), -1, np.int64), np.zeros(len(new), np.int64)
         if fits.any():
-            shorter = without_last(sums[f[fits]], last[fits], size[fits])
-            at[fits], count[fits] = self.memo.find(range_key(shorter, size[fits] - 1))
+            begin, shorter = starts[f[fits]], size[fits] - 1
+            at[fits], count[fits], _ = self.memo.find(range_keys(buf, begin, shorter), buf, begin, shorter)
         known = at >= 0
         mark = np.array([self.marks.get(c, 0) for c in range(256)], self.dtype)[last[known]]
-        return (new[known], at[known], count[known], mark), new[~known]
+        return new[known], at[known], count[known], mark
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
