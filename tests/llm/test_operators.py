@@ -93,7 +93,7 @@ def brute_em(patterns, rules):
 
     for _ in range(100):
         post = [posterior(p) for p in patterns]
-        share = min(max((sum(post) + 16) / (len(post) + 20), .5), .999)
+        share = min(max((sum(post) + 16) / (len(post) + 20), .001), .999)
         new = []
         for r in range(rules):
             said = [(p[r], q) for p, q in zip(patterns, post, strict=True) if p[r] != "0"]

@@ -51,7 +51,7 @@ def fit_votes(counts: dict[str, int], rules: int, rounds: int = 100, good_share:
         model = _model(share, acc)
         good = {p: 1 / (1 + math.exp(-max(-60.0, min(60.0, model.log_odds(p))))) for p, _ in patterns}
         share = (sum(n * good[p] for p, n in patterns) + prior_weight * good_share) / (sum(n for _, n in patterns) + prior_weight)
-        share = min(max(share, 0.5), most)
+        share = min(max(share, 1 - most), most)
         acc = []
         for r in range(rules):
             right = [prior_weight * s for s in start]
