@@ -54,16 +54,20 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
 
 
 def with_fit(rows: DataFrame, rules: tuple[tuple[str, str], ...] | DataFrame) -> DataFrame:
-    """``rows`` (with host and path) and ``fit``, their longest fitting rule. A table of rules (rule, verdict), or a long list, is joined by host."""
+    """``rows`` (with host and path) and ``fit``, their longest fitting rule. A table of rules (rule, verdict), or a long list, is joined by host.
+
+    Of rules of one length the first listed wins; a table lists them by its column ``place``, and without one, or at equal places, allow goes before block.
+    """
     if isinstance(rules, tuple) and len(rules) <= MOST_RULES:
         return rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    table = rules if isinstance(rules, DataFrame) else rows.sparkSession.createDataFrame(list(rules), "rule string, verdict string")
-    table = table.select("rule", "verdict", F.substring_index("rule", "/", 1).alias("_own"), F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1).alias("_start"))
+    table = rules if isinstance(rules, DataFrame) else rows.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rules)], "rule string, verdict string, place long")
+    place = F.col("place") if "place" in table.columns else F.lit(0)
+    table = table.select("rule", "verdict", place.cast("long").alias("_place"), F.substring_index("rule", "/", 1).alias("_own"), F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1).alias("_start"))
     places = rows.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     own = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     found = places.withColumn("_own", F.explode(own)).join(table, "_own").where(F.col("path").startswith(F.col("_start")))
-    best = found.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule")).alias("fit"))
+    best = found.groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), "_place", "verdict", "rule")).alias("fit"))
     return rows.join(best, ["host", "path"], "left")
 
 
