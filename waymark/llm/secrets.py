@@ -19,7 +19,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,13 +89,30 @@ def efficiency(s: str, enc) -> float:
     return len(s) / sum(len(enc.encode_ordinary(s[i:i + _WINDOW])) for i in range(0, len(s), _WINDOW))
 
 
+def _overlap(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span meets one of these, by bisection over their union."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def meets(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)  # those before i begin before b
+        return i > 0 and ends[i - 1] > a
+
+    return meets
+
+
 def hard_parts(text: str, start: int, end: int, enc) -> Iterator[list[tuple[int, int]]]:
     """Runs of neighbouring parts of text[start:end] that are hard to spell, as their spans.
 
     . and = end a run, and so do UUIDs and known strings of 20 characters or more. Parts of up
     to 3 characters, hard by their length alone, don't begin or end one.
     """
-    uuids = [m.span() for m in _UUID.finditer(text, start, end)]
+    in_uuid = _overlap([m.span() for m in _UUID.finditer(text, start, end)])
     run: list[tuple[int, int]] = []
 
     def trimmed() -> list[tuple[int, int]]:
@@ -107,7 +125,7 @@ def hard_parts(text: str, start: int, end: int, enc) -> Iterator[list[tuple[int,
             yield trimmed()
             run = []
         s = m[0]
-        if efficiency(s, enc) < LIMIT and not (len(s) >= 20 and (known(s) or not random_like(s, enc))) and not any(x < b and a < y for x, y in uuids):
+        if efficiency(s, enc) < LIMIT and not (len(s) >= 20 and (known(s) or not random_like(s, enc))) and not in_uuid(a, b):
             run.append((a, b))
         else:
             yield trimmed()
@@ -118,10 +136,10 @@ def hard_parts(text: str, start: int, end: int, enc) -> Iterator[list[tuple[int,
 def scan(text: str, enc) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The fixed patterns' spans, and all spans by start and then kind."""
     base = base_spans(text)
-    more = []
+    more, in_base = [], _overlap([(a, b) for a, b, _ in base])
 
     def fresh(a: int, b: int) -> bool:
-        return b - a >= 20 and not any(x < b and a < y for x, y, _ in base) and not known(text[a:b]) and random_like(text[a:b], enc)
+        return b - a >= 20 and not in_base(a, b) and not known(text[a:b]) and random_like(text[a:b], enc)
 
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
