@@ -25,7 +25,7 @@ from waymark.llm.text import let, words
 from waymark.plans.scratch import materialize
 
 MAX_TRAIN = 20_000
-FEATURES = 1 << 16
+FEATURES = 1 << 18
 
 
 def tokens(text: Column) -> Column:
@@ -62,7 +62,8 @@ def fit_scorer(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tra
     if not n:
         return None
     share = min(1.0, max_train / n)
-    sample = docs.where(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1_000_000)) < F.lit(share * 1_000_000))
+    draw = F.xxhash64(F.col(key), F.col(text), F.monotonically_increasing_id())  # equal rows are drawn apart
+    sample = docs.where(draw <= F.lit(min(int(share * 2**64), 2**64 - 1) - 2**63))
     odds = let(measures(F.col(text)), lambda m: model.log_odds_column(labellers(m)))
     sample = sample.select((1 / (1 + F.exp(-odds))).alias("p"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
     hashed = HashingTF(numFeatures=FEATURES, inputCol="tokens", outputCol="counts")
