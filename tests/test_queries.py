@@ -3,6 +3,7 @@ import pytest
 import waymark.plan_queries  # noqa: F401
 import waymark.road_queries  # noqa: F401
 import waymark.score_queries  # noqa: F401
+import waymark.study_queries  # noqa: F401
 from tests.oracle import compare
 from waymark.queries import ORACLES, QUERIES
 

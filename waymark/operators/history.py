@@ -26,17 +26,26 @@ def trailing_means(rows: DataFrame, key: list[str], ts: str, value: str, minutes
     return out.drop("_t")
 
 
-def entry_times(tokens: DataFrame, pace: DataFrame, trip: str, sequence: str, start: str, length: str, link: str, width_s: int, overall: float) -> DataFrame:
+def entry_times(tokens: DataFrame, pace: DataFrame, trip: str, sequence: str, start: str, length: str, link: str, width_s: int, overall: float, spread: str | None = None,
+                support: str | None = None) -> DataFrame:
     """Estimated entry time of each token in two rounds (W6): offsets from the pace at departure, then from the pace at the first estimate.
 
     ``pace``: (link, slot, pace), slot being an epoch time over ``width_s``. A link without pace in a slot takes ``overall``.
+    ``spread`` and ``support`` name pace's standard deviation and count: the second round then adds up ``entry_variance`` over the
+    tokens before. A link without pace has half its travel time as deviation, one of a single observation a quarter at least.
     """
     w = Window.partitionBy(trip).orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
+    looked = [F.col("pace").alias("_p"), *([F.col(spread).alias("_sd"), F.col(support).alias("_n")] if spread else [])]
     at, out = F.col(start), tokens
     for turn in (1, 2):
-        out = out.withColumn("slot", F.floor(at / width_s).cast("long")).join(pace.select(link, "slot", F.col("pace").alias("_p")), [link, "slot"], "left")
+        out = out.withColumn("slot", F.floor(at / width_s).cast("long")).join(pace.select(link, "slot", *looked), [link, "slot"], "left")
         out = out.withColumn("_used", F.coalesce("_p", F.lit(overall))).withColumn(f"entry_{turn}", F.col(start) + F.coalesce(F.sum(F.col(length) * F.col("_used")).over(w), F.lit(0.0)))
-        out = out.drop("_p", "slot")
+        if spread and turn == 2:
+            time = F.col(length) * F.col("_used")
+            sd = F.coalesce(F.col(length) * F.greatest(F.col("_sd"), F.lit(0.0)), F.lit(0.0))
+            sd = F.when(F.col("_p").isNull(), 0.5 * time).when(F.col("_n") <= 1, F.greatest(sd, 0.25 * time)).otherwise(sd)
+            out = out.withColumn("entry_variance", F.coalesce(F.sum(sd * sd).over(w), F.lit(0.0)))
+        out = out.drop("_p", "_sd", "_n", "slot")
         at = F.col(f"entry_{turn}")
     return out.withColumnRenamed("_used", "pace")
 

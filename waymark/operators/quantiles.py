@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators.ranks import counted, running, same
+from waymark.plans.scratch import materialize
 
 
 def histogram(rows: DataFrame, key: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -39,6 +40,44 @@ def midrank_cdf(hist: DataFrame, key: list[str]) -> DataFrame:
     return hist.withColumn("cdf", (F.sum("n").over(w.orderBy("bin")) - F.col("n") / 2) / F.sum("n").over(w))
 
 
+def interpolated_cdf(train: DataFrame, rows: DataFrame, levels: dict[str, Column], value: str, low: float, high: float, bins: int, least: int) -> DataFrame:
+    """Midrank CDF of each row's value in its first cohort level with ``least`` training values, with that level and its support.
+
+    In an occupied bin it is the bin's midrank; in an empty one it is interpolated between the centres of the
+    occupied bins before and after, and outside them 0 or 1. A missing value has none. ``levels``: name to cohort key, most special first.
+
+    The histograms are the whole training state. Bins that rows ask for and bins that are occupied meet in one
+    union, where two running windows a cohort, over at most 2 (bins + 2) rows, bring both neighbours.
+    """
+    width = (high - low) / bins
+    hist = multi_level(train, levels, value, low, high, bins).where(F.col("bin").between(0, bins - 1))
+    hist = materialize(midrank_cdf(hist, ["level", "key"]).withColumn("support", F.sum("n").over(Window.partitionBy("level", "key"))), "cohorts")
+    total = hist.select("level", "key", "support").distinct().where(F.col("support") >= least)
+    names = [c for c in rows.columns]
+    out, chosen = rows, F.lit(None)
+    for i, (name, key) in reversed(list(enumerate(levels.items()))):
+        one = total.where(F.col("level") == name).select(F.col("key").alias(f"_k{i}"), F.col("support").alias(f"_n{i}"))
+        mine = out.withColumn(f"_own{i}", key)
+        out = mine.join(one, mine[f"_own{i}"].eqNullSafe(one[f"_k{i}"]), "left")
+        chosen = F.when(F.col(f"_n{i}").isNotNull(), F.struct(F.lit(name).alias("level"), F.col(f"_own{i}").alias("key"), F.col(f"_n{i}").alias("support"))).otherwise(chosen)
+    x = F.col(value)
+    spot = F.when(x < low, -1).when(x > high, bins).otherwise(F.least(F.floor((x - low) / width), F.lit(bins - 1))).cast("long")
+    out = materialize(out.select(*names, chosen.alias("_at"), F.when(x.isNotNull() & ~F.isnan(x), spot).alias("_bin")), "asked")
+    asked = out.where("_at is not null and _bin is not null").select("_at.level", "_at.key", F.col("_bin").alias("bin")).distinct()
+    none = F.lit(None).cast("struct<bin:bigint,cdf:double>")
+    both = hist.select("level", "key", "bin", F.struct("bin", "cdf").alias("here"), F.lit(False).alias("query")).unionByName(
+        asked.select("level", "key", "bin", none.alias("here"), F.lit(True).alias("query")))
+    order = Window.partitionBy("level", "key").orderBy("bin")
+    both = both.withColumn("before", F.last("here", True).over(order.rangeBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first("here", True).over(order.rangeBetween(0, Window.unboundedFollowing)))
+    found = both.where("query").select(F.struct("level", "key").alias("_of"), F.col("bin").alias("_b"), "before", "after")
+    j = out.join(found, F.struct("_at.level", "_at.key").eqNullSafe(F.col("_of")) & (F.col("_bin") == F.col("_b")), "left")
+    centre = lambda b: low + (F.col(b) + 0.5) * width
+    part = (x - centre("before.bin")) / (centre("after.bin") - centre("before.bin"))
+    cdf = (F.when(F.col("_bin").isNull() | F.col("_at").isNull(), None).when(F.col("before").isNull(), 0.0).when(F.col("after").isNull(), 1.0)
+           .when(F.col("before.bin") == F.col("after.bin"), F.col("before.cdf")).otherwise(F.col("before.cdf") + part * (F.col("after.cdf") - F.col("before.cdf"))))
+    return j.select(*names, cdf.cast("double").alias("cdf"), F.col("_at.level").alias("level"), F.col("_at.support").alias("support"))
+
+
 def ecdf(train: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
     """Share of the key's training values at or below each row's value, null without training values."""
     both = train.select(F.col(key), F.col(value), F.lit(1).alias("_t")).unionByName(rows.select(key, value, F.lit(0).alias("_t")))

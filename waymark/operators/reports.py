@@ -137,6 +137,40 @@ def did(rows: DataFrame, a: str, b: str, value: str) -> DataFrame:
     return m.agg(*[cell(i, j).alias(f"m{i}{j}") for i in (0, 1) for j in (0, 1)]).withColumn("did", (F.col("m11") - F.col("m10")) - (F.col("m01") - F.col("m00")))
 
 
+def factorial_cells(rows: DataFrame, factors: list[str], value: str) -> DataFrame:
+    """Mean and count per combination of levels and, by grouping sets in the same pass, per level of each factor over all others.
+
+    ``factor`` is null for whole combinations, else names the one whose level the marginal mean is for; the other factors are null there.
+    """
+    sets = [[F.col(f) for f in factors], *[[F.col(f)] for f in factors]]
+    out = rows.groupingSets(sets, *[F.col(f) for f in factors]).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.grouping_id().alias("_g"))
+    full = (1 << len(factors)) - 1
+    which = F.lit(None).cast("string")
+    for i, f in enumerate(factors):
+        which = F.when(F.col("_g") == full - (1 << len(factors) - 1 - i), f).otherwise(which)
+    return out.select(*factors, F.when(F.col("_g") != 0, which).alias("factor"), "mean", "n")
+
+
+def factorial_changes(rows: DataFrame, factors: list[str], value: str) -> DataFrame:
+    """Per factor and combination of the others: the number of levels, changes from the lowest to the highest, rises and falls between neighbours, and a class.
+
+    ``shape``: increasing, decreasing, flat, mixed, or single for one level. ``context``: the other factors' levels, as name=level.
+    """
+    cells = factorial_cells(rows, factors, value).where("factor is null")
+    out = None
+    for f in factors:
+        others = [o for o in factors if o != f]
+        context = F.concat_ws(",", *[F.concat(F.lit(f"{o}="), F.coalesce(F.col(o).cast("string"), F.lit("null"))) for o in others]) if others else F.lit("")
+        w = Window.partitionBy(*others).orderBy(f)  # a row per level
+        step = cells.withColumn("_step", F.col("mean") - F.lag("mean").over(w))
+        one = step.groupBy(context.alias("context")).agg(
+            F.count("*").alias("levels"), (F.max_by("mean", f) - F.min_by("mean", f)).alias("total_change"), F.max("_step").alias("largest_step"),
+            F.count_if(F.col("_step") > 0).alias("rises"), F.count_if(F.col("_step") < 0).alias("falls")).withColumn("factor", F.lit(f))
+        out = one if out is None else out.unionByName(one)
+    shape = (F.when(F.col("levels") == 1, "single").when((F.col("rises") > 0) & (F.col("falls") > 0), "mixed").when(F.col("rises") > 0, "increasing").when(F.col("falls") > 0, "decreasing").otherwise("flat"))
+    return out.withColumn("shape", shape).select("factor", "context", "levels", "total_change", "largest_step", "rises", "falls", "shape")
+
+
 def sequence_overlap(a: Column, b: Column, most: int = 200_000) -> Column:
     """Longest common subsequence length over b's length, null if one is empty or the product of lengths exceeds ``most``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions.exprs import hash_uniform
 from waymark.operators.causal import fallback
 from waymark.operators.ranks import counted
+from waymark.plans.scratch import materialize
 
 
 def profile_oracle(train: DataFrame, test: DataFrame, levels: list[list[str]], truth: str, least: int) -> DataFrame:
@@ -162,6 +163,36 @@ def speed_posterior(train: DataFrame, rows: DataFrame, kind: str, speed: str, li
     return j.withColumn("_s", F.round(score, 9)).groupBy(key).agg(F.min(F.struct(-F.col("_s"), "candidate")).alias("b")).select(key, F.col("b.candidate").alias("limit"))
 
 
+def speed_folds(rows: DataFrame, kind: str, speed: str, limit: str, group: str, grid: list[float], spread: float, key: str, folds: int, seed: str) -> DataFrame:
+    """``speed_posterior`` held against known limits, each row by the training of the folds without its group: per fold and over all (null), n and accuracies (M4).
+
+    Class counts and the mean log ratio of all folds are one aggregate; a fold's training is the whole less the fold's own, so the rows are
+    read twice whatever the number of folds, and none is trained apart. ``compatible``: share of agreement on both sides of 60, 80 and 120.
+    """
+    from waymark.functions.exprs import hash_modulo
+
+    ratio = F.log(F.col(speed) / F.col(limit))
+    each = materialize(rows.withColumn("fold", hash_modulo(seed, F.col(group), folds).cast("int")), "folds")
+    part = each.groupBy("fold", kind, limit).agg(F.count("*").alias("c"), F.sum(ratio).alias("s"), F.count(ratio).alias("n"))
+    part = materialize(part, "counts")
+    whole = part.groupBy(kind, limit).agg(F.sum("c").alias("all"))
+    names = part.select("fold").distinct()
+    own = part.select("fold", kind, limit, "c")
+    without = (names.crossJoin(whole)  # folds x classes x limits, the size of the fitted table
+               .join(own, ["fold", kind, limit], "left").select("fold", kind, F.col(limit).alias("candidate"), (F.col("all") - F.coalesce("c", F.lit(0))).alias("_c")))
+    sums = part.agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"))
+    means = part.groupBy("fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).crossJoin(sums)  # one row
+    means = means.select("fold", F.try_divide(F.col("_s") - F.col("s"), F.col("_n") - F.col("n")).alias("_mu"))
+    j = each.withColumn("candidate", F.explode(F.array(*map(F.lit, grid)))).join(without, ["fold", kind, "candidate"], "left").join(means, "fold")
+    score = F.log(F.coalesce("_c", F.lit(0)) + 1.0) - F.pow(F.log(F.col(speed) / F.col("candidate")) - F.col("_mu"), 2) / (2 * spread * spread)
+    best = j.withColumn("_s", F.round(score, 9)).groupBy(key, "fold", limit).agg(F.min_by("candidate", F.struct(-F.col("_s"), "candidate")).alias("found"))
+    t, f = F.col(limit), F.col("found")
+    agree = sum(((t <= cap) == (f <= cap)).cast("double") for cap in (60, 80, 120)) / 3
+    return best.groupingSets([[F.col("fold")], []], "fold").agg(
+        F.count("*").alias("n"), F.avg((t == f).cast("double")).alias("exact"), F.avg((F.abs(t - f) <= 10).cast("double")).alias("within_10"),
+        F.avg(agree).alias("compatible"), F.avg(F.abs(t - f)).alias("mae")).select("fold", "n", "exact", "within_10", "compatible", "mae")
+
+
 def moments(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """n, mean, std, quartiles and extremes per key, the quartiles from counts by distinct value."""
     known = rows.where(F.col(value).isNotNull())

@@ -294,16 +294,6 @@ def _(spark, sf):
     return scores.speed_posterior(e.where(F.day("ts") <= 20), e.where(F.day("ts") > 20).drop("l"), "event_type", "value", "l", grid, 0.5, "event_id")
 
 
-@query("m3_encoding", """with v as (select p_type t, row_number() over (order by count(*) desc, p_type) - 1 i from part where p_partkey % 4 = 0 and p_size < 20 group by 1) select p_partkey, coalesce(i, (select count(*) from v))::double code from part left join v on t = p_type""")
-def _(spark, sf):
-    """Codes of a training vocabulary, most frequent first; what training hasn't seen shares the last code."""
-    from pyspark.ml.feature import StringIndexer
-
-    p = table(spark, sf, "part").select("p_partkey", "p_type", "p_size")
-    fitted = StringIndexer(inputCol="p_type", outputCol="code", handleInvalid="keep").fit(p.where("p_partkey % 4 = 0 and p_size < 20"))
-    return fitted.transform(p).select("p_partkey", "code")
-
-
 @query("e8_moments", "select event_type, count(value) n, round(avg(value), 5) mean, round(stddev_samp(value), 5) std, round(quantile_cont(value, 0.25), 5) q25, round(quantile_cont(value, 0.75), 5) q75, min(value) low, max(value) high from events group by 1")
 def _(spark, sf):
     m = scores.moments(events(spark, sf), ["event_type"], "value")
