@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def no_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch, also of timestamps without a zone (read as UTC)."""
     return F.unix_micros(ts.cast("timestamp"))

@@ -20,11 +20,13 @@ def direct_evidence(rows: DataFrame, key: list[str], start: str, end: str, durat
 
 
 def with_context(rows: DataFrame, context: DataFrame, key: list[str], identity: list[tuple[str, str]]) -> DataFrame:
-    """N:1 left join with ``context_state``: ok, no_context, ambiguous (several context rows, of which none is taken) or mismatch of an identity.
+    """N:1 left join with ``context_state``: ok, no_context, ambiguous (several context rows, of which none is taken: its columns are null) or mismatch of an identity.
+
+    A null in the key meets no context.
 
     identity: pairs (column of rows, column of context) that must be equal.
     """
-    one = context.groupBy(*key).agg(F.count("*").alias("_rows"), *[F.first(c).alias(c) for c in context.columns if c not in key])
+    one = context.groupBy(*key).agg(F.count("*").alias("_rows"), *[F.when(F.count("*") == 1, F.first(c)).alias(c) for c in context.columns if c not in key])
     out = rows.join(one, key, "left")
     wrong = F.lit(False)
     for a, b in identity:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.exprs import micros
 from waymark.operators.causal import fallback, window_history
-from waymark.operators.ranks import counted
+from waymark.operators.ranks import at_places, counted, running, same, with_quantiles
 
 
 def session_gap(gaps: DataFrame, gap: str, usual: float, longer: float) -> DataFrame:
@@ -52,8 +52,6 @@ def entry_times(tokens: DataFrame, pace: DataFrame, trip: str, sequence: str, st
 
 def deciles(rows: DataFrame, value: str, tie: str, groups: int = 10) -> DataFrame:
     """``decile`` 1.. by value with ties broken by ``tie``, in equal groups."""
-    from waymark.operators.ranks import running
-
     each = rows.withColumn("_one", F.lit(1)).withColumn("_o", F.struct(value, tie))
     n = rows.agg(F.count("*").alias("_n"))
     r = running(each, [], "_o", {"_i": "_one"}).crossJoin(n)  # one row
@@ -65,10 +63,11 @@ def deciles(rows: DataFrame, value: str, tie: str, groups: int = 10) -> DataFram
 
 
 def selection_rank(rows: DataFrame, day: list[str], draw: Column, tie: str) -> DataFrame:
-    """(i + 0.5) / n by hash and id within the day."""
-    w = Window.partitionBy(*day)
-    i = F.row_number().over(w.orderBy("_h", tie)) - 1
-    return rows.withColumn("_h", draw).withColumn("selection_rank", (i + 0.5) / F.count("*").over(w)).drop("_h")
+    """(i + 0.5) / n by hash and id within the day, over ranges of the order."""
+    each = rows.withColumns({"_one": F.lit(1), "_o": F.struct(draw.alias("h"), tie)})
+    ranked = running(each, day, "_o", {"_i": "_one"})
+    n = rows.groupBy(*day).agg(F.count("*").alias("_n"))
+    return ranked.join(n, same(ranked, n, day)).select(*[ranked[c] for c in rows.columns], ((F.col("_i") - 0.5) / F.col("_n")).alias("selection_rank"))
 
 
 def caps(rows: DataFrame, dims: list[str], anchors: list[float]) -> DataFrame:
@@ -95,7 +94,7 @@ def support_levels(train: DataFrame, rows: DataFrame, edge: str, kind: str, node
 
 def reference_pace(rows: DataFrame, key: list[str], value: str, day: str) -> DataFrame:
     """20 % quantile, median, count and distinct days per key."""
-    return rows.groupBy(*key).agg(F.percentile(value, F.lit(0.2)).alias("q20"), F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("n"), F.count_distinct(day).alias("days"))
+    return with_quantiles(rows.groupBy(*key).agg(F.count(value).alias("n"), F.count_distinct(day).alias("days")), rows, key, value, {"q20": 0.2, "median": 0.5})
 
 
 def frozen_threshold(hist: DataFrame, key: list[str], share: float, low: float, width: float) -> DataFrame:
@@ -109,7 +108,7 @@ def median_levels(train: DataFrame, rows: DataFrame, levels: list[list[str]], va
     """Median at the first level of keys with ``least`` training rows, and that level."""
     out, found = rows, []
     for i, keys in enumerate(levels):
-        stat = train.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias(f"_m{i}"), F.count(value).alias(f"_n{i}"))
+        stat = with_quantiles(train.groupBy(*keys).agg(F.count(value).alias(f"_n{i}")), train, keys, value, {f"_m{i}": 0.5})
         out = out.join(stat, keys, "left") if keys else out.crossJoin(F.broadcast(stat))  # one row
         found.append(("_".join(keys) or "global", F.col(f"_m{i}"), F.col(f"_n{i}")))
     v, level = fallback(found[:-1], least) if not levels[-1] else fallback(found, least)
@@ -161,14 +160,11 @@ def remaining_time(ratios: DataFrame, jobs: DataFrame, ratio: str, key: str, pre
     at = counted(ratios.select(F.col(ratio).alias("r")), [], "r")
     both = at.select("r", "n", "total", F.lit(None).cast("long").alias(key), F.lit(0).alias("_q")).unionByName(
         jobs.select((F.col(elapsed) / F.col(predicted)).alias("r"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("total"), F.col(key), F.lit(1).alias("_q")))
-    from waymark.operators.ranks import running
-
     run = running(both.groupBy("r", key, "_q").agg(F.sum("n").alias("n")), [], "r", {"upto": "n"})
     total = ratios.where(F.col(ratio).isNotNull()).agg(F.count("*").alias("_t"))
     first = run.where("_q = 1").crossJoin(total).withColumn("support", F.col("_t") - F.col("upto"))  # one row
     place = F.col("upto") + (F.col("support") - 1) / 2
     first = first.select(key, "support", F.floor(place).alias("lo"), F.ceil(place).alias("hi"))
-    spans = at.select("r", (F.col("upto") - F.col("n")).alias("a"), (F.col("upto") - 1).alias("b"))
-    spots = spans.select("r", F.explode(F.sequence("a", "b")).alias("spot"))
+    spots = at_places(at, "r", first.where("support > 0").select(F.explode(F.array("lo", "hi")).alias("spot")), "spot")
     out = jobs.join(first, key).join(spots.select(F.col("r").alias("_lo"), F.col("spot").alias("lo")), "lo", "left").join(spots.select(F.col("r").alias("_hi"), F.col("spot").alias("hi")), "hi", "left")
     return out.select(key, F.when(F.col("support") > 0, F.col(predicted) * (F.col("_lo") + F.col("_hi")) / 2 - F.col(elapsed)).alias("remaining"), "support")

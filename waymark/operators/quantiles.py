@@ -102,17 +102,17 @@ def ecdf_with_fallback(train: DataFrame, rows: DataFrame, levels: list[str], val
 
 def weighted_quantile(rows: DataFrame, key: list[str], value: str, weight: str, q: float) -> DataFrame:
     """The smallest value whose cumulative weight reaches q of the total."""
-    w = Window.partitionBy(*key)
-    run = (rows.where(F.col(value).isNotNull() & (F.col(weight) > 0))
-           .withColumn("_c", F.sum(weight).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum(weight).over(w)))
-    return run.groupBy(*key).agg(F.min(F.when(F.col("_c") >= q * F.col("_t") - 1e-9, F.col(value))).alias("weighted_q"))
+    at = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*key, value).agg(F.sum(weight).alias("_w"))
+    run, total = running(at, key, value, {"_c": "_w"}), at.groupBy(*key).agg(F.sum("_w").alias("_t"))
+    both = run.join(total, same(run, total, key)).select(run["*"], "_t")
+    return both.groupBy(*key).agg(F.min(F.when(F.col("_c") >= q * F.col("_t") - 1e-9, F.col(value))).alias("weighted_q"))
 
 
 def weighted_mid_cdf(rows: DataFrame, key: list[str], value: str, weight: str) -> DataFrame:
-    """(weight below + half the weight at the value) / total, per distinct value."""
+    """(weight below + half the weight at the value) / total, per distinct value, over ranges of the order."""
     at = rows.groupBy(*key, value).agg(F.sum(weight).alias("w"))
-    w = Window.partitionBy(*key)
-    return at.withColumn("mid_cdf", (F.sum("w").over(w.orderBy(value)) - F.col("w") / 2) / F.sum("w").over(w))
+    run, total = running(at, key, value, {"_c": "w"}), at.groupBy(*key).agg(F.sum("w").alias("_t"))
+    return run.join(total, same(run, total, key)).select(*[run[c] for c in at.columns], ((F.col("_c") - F.col("w") / 2) / F.col("_t")).alias("mid_cdf"))
 
 
 def exact_quantiles(rows: DataFrame, key: list[str], value: str, q: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.operators.ranks import running
+from waymark.operators.ranks import at_places, linear_quantiles, running, with_quantiles
 
 
 def traffic_state(pace_ratio: Column, slow_share: Column, support: Column, least: int) -> Column:
@@ -16,19 +16,21 @@ def traffic_state(pace_ratio: Column, slow_share: Column, support: Column, least
 
 
 def residual_quantiles(rows: DataFrame, levels: list[list[str]], residual: str, q: float) -> DataFrame:
-    """Quantile and count of residuals at each level, one grouping-sets pass; absent keys are null."""
+    """Quantile and count of residuals at each level, all levels in one pass; absent keys are null."""
     keys = list(dict.fromkeys(k for level in levels for k in level))
-    out = rows.groupingSets([[F.col(k) for k in level] for level in levels], *keys).agg(
-        F.percentile(residual, F.lit(q)).alias("q"), F.count(residual).alias("n"), F.grouping_id().cast("long").alias("gid"))
-    return out.select(*keys, "gid", "q", "n")
+    absent = lambda level: sum(1 << len(keys) - 1 - i for i, k in enumerate(keys) if k not in level)
+    types = dict(rows.select(*keys).dtypes)
+    each = F.explode(F.array(*[F.struct(F.lit(absent(level)).cast("long").alias("gid"), *[(F.col(k) if k in level else F.lit(None).cast(types[k])).alias(k) for k in keys]) for level in levels]))
+    long = rows.select(F.col(residual).alias("_r"), each.alias("_l")).select("_r", "_l.*")
+    return with_quantiles(long.groupBy("gid", *keys).agg(F.count("_r").alias("n")), long, ["gid", *keys], "_r", {"q": q}).select(*keys, "gid", "q", "n")
 
 
 def support_groups(rows: DataFrame, support: str) -> DataFrame:
     """``support_group``: unseen, low, medium or high by the quartiles of positive support."""
-    edge = rows.where(F.col(support) > 0).agg(F.percentile(support, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    edge = linear_quantiles(rows.where(F.col(support) > 0), [], support, {"_q25": 0.25, "_q75": 0.75})
     x = F.col(support)
-    group = F.when(F.coalesce(x, F.lit(0)) <= 0, "unseen").when(x <= F.col("_q")[0], "low").when(x <= F.col("_q")[1], "medium").otherwise("high")
-    return rows.crossJoin(edge).withColumn("support_group", group).drop("_q")  # one row
+    group = F.when(F.coalesce(x, F.lit(0)) <= 0, "unseen").when(x <= F.col("_q25"), "low").when(x <= F.col("_q75"), "medium").otherwise("high")
+    return rows.crossJoin(edge).withColumn("support_group", group).drop("_q25", "_q75")  # one row
 
 
 def conservation(parts: DataFrame, totals: DataFrame, key: list[str], part: str, total: str, tolerance: float) -> DataFrame:
@@ -41,9 +43,9 @@ def conservation(parts: DataFrame, totals: DataFrame, key: list[str], part: str,
 def duration_audit(rows: DataFrame, pairs: dict[str, tuple[Column, Column]], over_s: float) -> DataFrame:
     """Per named pair of epoch seconds: n, negative, zero, over the bound, median."""
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (b - a).cast("double").alias("d")) for n, (a, b) in pairs.items()]))
-    return rows.select(each.alias("x")).select("x.*").where("d is not null").groupBy("name").agg(
-        F.count("*").alias("n"), F.count_if(F.col("d") < 0).alias("negative"), F.count_if(F.col("d") == 0).alias("zero"),
-        F.count_if(F.col("d") > over_s).alias("over"), F.percentile("d", F.lit(0.5)).alias("median"))
+    long = rows.select(each.alias("x")).select("x.*").where("d is not null")
+    stats = long.groupBy("name").agg(F.count("*").alias("n"), F.count_if(F.col("d") < 0).alias("negative"), F.count_if(F.col("d") == 0).alias("zero"), F.count_if(F.col("d") > over_s).alias("over"))
+    return with_quantiles(stats, long, ["name"], "d", {"median": 0.5})
 
 
 def against_baseline(rows: DataFrame, scenario: str, baseline: str, values: list[str]) -> DataFrame:
@@ -116,17 +118,17 @@ def crps(samples: DataFrame, key: list[str], sample: str, truth: str) -> DataFra
 def quantile_map(rows: DataFrame, reference: DataFrame, key: str, value: str, target: str) -> DataFrame:
     """Each value's percent rank (0..1) read off the reference sample with linear interpolation.
 
-    Ranks are dense row numbers by value and key; the join is on reference rank, so both sides stay distributed.
+    Ranks are dense row numbers by value and key; reference values are looked up by range, so a value that many rows share stays one row.
     """
     n = rows.agg(F.count("*").alias("_n"))
     m = reference.agg(F.count("*").alias("_m"))
-    ref = running(reference.select(F.col(target).alias("r")).groupBy("r").agg(F.count("*").alias("c")), [], "r", {"upto": "c"})
-    ref = ref.select("r", F.explode(F.sequence(F.col("upto") - F.col("c"), F.col("upto") - 1)).alias("j"))
+    ref = running(reference.select(F.col(target).alias("r")).groupBy("r").agg(F.count("*").alias("n")), [], "r", {"upto": "n"})
     each = rows.withColumn("_one", F.lit(1)).withColumn("_o", F.struct(value, key))
     x = running(each, [], "_o", {"_i": "_one"}).withColumn("_i", F.col("_i") - 1).crossJoin(n).crossJoin(m)  # one row each
     at = F.try_divide(F.col("_i"), F.col("_n") - 1) * (F.col("_m") - 1)
     x = x.withColumn("_at", F.coalesce(at, F.lit(0.0))).withColumn("_lo", F.floor("_at")).withColumn("_hi", F.ceil("_at"))
-    lo, hi = ref.select(F.col("j").alias("_lo"), F.col("r").alias("_a")), ref.select(F.col("j").alias("_hi"), F.col("r").alias("_b"))
+    places = at_places(ref, "r", x.where("_m > 0").select(F.explode(F.array("_lo", "_hi")).alias("j")), "j")
+    lo, hi = places.select(F.col("j").alias("_lo"), F.col("r").alias("_a")), places.select(F.col("j").alias("_hi"), F.col("r").alias("_b"))
     return x.join(lo, "_lo").join(hi, "_hi").select(key, value, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.col("_lo"))).alias("mapped"))
 
 
@@ -174,14 +176,26 @@ def factorial_changes(rows: DataFrame, factors: list[str], value: str) -> DataFr
 def sequence_overlap(a: Column, b: Column, most: int = 200_000) -> Column:
     """Longest common subsequence length over b's length, null if one is empty or the product of lengths exceeds ``most``.
 
-    One dynamic-programming row is carried through an aggregate, so it stays in the JVM.
+    One dynamic-programming row is carried through an aggregate, so it stays in the JVM; its running maximum is taken by doubling
+    steps, as many as b's length has binary digits.
     """
+    from waymark.functions.exprs import let
+
     first = F.array_repeat(F.lit(0), F.size(b) + 1)
 
+    def widest(row: Column, reach: int) -> Column:
+        """Each place the largest of the last 2 ``reach`` ones, given that it is so over ``reach``."""
+        wider = lambda r: F.transform(r, lambda x, j: F.when(j >= reach, F.greatest(x, F.get(r, j - reach))).otherwise(x))
+        return let(row, lambda r: F.when(F.size(r) > reach, wider(r)).otherwise(r))
+
     def step(row: Column, x: Column) -> Column:
-        """Row by row: the best end at a column is the diagonal's plus a match, or the one above; then a running maximum."""
+        """The best end at a column is the diagonal's plus a match, or the one above; then the running maximum."""
         best = F.transform(row, lambda up, j: F.when((j > 0) & (F.get(b, j - 1) == x), F.greatest(up, F.get(row, j - 1) + 1)).otherwise(up))
-        return F.transform(best, lambda _, j: F.array_max(F.slice(best, 1, j + 1)))
+        reach = 1
+        while reach <= most:
+            best = widest(best, reach)
+            reach *= 2
+        return best
 
     length = F.element_at(F.aggregate(a, first, step), -1)
     return F.when((F.size(a) > 0) & (F.size(b) > 0) & (F.size(a).cast("long") * F.size(b) <= most), length / F.size(b))

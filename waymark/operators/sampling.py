@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.exprs import hash_modulo, hash_uniform, seeded_hash
+from waymark.operators.ranks import running, same
 
 
 def hash_sample(rows: DataFrame, group: list[str], key: str, seed: str, n: int) -> DataFrame:
@@ -34,10 +35,10 @@ def thin(rows: DataFrame, key: str, seed: str, rate: float) -> DataFrame:
 
 
 def proportional_sample(rows: DataFrame, stratum: list[str], key: str, seed: str, ratio: float) -> DataFrame:
-    """Per stratum floor(n x ratio + 0.5) rows by seeded hash."""
-    w = Window.partitionBy(*stratum)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(seeded_hash(seed, F.col(key)), key))).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_r") <= F.floor(F.col("_n") * ratio + 0.5)).drop("_r", "_n")
+    """Per stratum floor(n x ratio + 0.5) rows by seeded hash, over ranges of the order."""
+    each = rows.withColumns({"_one": F.lit(1), "_o": F.struct(seeded_hash(seed, F.col(key)).alias("h"), key)})
+    ranked, n = running(each, stratum, "_o", {"_r": "_one"}), rows.groupBy(*stratum).agg(F.count("*").alias("_n"))
+    return ranked.join(n, same(ranked, n, stratum)).where(F.col("_r") <= F.floor(F.col("_n") * ratio + 0.5)).select(*[ranked[c] for c in rows.columns])
 
 
 def top_k(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:

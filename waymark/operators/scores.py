@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.exprs import hash_uniform
 from waymark.operators.causal import fallback
-from waymark.operators.ranks import counted
+from waymark.operators.ranks import counted, with_quantiles
 from waymark.plans.scratch import materialize
 
 
@@ -35,9 +35,8 @@ def error_by_support(rows: DataFrame, support: str, error: str, edges: list[floa
     """n, MAE, median and P90 of absolute errors by support bucket."""
     from waymark.functions.exprs import right_closed_bucket
 
-    a = F.abs(F.col(error))
-    return (rows.withColumn("_a", a).groupBy(right_closed_bucket(F.col(support), edges).alias("bucket"))
-            .agg(F.count("*").alias("n"), F.avg("_a").alias("mae"), F.percentile("_a", F.lit(0.5)).alias("median"), F.percentile("_a", F.lit(0.9)).alias("p90")))
+    long = rows.select(right_closed_bucket(F.col(support), edges).alias("bucket"), F.abs(F.col(error)).alias("_a"))
+    return with_quantiles(long.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("_a").alias("mae")), long, ["bucket"], "_a", {"median": 0.5, "p90": 0.9})
 
 
 def selection_effect(rows: DataFrame, stratum: str, chosen: Column, rank: str, most_ratio: float, least_gap: float) -> DataFrame:

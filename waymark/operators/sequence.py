@@ -100,12 +100,13 @@ def allocate(rows: DataFrame, key: list[str], order: list[str], total: str, weig
 
 def overlapping_chunks(rows: DataFrame, key: list[str], sequence: str, length: int, step: int) -> DataFrame:
     """Rows dealt to fixed-length windows, the last one flush with the end; weight = 1 / windows that hold the row."""
-    n = F.max(sequence).over(Window.partitionBy(*key)) + 1
-    last = F.greatest(n - length, F.lit(0))
-    starts = F.array_distinct(F.concat(F.filter(F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long")), lambda s: s <= last), F.array(last)))
-    out = rows.withColumn("_n", n).withColumn("_starts", starts.alias("s"))
-    out = out.withColumn("chunk_start", F.explode(F.filter("_starts", lambda s: (s <= F.col(sequence)) & (F.col(sequence) < s + length))))
-    return out.withColumn("weight", 1 / F.count("*").over(Window.partitionBy(*key, sequence))).drop("_n", "_starts")
+    place = F.col(sequence).cast("long")
+    last = F.greatest(F.max(sequence).over(Window.partitionBy(*key)) + 1 - length, F.lit(0)).cast("long")
+    first, until = F.greatest(F.ceil((place - length + 1) / step), F.lit(0)).cast("long"), F.floor(place / step).cast("long")
+    regular = F.when(first <= until, F.transform(F.sequence(first, until), lambda k: k * step)).otherwise(F.array().cast("array<bigint>"))  # at most length / step + 1
+    own = F.filter(F.array_union(F.filter(regular, lambda s: s <= F.col("_last")), F.array("_last")), lambda s: (s <= place) & (place < s + length))
+    out = rows.withColumn("_last", last).withColumn("chunk_start", F.explode(own))
+    return out.withColumn("weight", 1 / F.count("*").over(Window.partitionBy(*key, sequence))).drop("_last")
 
 
 def idle_chains(rows: DataFrame, key: str, trip: str, start: str, end: str, longest_s: float) -> DataFrame:

@@ -64,12 +64,17 @@ def _(spark, sf):
     return context.causal_pairs(e.join(b, ["user_id", "date"]), "event_type", "theirs", "available", "ts").select(F.col("event_id").alias("own"), "other")
 
 
-@query("j14_neighbours", """with c as (select l_suppkey link, l_linenumber b, avg(l_discount) v from lineitem group by all), adj as (select distinct a.s_suppkey link, b.s_suppkey nb from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey <> b.s_suppkey)
+@query("j14_neighbours", f"""with c as (select l_suppkey link, l_linenumber b, avg(l_discount) v from lineitem group by all), n as (select l_suppkey a, lead(l_suppkey) over (partition by l_orderkey order by {_ROUTE}) z from lineitem),
+    adj as (select a link, z nb from n where z <> a union select z, a from n where z <> a)
     select adj.link, b, round(avg(v), 6) neighbour_mean, count(distinct c.link) neighbours from adj join c on c.link = adj.nb group by all""")
 def _(spark, sf):
-    c = _lines(spark, sf).groupBy(F.col("l_suppkey").alias("link"), F.col("l_linenumber").alias("b")).agg(F.avg("l_discount").alias("v"))
-    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    adj = s.join(s.select(F.col("s_suppkey").alias("nb"), "s_nationkey"), "s_nationkey").where("s_suppkey <> nb").select(F.col("s_suppkey").alias("link"), F.col("nb").alias("neighbour")).distinct()
+    """Suppliers that follow each other on a route are neighbours, both ways."""
+    from pyspark.sql import Window
+
+    lines = _lines(spark, sf)
+    c = lines.groupBy(F.col("l_suppkey").alias("link"), F.col("l_linenumber").alias("b")).agg(F.avg("l_discount").alias("v"))
+    n = lines.select(F.col("l_suppkey").alias("link"), F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy(*_ROUTE.split(", "))).alias("neighbour")).where("link <> neighbour")
+    adj = n.unionByName(n.select(F.col("neighbour").alias("link"), F.col("link").alias("neighbour"))).distinct()
     return show(context.neighbour_means(c, adj, "link", "b", "v"), "link", "b", "neighbours", neighbour_mean="neighbour_mean")
 
 

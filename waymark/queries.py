@@ -810,7 +810,10 @@ def _(spark, sf):
     return show(reports.did(e, "a", "b", "value"), **{c: c for c in ("m00", "m01", "m10", "m11", "did")})
 
 
-@query("f12_sequence_overlap")
+@query("f12_sequence_overlap", """with recursive s as (select user_id, cast(ts as date) as date, list(event_type order by ts, event_id) b from events group by all), p as (select *, lag(b) over (partition by user_id order by date) a from s),
+    d(user_id, date, a, b, i, row) as (select user_id, date, a, b, 0, list_transform(range(len(b) + 1), lambda x: 0::bigint) from p where a is not null
+        union all select user_id, date, a, b, i + 1, list_transform(range(len(b) + 1), lambda j: list_max(list_transform(range(j + 1), lambda k: case when k > 0 and b[k] = a[i + 1] then greatest(row[k + 1], row[k] + 1) else row[k + 1] end))) from d where i < len(a))
+    select user_id, date, round(row[len(b) + 1] / len(b), 6) overlap from d where i = len(a)""")
 def _(spark, sf):
     from pyspark.sql import Window
 
