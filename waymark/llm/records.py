@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
@@ -225,10 +226,11 @@ class PieceEncoder:
     def _kind(self, piece: str) -> int:
         if self.words is not None:
             word = piece[1:] if piece[0] in " \n" else piece
-            if word.isalpha() and max(word) < "\u0530":
-                return 0
-            if word[-1:] in _MARKS and word[:-1].isalpha() and max(word) < "\u0530":
-                return 1
+            if word.isascii() or max(word) < "\u0530":
+                if word.isalpha():
+                    return 0
+                if word[-1:] in _MARKS and word[:-1].isalpha():
+                    return 1
         return 2 if _PLAIN.fullmatch(piece) else 3
 
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +291,13 @@ class PieceEncoder:
         if not len(buf):
             return [b""] * len(texts)
         lengths = np.diff(np.append(starts, len(buf)))
-        keys, first, which = np.unique(range_keys(buf, starts, lengths), return_index=True, return_inverse=True)
+        which, keys = pd.factorize(range_keys(buf, starts, lengths))
+        order = np.argsort(keys)  # sorted keys are found sooner
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        which, keys = rank[which], keys[order]
+        first = np.empty(len(keys), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
         alone = self._unlike(buf, starts, lengths, first[which])  # pieces whose key another piece of this batch has
         at, size, clash = self.memo.find(keys, buf, starts[first], lengths[first])
         before = self.memo.used
