@@ -133,6 +133,22 @@ def movements(edges: DataFrame, restrictions: DataFrame) -> DataFrame:
     return m.select("in_edge", "node", "out_edge", "turn", state.alias("state"))
 
 
+def level_transition(before: Column, after: Column) -> Column:
+    """Class of a movement by the levels of both edges: same, up, down, or unknown if one has none."""
+    return F.when(before.isNull() | after.isNull(), "unknown").when(before == after, "same").when(after > before, "up").otherwise("down")
+
+
+def route_movements(parts: DataFrame, trip: str, order: list[str], edge: str, movements: DataFrame) -> DataFrame:
+    """Movement n of a trip leads from part n to part n + 1, with turn and state from the movement table; ``unlisted`` where it has no such movement.
+
+    movements: in_edge, out_edge, turn, state. The last part begins no movement.
+    """
+    w = Window.partitionBy(trip).orderBy(*order)
+    steps = parts.select(trip, (F.row_number().over(w) - 1).cast("long").alias("movement"), F.col(edge).alias("in_edge"), F.lead(edge).over(w).alias("out_edge"), (F.row_number().over(w) == F.count("*").over(Window.partitionBy(trip))).alias("_last"))
+    known = movements.select("in_edge", "out_edge", "turn", F.col("state").alias("_state"))
+    return steps.where(~F.col("_last")).join(known, ["in_edge", "out_edge"], "left").select(trip, "movement", "in_edge", "out_edge", "turn", F.coalesce("_state", F.lit("unlisted")).alias("state"))
+
+
 def option_counts(pairs: DataFrame, group: list[str], left: str, right: str) -> DataFrame:
     """Pairs, and left and right members with an option at all."""
     return pairs.select(*group, left, right).distinct().groupBy(*group).agg(F.count("*").alias("pairs"), F.count_distinct(left).alias("with_option"), F.count_distinct(right).alias("offered"))

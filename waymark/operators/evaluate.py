@@ -16,6 +16,15 @@ def regression(rows: DataFrame, key: list[str], truth: str, prediction: str) ->
         F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.corr(truth, prediction).alias("pearson"))
 
 
+def regression_slices(rows: DataFrame, slices: list[str], truth: str, prediction: str) -> DataFrame:
+    """The errors of ``regression`` per value of each slice and over all rows, in one pass; ``slice`` names the column, or overall (E5)."""
+    e = F.col(prediction) - F.col(truth)
+    each = F.explode(F.array(F.struct(F.lit("overall").alias("slice"), F.lit("all").alias("level")), *[F.struct(F.lit(s).alias("slice"), F.col(s).cast("string").alias("level")) for s in slices]))
+    known = rows.where(F.col(truth).isNotNull() & F.col(prediction).isNotNull()).select(truth, prediction, each.alias("_s")).select(truth, prediction, "_s.*")
+    return known.groupBy("slice", "level").agg(
+        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.corr(truth, prediction).alias("pearson"))
+
+
 def spearman(rows: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     """Correlation of tie-averaged ranks, null for a constant."""
     ra = average_rank(rows, key, a).withColumnRenamed("avg_rank", "ra").drop("pct_rank")
@@ -45,6 +54,13 @@ def calibration_error(rows: DataFrame, truth: str, score: str, bins: int = 15) -
     return r.agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("mean_truth"))) / F.sum("n")).alias("ece"))
 
 
+def cohort_calibration_error(rows: DataFrame, cohort: list[str], truth: str, score: str, bins: int = 15) -> DataFrame:
+    """``calibration_error`` per cohort, with its rows."""
+    b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("long")
+    r = rows.groupBy(*cohort, b.alias("_bin")).agg(F.count("*").alias("_n"), F.avg(score).alias("_s"), F.avg(truth).alias("_t"))
+    return r.groupBy(*cohort).agg(F.sum("_n").alias("n"), (F.sum(F.col("_n") * F.abs(F.col("_s") - F.col("_t"))) / F.sum("_n")).alias("ece"))
+
+
 def distribution_distance(a: DataFrame, b: DataFrame, cell: str) -> DataFrame:
     """Total variation, Jensen-Shannon (natural log), shared mass and Jaccard of two samples over the union of cells."""
     p = a.groupBy(cell).agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy())).drop("n")

@@ -73,6 +73,14 @@ def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
             .withColumn("delta", F.col("value_b") - F.col("value_a")))
 
 
+def outcome_transitions(a: DataFrame, b: DataFrame, key: str, outcome: str, value: str) -> DataFrame:
+    """Units by outcome under one run and under the other, with their share of the first outcome's and mean change; a unit of one run only is ``absent`` in the other."""
+    both = (a.select(key, F.col(outcome).alias("outcome_a"), F.col(value).alias("_va"))
+            .join(b.select(key, F.col(outcome).alias("outcome_b"), F.col(value).alias("_vb")), key, "full_outer").na.fill("absent", ["outcome_a", "outcome_b"]))
+    cells = both.groupBy("outcome_a", "outcome_b").agg(F.count("*").alias("n"), F.avg(F.col("_vb") - F.col("_va")).alias("mean_delta"))
+    return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("outcome_a")))  # a row per pair of outcomes
+
+
 def common_support(frames: list[DataFrame], key: list[str]) -> DataFrame:
     """Keys that every frame has."""
     out = frames[0].select(*key).distinct()

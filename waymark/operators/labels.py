@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.exprs import excess, bounded, first_reason
@@ -75,3 +75,28 @@ def trip_summary(rows: DataFrame, key: list[str], label: str, weight: str, tail:
     return out.select(*key, coverage.alias("coverage"), show(F.try_divide(F.col("_wx"), F.col("_w"))).alias("mean"), show(F.col("_max")).alias("max"),
                       show(F.try_divide(F.col("_hwx"), F.col("_hw"))).alias("tail_mean"),
                       show(F.coalesce(F.try_divide(F.col("_hw"), F.col("_w")), F.lit(0.0))).alias("tail_share"))
+
+
+def order_labels(base: DataFrame, parts: DataFrame, key: str, dimensions: list[str], weight: str, direct: Column, least_coverage: float) -> DataFrame:
+    """Every order of ``base`` with its labels (A5): per dimension the weighted mean of its parts, the share of weight that has it, and why it is missing; and a signature of what the score is composed of.
+
+    ``coverage``: share of weight with ``direct`` evidence. Below ``least_coverage`` no dimension is given. Reasons: NO_PARTS, COVERAGE_BELOW_THRESHOLD,
+    NO_AVAILABLE_PARTS, or empty. ``signature``: the given dimensions in order, joined by +, or none. ``composite``: their mean.
+    """
+    w = F.when(F.col(weight) > 0, F.col(weight)).otherwise(0.0)
+    known = lambda d: F.col(d).isNotNull() & ~F.isnan(d)
+    sums = [F.count("*").alias("_rows"), F.sum(w).alias("_w"), F.sum(F.when(F.coalesce(direct, F.lit(False)), w).otherwise(0.0)).alias("_direct")]
+    for d in dimensions:
+        sums += [F.sum(F.when(known(d), w).otherwise(0.0)).alias(f"_w_{d}"), F.sum(F.when(known(d), w * F.col(d))).alias(f"_x_{d}")]
+    out = base.join(parts.groupBy(key).agg(*sums), key, "left")
+    coverage = F.coalesce(F.try_divide(F.col("_direct"), F.col("_w")), F.lit(0.0))
+    passed, columns = coverage >= least_coverage, [*base.columns, coverage.alias("coverage")]
+    for d in dimensions:
+        there = F.coalesce(passed & (F.col(f"_w_{d}") > 0), F.lit(False))
+        reason = F.when(there, "").when(F.col("_rows").isNull(), "NO_PARTS").when(~passed, "COVERAGE_BELOW_THRESHOLD").otherwise("NO_AVAILABLE_PARTS")
+        columns += [F.when(there, F.col(f"_x_{d}") / F.col(f"_w_{d}")).alias(d), F.coalesce(F.try_divide(F.col(f"_w_{d}"), F.col("_w")), F.lit(0.0)).alias(f"{d}_coverage"), reason.alias(f"{d}_reason")]
+    out = out.select(*columns)
+    names = F.concat_ws("+", *[F.when(F.col(d).isNotNull(), F.lit(d)) for d in dimensions])
+    count = sum((F.col(d).isNotNull().cast("int") for d in dimensions[1:]), F.col(dimensions[0]).isNotNull().cast("int"))
+    total = sum((F.coalesce(d, F.lit(0.0)) for d in dimensions[1:]), F.coalesce(dimensions[0], F.lit(0.0)))
+    return out.withColumns({"signature": F.when(names == "", "none").otherwise(names), "composite": F.when(count > 0, total / count)})

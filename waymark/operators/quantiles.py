@@ -126,3 +126,15 @@ def exact_quantiles(rows: DataFrame, key: list[str], value: str, q: float) -> Da
         F.min(F.when(F.col("upto") / F.col("total") >= q - 1e-12, F.col(value))).alias("inverted_cdf"),
         pick(F.bround(q * (F.col("total") - 1), 0)).alias("nearest"), ((pick(F.floor(half)) + pick(F.ceil(half))) / 2).alias("median"))
     return out.select(*key, (F.col("_lo") + F.col("_part") * (F.col("higher") - F.col("_lo"))).alias("linear"), "inverted_cdf", "higher", "nearest", "median")
+
+
+def mode_with_fallback(train: DataFrame, rows: DataFrame, levels: list[list[str]], value: str) -> DataFrame:
+    """The most frequent training value, the smallest of equals, at the first level of keys that has one, and that level."""
+    out, mode, level = rows, F.lit(None), F.lit(None)
+    for i, keys in reversed(list(enumerate(levels))):
+        n = train.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+        most = n.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), value)).alias(f"_m{i}"))
+        out = out.join(most, keys, "left") if keys else out.crossJoin(F.broadcast(most))  # one row
+        here = F.col(f"_m{i}").isNotNull()
+        mode, level = F.when(here, F.col(f"_m{i}")).otherwise(mode), F.when(here, F.lit("_".join(keys) or "global")).otherwise(level)
+    return out.withColumns({"mode": mode, "mode_level": level}).drop(*[f"_m{i}" for i in range(len(levels))])

@@ -48,7 +48,7 @@ def selection_effect(rows: DataFrame, stratum: str, chosen: Column, rank: str, m
 
 
 def quantile_scenarios(parts: DataFrame, route: str, part: str, p50: str, p90: str, length: str, scenarios: int, seed: str, shared: float, limit: float) -> DataFrame:
-    """Route times under ``scenarios`` draws: mean, P50, P90, mean beyond P90 (CVaR) and share above ``limit``.
+    """Route times under ``scenarios`` draws: mean, P50, P90, P95, mean beyond P90 (CVaR) and share above ``limit``.
 
     A draw is a route's own uniform number with weight ``shared`` and the part's with the rest; a part's pace is linear through
     (0, p50 / 2), (0.5, p50), (0.9, p90) and bounded at 1.5 x p90.
@@ -58,7 +58,7 @@ def quantile_scenarios(parts: DataFrame, route: str, part: str, p50: str, p90: s
     a, b = F.col(p50), F.col(p90)
     pace = F.when(u < 0.5, a / 2 + u * a).when(u < 0.9, a + (u - 0.5) / 0.4 * (b - a)).otherwise(F.least(1.5 * b, b + (u - 0.9) / 0.1 * (b - a)))
     runs = each.groupBy(route, "s").agg(F.sum(pace * F.col(length)).alias("t"))
-    q = runs.groupBy(route).agg(F.avg("t").alias("mean"), F.percentile("t", F.lit(0.5)).alias("p50"), F.percentile("t", F.lit(0.9)).alias("p90"), F.avg((F.col("t") > limit).cast("int")).alias("timeout"))
+    q = runs.groupBy(route).agg(F.avg("t").alias("mean"), F.percentile("t", F.lit(0.5)).alias("p50"), F.percentile("t", F.lit(0.9)).alias("p90"), F.percentile("t", F.lit(0.95)).alias("p95"), F.avg((F.col("t") > limit).cast("int")).alias("timeout"))
     tail = runs.join(q.select(route, F.col("p90").alias("_q")), route).where(F.col("t") >= F.col("_q")).groupBy(route).agg(F.avg("t").alias("cvar"))
     return q.join(tail, route)
 

@@ -45,6 +45,14 @@ def positions(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
             .withColumn("position_ratio", F.col("sequence") / F.greatest(F.col("link_count") - 1, F.lit(1))))
 
 
+def remaining_ratio(rows: DataFrame, key: list[str], order: list[str], length: str) -> DataFrame:
+    """``remaining_ratio``: share of the route's length from this part's start to the destination; null for a route without length."""
+    w = Window.partitionBy(*key)
+    total = F.sum(length).over(w)
+    before = F.coalesce(F.sum(length).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return rows.withColumn("remaining_ratio", F.when(total > 0, (total - before) / total))
+
+
 def islands(rows: DataFrame, key: list[str], order: list[str], flag: Column) -> DataFrame:
     """``island``: number of the run of equal flags within the key."""
     w = Window.partitionBy(*key).orderBy(*order)

@@ -68,6 +68,21 @@ def link_traversals(points: DataFrame, trip: str, order: list[str], t: str, link
     return p.groupBy(trip, "visit", link).agg(F.count("*").alias("points"), F.min(t).alias("start_s"), F.max(t).alias("end_s"), F.sum("_share").alias("time_s"))
 
 
+def visit_stops(points: DataFrame, trip: str, order: list[str], t: str, link: str, stopped: Column, least_s: float) -> DataFrame:
+    """Per visit of ``link_traversals`` the runs of ``stopped`` points that last ``least_s`` or longer: stops, their time and the longest.
+
+    A run lasts from its first point to its last; a moving point or another link ends it. Visits without a stop have zeros.
+    """
+    w = Window.partitionBy(trip).orderBy(*order)
+    new_link = F.coalesce((~F.col(link).eqNullSafe(F.lag(link).over(w))).cast("long"), F.lit(1))
+    p = points.withColumn("_halt", F.coalesce(stopped, F.lit(False))).withColumn("_c", F.when(F.row_number().over(w) == 1, 0).otherwise(new_link))
+    p = p.withColumn("visit", F.sum("_c").over(w).cast("long"))
+    p = p.withColumn("_run", F.sum(F.when((F.col("_c") == 1) | (F.col("_halt") != F.coalesce(F.lag("_halt").over(w), F.lit(False))), 1).otherwise(0)).over(w))
+    runs = p.groupBy(trip, "visit", link, "_run").agg(F.max("_halt").alias("_halt"), (F.max(t) - F.min(t)).alias("_s"))
+    long = F.when(F.col("_halt") & (F.col("_s") >= least_s), F.col("_s"))
+    return runs.groupBy(trip, "visit", link).agg(F.count(long).alias("stops"), F.coalesce(F.sum(long), F.lit(0.0)).alias("stop_s"), F.coalesce(F.max(long), F.lit(0.0)).alias("longest_stop_s"))
+
+
 def attach_observed(parts: DataFrame, visits: DataFrame, trip: str, sequence: str, link: str) -> DataFrame:
     """Every route part with its observed visit; parts that were only inferred keep no time.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.functions import exprs as X
-from waymark.operators import history, ml, quantiles, reports, resample, scores, spatial
+from waymark.operators import context, evaluate, history, joins, labels, ml, quantiles, reports, resample, scores, sequence, spatial, traces
 from waymark.operators.sequence import positions
 from waymark.plans.scratch import new_path
 from waymark.queries import event_stream, events, query, r6, show, table
@@ -186,3 +187,93 @@ def _(spark, sf):
         (F.avg("l_discount") * 1e6).alias("pace"), (F.stddev_pop("l_discount") * 1e6).alias("sd"), F.count("*").alias("n"))
     e = history.entry_times(rows, pace, "l_orderkey", "sequence", "s", "l_quantity", "l_suppkey", 864_000, 5e4, "sd", "n")
     return e.select("l_orderkey", "sequence", F.round("entry_2", 1).alias("entry_2"), F.round(F.sqrt("entry_variance"), 1).alias("deviation"))
+
+
+@query("w13_remaining", f"""select l_orderkey, row_number() over w - 1 as sequence, round((sum(l_quantity) over (partition by l_orderkey) - coalesce(sum(l_quantity) over (w rows between unbounded preceding and 1 preceding), 0)) / sum(l_quantity) over (partition by l_orderkey), 6) remaining_ratio
+    from lineitem window w as (partition by l_orderkey order by {_ROUTE})""")
+def _(spark, sf):
+    order = _ROUTE.split(", ")
+    rows = sequence.remaining_ratio(positions(table(spark, sf, "lineitem"), ["l_orderkey"], order), ["l_orderkey"], order, "l_quantity")
+    return show(rows, "l_orderkey", "sequence", remaining_ratio="remaining_ratio")
+
+
+@query("a33_mode_fallback", """with t as (select user_id, event_type, cast(floor(value / 10) as bigint) v from events where day(ts) <= 6), a as (select user_id, event_type, arg_min(v, {'n': -n, 'v': v}) m from (select user_id, event_type, v, count(*) n from t group by all) group by all),
+    b as (select event_type, arg_min(v, {'n': -n, 'v': v}) m from (select event_type, v, count(*) n from t where event_type <> 'click' group by all) group by all), g as (select arg_min(v, {'n': -n, 'v': v}) m from (select v, count(*) n from t group by all))
+    select event_id, coalesce(a.m, b.m, g.m) as mode, case when a.m is not null then 'user_id_event_type' when b.m is not null then 'event_type' else 'global' end mode_level from events left join a using (user_id, event_type) left join b using (event_type), g where event_type <> 'click'
+    union all select event_id, coalesce(a.m, c.m) as mode, case when a.m is not null then 'user_id_event_type' else 'event_type' end from events left join a using (user_id, event_type), (select arg_min(v, {'n': -n, 'v': v}) m from (select v, count(*) n from t where event_type = 'click' group by all)) c where event_type = 'click'""")
+def _(spark, sf):
+    e = events(spark, sf).withColumn("v", F.floor(F.col("value") / 10).cast("long"))
+    out = quantiles.mode_with_fallback(e.where(F.day("ts") <= 6), e, [["user_id", "event_type"], ["event_type"], []], "v")
+    return out.select("event_id", "mode", "mode_level")
+
+
+@query("j20_transitions", """with u as (select user_id, day(ts) <= 3 early, avg(value) v, case when avg(value) > 60 then 'late' when count(*) < 3 then 'short' else 'done' end o from events where day(ts) <= 6 group by all), a as (select * from u where early), b as (select * from u where not early),
+    c as (select coalesce(a.o, 'absent') outcome_a, coalesce(b.o, 'absent') outcome_b, count(*) n, avg(b.v - a.v) d from a full join b using (user_id) group by all)
+    select outcome_a, outcome_b, n, round(d, 6) mean_delta, round(n / sum(n) over (partition by outcome_a), 6) as share from c""")
+def _(spark, sf):
+    def run(early: bool):
+        e = events(spark, sf).where(F.day("ts") <= 3 if early else F.day("ts").between(4, 6)).groupBy("user_id").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
+        return e.withColumn("o", F.when(F.col("v") > 60, "late").when(F.col("n") < 3, "short").otherwise("done"))
+
+    return show(joins.outcome_transitions(run(True), run(False), "user_id", "o", "v"), "outcome_a", "outcome_b", "n", mean_delta="mean_delta", share="share")
+
+
+_SCORED = "(select doc_id, quality y, least(n_chars / 20000.0::double, 1) s, source from labels join documents using (doc_id))"
+
+
+@query("e3_cohort_calibration", f"""with r as (select source, least(floor(s * 15), 14) b, count(*) n, avg(s) ms, avg(y) mt from {_SCORED} group by all) select source, cast(sum(n) as bigint) n, round(sum(n * abs(ms - mt)) / sum(n) + 1e-9, 6) ece from r group by 1""")
+def _(spark, sf):
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars", "source"), "doc_id")
+    d = d.select(F.col("quality").alias("y"), F.least(F.col("n_chars") / 20000.0, F.lit(1.0)).alias("s"), "source")
+    return evaluate.cohort_calibration_error(d, ["source"], "y", "s").select("source", "n", r6(F.col("ece") + 1e-9).alias("ece"))
+
+
+@query("e5_slices", """with p as (select l_returnflag, l_linestatus, l_extendedprice t, l_quantity * p_retailprice x from lineitem join part on p_partkey = l_partkey),
+    e as (select 'overall' as slice, 'all' as level, t, x from p union all select 'l_returnflag', l_returnflag, t, x from p union all select 'l_linestatus', l_linestatus, t, x from p)
+    select slice, level, count(*) n, round(avg(abs(x - t)), 4) mae, round(sqrt(avg((x - t) ** 2)), 4) rmse, round(avg(x - t), 4) bias, round(corr(t, x), 6) pearson from e group by all""")
+def _(spark, sf):
+    p = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_retailprice"), F.col("p_partkey") == F.col("l_partkey"))
+    m = evaluate.regression_slices(p.withColumn("x", F.col("l_quantity") * F.col("p_retailprice")), ["l_returnflag", "l_linestatus"], "l_extendedprice", "x")
+    return m.select("slice", "level", "n", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "bias")], r6("pearson").alias("pearson"))
+
+
+@query("g3_route_movements", f"""with s as (select l_orderkey, row_number() over w - 1 movement, l_suppkey i, lead(l_suppkey) over w o, row_number() over w = count(*) over (partition by l_orderkey) z from lineitem window w as (partition by l_orderkey order by {_ROUTE})),
+    lv as (select s_suppkey k, case when s_suppkey % 5 > 0 then s_suppkey % 3 end lev from supplier),
+    m as (select a.k i, b.k o, case when a.lev is null or b.lev is null then 'unknown' when a.lev = b.lev then 'same' when b.lev > a.lev then 'up' else 'down' end turn, case when (a.k + b.k) % 7 = 0 then 'prohibited' else 'allowed' end state from (select distinct i, o from s where o is not null) p join lv a on a.k = p.i join lv b on b.k = p.o where (p.i * 3 + p.o) % 4 > 0)
+    select l_orderkey, movement, s.i in_edge, s.o out_edge, turn, coalesce(state, 'unlisted') state from s left join m on m.i = s.i and m.o = s.o where not z""")
+def _(spark, sf):
+    """Turn here is the class of the change of level, over the pairs of suppliers that follow each other."""
+    lines, order = table(spark, sf, "lineitem"), _ROUTE.split(", ")
+    pairs = lines.select(F.col("l_suppkey").alias("in_edge"), F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("out_edge")).where("out_edge is not null").distinct()
+    lev = lambda c: F.when(F.col(c) % 5 > 0, F.col(c) % 3)
+    m = pairs.where((F.col("in_edge") * 3 + F.col("out_edge")) % 4 > 0).select(
+        "in_edge", "out_edge", context.level_transition(lev("in_edge"), lev("out_edge")).alias("turn"), F.when((F.col("in_edge") + F.col("out_edge")) % 7 == 0, "prohibited").otherwise("allowed").alias("state"))
+    return context.route_movements(lines, "l_orderkey", order, "l_suppkey", m)
+
+
+@query("a54_visit_stops", """with p as (select *, epoch_us(ts) / 1e6 t, value < 40 halt from events), q as (select *, lag(event_type) over w is distinct from event_type nl, coalesce(lag(halt) over w, false) ph, row_number() over w rn from p window w as (partition by user_id order by ts, event_id)),
+    v as (select *, sum(case when rn > 1 and nl then 1 else 0 end) over w visit, sum(case when (rn > 1 and nl) or halt <> ph then 1 else 0 end) over w run from q window w as (partition by user_id order by ts, event_id)),
+    r as (select user_id, visit, event_type, run, bool_or(halt) halt, max(t) - min(t) s from v group by all)
+    select user_id, cast(visit as bigint) visit, event_type, count(*) filter (halt and s >= 1800) stops, round(coalesce(sum(s) filter (halt and s >= 1800), 0), 3) stop_s, round(coalesce(max(s) filter (halt and s >= 1800), 0), 3) longest_stop_s from r group by all""")
+def _(spark, sf):
+    e = events(spark, sf).withColumn("t", X.micros(F.col("ts")) / 1e6)
+    v = traces.visit_stops(e, "user_id", ["ts", "event_id"], "t", "event_type", F.col("value") < 40, 1800.0)
+    return v.select("user_id", "visit", "event_type", "stops", F.round("stop_s", 3).alias("stop_s"), F.round("longest_stop_s", 3).alias("longest_stop_s"))
+
+
+def _dimension(d: str) -> str:
+    there = f"coalesce(c >= 0.5 and w_{d} > 0, false)"
+    return f"case when {there} then x_{d} / w_{d} end {d}, coalesce(w_{d} / w, 0) cov_{d}, case when {there} then '' when n is null then 'NO_PARTS' when c < 0.5 then 'COVERAGE_BELOW_THRESHOLD' else 'NO_AVAILABLE_PARTS' end reason_{d}"
+
+
+@query("a5_order_labels", f"""with p as (select l_orderkey, l_quantity w, case when l_discount > 0.02 then l_discount / (l_discount + 0.05) end a, case when l_linenumber > 2 then l_tax / 0.08 end b, l_returnflag <> 'R' direct from lineitem where l_orderkey % 9 > 0),
+    s as (select l_orderkey, count(*) n, sum(w) w, sum(case when direct then w else 0 end) d, sum(case when a is not null then w else 0 end) w_a, sum(w * a) x_a, sum(case when b is not null then w else 0 end) w_b, sum(w * b) x_b from p group by 1),
+    o as (select o_orderkey, s.*, coalesce(d / w, 0) c from orders left join s on l_orderkey = o_orderkey), r as (select o_orderkey, c, {_dimension("a")}, {_dimension("b")} from o)
+    select o_orderkey, round(c + 1e-9, 6) coverage, round(a + 1e-9, 6) a, round(cov_a + 1e-9, 6) a_coverage, reason_a a_reason, round(b + 1e-9, 6) b, round(cov_b + 1e-9, 6) b_coverage, reason_b b_reason,
+        case when a is not null and b is not null then 'a+b' when a is not null then 'a' when b is not null then 'b' else 'none' end signature, round(case when a is null then b when b is null then a else (a + b) / 2 end + 1e-9, 6) composite from r""")
+def _(spark, sf):
+    parts = table(spark, sf, "lineitem").where("l_orderkey % 9 > 0").select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_quantity", F.when(F.col("l_discount") > 0.02, F.col("l_discount") / (F.col("l_discount") + 0.05)).alias("a"),
+        F.when(F.col("l_linenumber") > 2, F.col("l_tax") / 0.08).alias("b"), (F.col("l_returnflag") != "R").alias("direct"))
+    out = labels.order_labels(table(spark, sf, "orders").select("o_orderkey"), parts, "o_orderkey", ["a", "b"], "l_quantity", F.col("direct"), 0.5)
+    return out.select("o_orderkey", "a_reason", "b_reason", "signature", *[r6(F.col(c) + 1e-9).alias(c) for c in ("coverage", "a", "a_coverage", "b", "b_coverage", "composite")])
