@@ -124,13 +124,14 @@ def test_scan_and_publish(spark, tmp_path):
 
 def test_boundary_event_goes_to_the_next_window(spark, tmp_path):
     t = dt.datetime(2024, 1, 1, 10, 30)
-    df = spark.createDataFrame([(t, "a", 1.0), (t - dt.timedelta(seconds=1), "a", None), (t, "a", 1.0)], "ts timestamp, k string, v double")
+    later = t + dt.timedelta(days=2)  # closes the windows of the others
+    df = spark.createDataFrame([(t, "a", 1.0), (t - dt.timedelta(seconds=1), "a", None), (t, "a", 1.0), (later, "a", 1.0)], "ts timestamp, k string, v double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    cells = windows.run_to_memory(windows.state_cells(stream, "ts", ["k"], "v"), "cells_test", "complete")
+    cells = windows.run_to_files(windows.state_cells(stream, "ts", ["k"], "v"), "cells_test")
     assert [(r["window_start"].minute, r["n"], r["valid"]) for r in sorted(cells.collect())] == [(0, 1, 0), (30, 2, 2)]
-    once = windows.run_to_memory(windows.deduplicate(stream, "ts", ["ts", "k"]), "once_test")
-    assert once.count() == 2
+    once = windows.run_to_files(windows.deduplicate(stream, "ts", ["ts", "k"]), "once_test")
+    assert once.count() == 3
 
 
 def test_models(spark, sf):

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import ml, quantiles, reports, resample, spatial
+from waymark.operators import context, ml, quantiles, reports, resample, spatial
+from waymark.operators.ranks import at_places, with_quantiles
 from waymark.streaming import windows
 
 
@@ -122,3 +123,24 @@ def test_counted_exclusions_over_batches(spark, tmp_path):
     kept, counts = windows.same_day_counted(stream, "a", "b", "days")
     assert sorted(tuple(r)[:4] for r in counts.collect()) == [(3, 1, 1, 1)] * 3 and counts.select("batch").distinct().count() == 3
     assert kept.count() == 3 and kept.columns == ["a", "b"]
+
+
+def test_places_of_much_repeated_values(spark):
+    """A value of 1e12 rows stays one row."""
+    at = spark.createDataFrame([(1.5, 2, 2), (2.5, 10**12, 10**12 + 2), (9.0, 1, 10**12 + 3)], "r double, n long, upto long")
+    asked = spark.createDataFrame([(p,) for p in (0, 1, 2, 3, 10**12 + 1, 10**12 + 2, 3)] + [(None,)], "p long")
+    got = {r.p: r.r for r in at_places(at, "r", asked, "p").collect()}
+    assert got == {0: 1.5, 1: 1.5, 2: 2.5, 3: 2.5, 10**12 + 1: 2.5, 10**12 + 2: 9.0}
+
+
+def test_quantiles_of_keys_without_values(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("a", None), (None, 7.0), ("b", None)], "k string, v double")
+    stats = rows.groupBy("k").agg(F.count("v").alias("n"))
+    got = {r.k: (r.n, r.m) for r in with_quantiles(stats, rows, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {"a": (2, 2.5), None: (1, 7.0), "b": (0, None)}
+
+
+def test_ambiguous_context_is_taken_from_no_row(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "k long")
+    dim = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "k long, c string")
+    assert sorted(tuple(r) for r in context.with_context(rows, dim, ["k"], []).select("k", "c", "context_state").collect()) == [(1, None, "ambiguous"), (2, "z", "ok")]
