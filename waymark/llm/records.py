@@ -104,6 +104,11 @@ _MARKS = ",.;:!?"
 #: How byte-level vocabularies show bytes: printable ones as they are, the others from U+0100 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SHOWN = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: The same as a table of UTF-16 code units.
+_SHOWN_AS = np.array([ord(_SHOWN[b]) for b in range(256)], "<u2")
+#: Sorts of bytes: 1 ASCII letters, 2 white space, 3 beyond ASCII, 0 others.
+_SORTS = np.where(np.arange(256) > 127, 3, np.where(_WHITE, 2, 0)).astype(np.uint8)
+_SORTS[[*range(65, 91), *range(97, 123)]] = 1
 
 
 class _Memo:
@@ -208,20 +213,22 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lines(self, lines: list[str], kind: int) -> np.ndarray | None:
-        """Ids of lines (of kind 0: words, 1: words and a mark, 2: others), a line end before each; None if a line gave a line end of its own."""
-        text = "\n".join(lines)
+    def _lines(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, kind: int) -> np.ndarray | None:
+        """Ids of pieces (of kind 0: words, 1: words and a mark, 2: others), a line end before each that doesn't begin with one; None if a piece gave a line end of its own."""
+        own = buf[starts] == 10
+        places, begins = flat(starts - ~own, lengths + ~own)
+        data = buf[places]
+        data[begins] = 10
         if kind < 2:
-            text = text.encode().decode("latin-1").translate(_SHOWN)
             self.tokenizer.pre_tokenizer = self.words[kind]  # one tokenizer, as each holds its whole vocabulary
             try:
-                ids = self._ids([text])[0]
+                ids = self._ids([_SHOWN_AS[data[1:]].tobytes().decode("utf-16-le")])[0]
             finally:
                 self.tokenizer.pre_tokenizer = self.usual
         else:
-            ids = self._ids([text])[0]
+            ids = self._ids([data[1:].tobytes().decode()])[0]
         ids = np.array([*self.line_end, *ids], self.dtype)
-        return ids if np.count_nonzero(ids == self.line_end[0]) == len(lines) else None
+        return ids if np.count_nonzero(ids == self.line_end[0]) == len(starts) else None
 
     def _kind(self, piece: str) -> int:
         if self.words is not None:
@@ -233,22 +240,37 @@ class PieceEncoder:
                     return 1
         return 2 if _PLAIN.fullmatch(piece) else 3
 
-    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _kinds(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """``_kind`` of each piece; those of ASCII alone by arrays."""
+        places, begins = flat(starts, lengths)
+        sorts = _SORTS[buf[places]]
+        letters, white, other = (np.add.reduceat(sorts == x, begins, dtype=np.int64) for x in (1, 2, 3))
+        lead = np.isin(buf[starts], (10, 32))
+        size = lengths - lead
+        kinds = np.where((white == lead) & (size > 0), 2, 3)
+        if self.words is not None:
+            kinds[(size > 0) & (letters == size)] = 0
+            kinds[(size > 1) & (letters == size - 1) & np.isin(buf[starts + lengths - 1], list(_MARKS.encode()))] = 1
+        for i in np.flatnonzero(other).tolist():
+            kinds[i] = self._kind(buf[starts[i]:starts[i] + lengths[i]].tobytes().decode())
+        return kinds
+
+    def _learn(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Encode new pieces; their places in the pool and numbers of ids."""
-        at, size = np.zeros(len(pieces), np.int64), np.full(len(pieces), -1, np.int64)
-        kinds = np.array([self._kind(p) for p in pieces])
+        at, size = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
+        kinds = self._kinds(buf, starts, lengths)
         for kind in range(3) if len(self.line_end) == 1 else ():
-            mine = np.flatnonzero(kinds == kind).tolist()
-            for start in range(0, len(mine), 4000):
-                some = mine[start:start + 4000]
-                ids = self._lines([pieces[i].removeprefix("\n") for i in some], kind)
+            mine = np.flatnonzero(kinds == kind)
+            for some in np.split(mine, range(4000, len(mine), 4000)) if len(mine) else ():
+                ids = self._lines(buf, starts[some], lengths[some], kind)
                 if ids is not None:
                     breaks = np.flatnonzero(ids == self.line_end[0])
-                    after = np.array([pieces[i][0] != "\n" for i in some], np.int64)  # the break is a piece's own if it begins with one
+                    after = (buf[starts[some]] != 10).astype(np.int64)  # the break is a piece's own if it begins with one
                     at[some] = self.memo.append(ids) + breaks + after
                     size[some] = np.diff(np.append(breaks, len(ids))) - after
         rest = np.flatnonzero(size < 0).tolist()
-        for i, ids in zip(rest, self._ids([pieces[i] for i in rest]), strict=True):
+        texts = [buf[starts[i]:starts[i] + lengths[i]].tobytes().decode() for i in rest]
+        for i, ids in zip(rest, self._ids(texts), strict=True):
             at[i], size[i] = self.memo.append(np.array(ids, self.dtype)), len(ids)
         return at, size
 
@@ -309,11 +331,10 @@ class PieceEncoder:
                 ids = self.memo.pool[np.minimum(np.repeat(place - (upto - count - 1), count + 1) + np.arange(upto[-1]), self.memo.used - 1)]
                 ids[upto - 1] = mark
                 at[known], size[known] = self.memo.append(ids) + upto - count - 1, count + 1
-            data = buf.tobytes()
             rest = np.flatnonzero(at < 0)
             for some, put in ((first[rest], rest), (alone, None)):
                 if len(some):
-                    learned = self._learn([data[starts[f]:starts[f] + lengths[f]].decode() for f in some])
+                    learned = self._learn(buf, starts[some], lengths[some])
                     if put is not None:
                         at[put], size[put] = learned
                     else:
