@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import context, ml, quantiles, reports, resample, spatial
+from waymark.operators import context, labels, ml, quantiles, reports, resample, spatial
 from waymark.operators.ranks import at_places, with_quantiles
+import waymark.study_queries  # noqa: F401
+from waymark.queries import QUERIES
 from waymark.streaming import windows
 
 
@@ -144,3 +146,35 @@ def test_ambiguous_context_is_taken_from_no_row(spark):
     rows = spark.createDataFrame([(1,), (2,)], "k long")
     dim = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "k long, c string")
     assert sorted(tuple(r) for r in context.with_context(rows, dim, ["k"], []).select("k", "c", "context_state").collect()) == [(1, None, "ambiguous"), (2, "z", "ok")]
+
+
+def test_five_dimensions_edges(spark):
+    names = "trip long, at long, low_share double, stop_share double, speed_variation double, acceleration double, duration double, low_time double, stop_time double, angle double, node_degree double, curvature double, minor boolean, fragmentation double, end_degree double, excess double, activity double, observed boolean, movement_reliable boolean"
+    full = (0.5, 0.1, 1.0, 3.0, 10.0, 20.0, 1.0, -90.0, 4.0, 90.0, True, 20.0, 2.0, 1.0, 2.0)
+    rows = [(1, 1, *full, True, False), (1, 2, *full, True, False), (1, 3, *[None] * 15, True, None), (2, 1, *full, False, True), (3, 1, *full[:4], 0.0, *full[5:13], -0.5, 0.5, True, True), (4, 1, *[None] * 17)]
+    got = {(r.trip, r.at): r for r in labels.five_dimensions(spark.createDataFrame(rows, names), "trip", "at").collect()}
+    a = got[1, 2]
+    assert got[1, 1].intersection is None and a.intersection is None  # neither is the trip's last
+    assert (a.congestion, a.geometry, a.tail, a.place_activity, a.active_delay) == (pytest.approx((0.5 + 0.1 + 0.5 + 0.75) / 4), (0.5 + 1 + 1 + 0.25) / 4, 0.5, pytest.approx((0.4625 + 0.5) / 2), 1.0)
+    b = got[1, 3]
+    assert (b.congestion, b.intersection, b.geometry, b.tail, b.place_activity, b.active_delay) == (0, 0, 0, None, None, 0)
+    c = got[2, 1]
+    assert (c.congestion, c.intersection, c.tail, c.place_activity) == (None,) * 4 and c.geometry == a.geometry
+    d = got[3, 1]
+    assert (d.intersection, d.tail, d.place_activity, d.active_delay) == ((0.5 + 0.5) / 4, 0, pytest.approx(0.5 * 0.4625 / 2), 0)
+    assert got[4, 1].congestion is None and got[4, 1].geometry == 0
+
+
+def test_forests(spark, sf):
+    scored = QUERIES["m1_forest_classifier"](spark, sf)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("y", F.expr("cast(l_quantity * l_extendedprice > 800000 as double)"))
+    means = ml.class_means(lines.where("l_orderkey % 2 = 0"), lines.where("l_orderkey % 2 = 1"), "l_quantity", "y")  # quantity alone tells of y here
+    brier = lambda df, c: df.agg(F.avg(F.pow(F.col(c) - F.col("y"), 2))).first()[0]
+    constant, best = brier(means, "constant"), brier(means, "class_mean")
+    assert scored.count() == means.count() and scored.where("p between 0 and 1").count() == scored.count()
+    assert constant - brier(scored, "p") >= 0.9 * (constant - best) > 0  # nearly all that can be told on lines it wasn't fitted on
+    rows = spark.createDataFrame([(1.0, 1.5, 4.0), (3.0, 2.5, 2.0), (5.0, None, 5.0), (None, 1.0, 1.0), (2.0, float("nan"), 2.0)], "y double, a double, b double")
+    got = {r.model: (r.n, r.mae, r.best) for r in ml.model_errors(rows, "y", ["a", "b"]).collect()}
+    assert got == {"a": (2, 0.5, True), "b": (2, 2.0, False)}
+    assert ml.model_errors(rows.limit(0), "y", ["a"]).count() == 0
+

@@ -109,6 +109,11 @@ def bounded(value: Column, scale: float) -> Column:
     return value / (value + F.lit(scale))
 
 
+def mean_present(parts: list[Column]) -> Column:
+    """The mean of those values that are there; null if none is."""
+    return F.try_divide(sum(F.coalesce(p, F.lit(0.0)) for p in parts), sum(p.isNotNull().cast("int") for p in parts))
+
+
 def weighted_components(parts: list[tuple[Column, float]]) -> Column:
     """Weighted sum that needs every component."""
     return reduce(lambda a, b: a + b, [c * F.lit(w) for c, w in parts])

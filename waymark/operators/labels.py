@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.exprs import excess, bounded, first_reason
+from waymark.functions.exprs import excess, bounded, first_reason, mean_present
 
 
 def label_intervals(rows: DataFrame, key: list[str], order: list[str], speed: str, duration: str, stop: float, low: float,
@@ -100,3 +100,30 @@ def order_labels(base: DataFrame, parts: DataFrame, key: str, dimensions: list[s
     count = sum((F.col(d).isNotNull().cast("int") for d in dimensions[1:]), F.col(dimensions[0]).isNotNull().cast("int"))
     total = sum((F.coalesce(d, F.lit(0.0)) for d in dimensions[1:]), F.coalesce(dimensions[0], F.lit(0.0)))
     return out.withColumns({"signature": F.when(names == "", "none").otherwise(names), "composite": F.when(count > 0, total / count)})
+
+
+def five_dimensions(rows: DataFrame, trip: str, position: str) -> DataFrame:
+    """``rows`` with five raw labels between 0 and 1 per traversed link, and the delay on links of much activity.
+
+    Columns read: low_share, stop_share, speed_variation, acceleration (congestion); duration, low_time, stop_time, angle, node_degree
+    (intersection); curvature, minor, fragmentation, end_degree (geometry); excess (tail); activity; observed and movement_reliable (booleans).
+    A missing share, angle, node degree, minor flag or activity is evidence of nothing and counts as 0; any other missing part is left out of its mean.
+    Links that weren't observed have geometry alone. A link whose movement isn't reliable has no intersection label, but for a trip's last, which has no movement to come.
+    """
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))  # noqa: E731  (null without a value)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    known = lambda c: F.when(c.isNotNull(), clip(c))  # noqa: E731  (greatest and least skip nulls)
+    up = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.col(c)))
+    share = lambda c: zero(known(F.try_divide(F.col(c), F.col("duration"))))
+    observed = F.coalesce("observed", F.lit(False))
+    last = F.col(position) == F.max(position).over(Window.partitionBy(trip))
+    late = up("excess")
+    congestion = clip(mean_present([zero(F.col("low_share")), zero(F.col("stop_share")), bounded(up("speed_variation"), 1.0), bounded(up("acceleration"), 1.0)]))
+    intersection = mean_present([share("low_time"), share("stop_time"), zero(known(F.abs("angle") / 180)), zero(known(F.col("node_degree") / 8))])
+    geometry = mean_present([bounded(up("curvature"), 90.0), zero(F.col("minor").cast("double")), known(F.col("fragmentation") / 10), known(F.col("end_degree") / 8)])
+    tail = bounded(late, 1.0)
+    activity = clip(zero(F.col("activity")))
+    return rows.withColumns({
+        "congestion": F.when(observed, congestion), "intersection": F.when(observed & (F.coalesce("movement_reliable", F.lit(True)) | last), intersection), "geometry": geometry,
+        "tail": F.when(observed, tail), "place_activity": F.when(observed & late.isNotNull(), activity * (congestion + tail) / 2),
+        "active_delay": F.when(zero(F.col("activity")) >= 0.75, late).otherwise(0.0)})

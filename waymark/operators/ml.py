@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +34,32 @@ def fit_trees(train: DataFrame, categories: list[str], numbers: list[str], truth
     return Pipeline(stages=[*encoder(categories, numbers), GBTRegressor(featuresCol="features", labelCol=truth, maxIter=10, maxDepth=4, seed=seed)]).fit(train)
 
 
+def fit_forest(train: DataFrame, categories: list[str], numbers: list[str], truth: str, binary: bool = False, trees: int = 20, depth: int = 5,
+               seed: int = 7) -> PipelineModel:
+    """A random forest over encoded features: a regressor, or a classifier of 0 and 1 (M1). A single tree sees all rows and all features. Rows without truth don't count.
+    Spark merges two leaves of a classifier that predict the same class."""
+    alone = trees == 1
+    forest = (RandomForestClassifier if binary else RandomForestRegressor)(
+        featuresCol="features", labelCol=truth, numTrees=trees, maxDepth=depth, maxBins=64, bootstrap=not alone, featureSubsetStrategy="all" if alone else "auto", seed=seed)
+    return Pipeline(stages=[*encoder(categories, numbers), forest]).fit(train.where(F.col(truth).isNotNull()))
+
+
+def predict(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the model's prediction as ``name``: the probability of 1 if it is a classifier. Rows that lack a number the model needs are left out."""
+    out = model.transform(rows)
+    value = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], value.alias(name))
+
+
+def model_errors(rows: DataFrame, truth: str, models: list[str]) -> DataFrame:
+    """Per model n, mae and rmse over the rows where truth and every model's prediction are there, and whether its mae is the least (then the first name) (M1)."""
+    there = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (truth, *models)]
+    shared = rows.where(F.forall(F.array(*there), lambda x: x))
+    error = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (F.col(m) - F.col(truth)).alias("e")) for m in models]))
+    each = shared.select(error.alias("m")).select("m.*").groupBy("model").agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
+    return each.withColumn("best", F.row_number().over(Window.orderBy(F.round("mae", 9), "model")) == 1)  # a row per model
+
+
 def calibrate(train: DataFrame, rows: DataFrame, truth: str, score: str) -> DataFrame:
     """``platt``, ``isotonic`` and ``calibrated``: the one with the lower Brier score on ``train`` (M2); constant if one class."""
     p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(score)))

@@ -277,3 +277,76 @@ def _(spark, sf):
         F.when(F.col("l_linenumber") > 2, F.col("l_tax") / 0.08).alias("b"), (F.col("l_returnflag") != "R").alias("direct"))
     out = labels.order_labels(table(spark, sf, "orders").select("o_orderkey"), parts, "o_orderkey", ["a", "b"], "l_quantity", F.col("direct"), 0.5)
     return out.select("o_orderkey", "a_reason", "b_reason", "signature", *[r6(F.col(c) + 1e-9).alias(c) for c in ("coverage", "a", "a_coverage", "b", "b_coverage", "composite")])
+
+
+_LINKS = """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, case when l_linenumber < 7 then l_discount * 5 end low_share, l_tax * 4 stop_share,
+    case when l_returnflag <> 'A' or l_linenumber <> 3 then l_quantity / 25 end speed_variation, l_extendedprice / 50000 acceleration, cast(l_quantity as double) duration,
+    l_discount * 100 low_time, l_tax * 100 stop_time, cast(o_custkey % 400 - 200 as double) angle, cast(p_size % 12 as double) node_degree, p_retailprice / 10 curvature, p_size <= 10 minor,
+    case when p_size % 3 > 0 then p_size / 4e0 end fragmentation, cast(p_partkey % 10 as double) end_degree, case when l_suppkey % 50 > 0 then l_extendedprice / 20000 - 1 end excess,
+    case when l_suppkey % 7 > 0 then (l_suppkey % 100) / 80e0 end activity, l_returnflag <> 'R' observed, o_orderstatus <> 'P' movement_reliable
+    from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey"""
+
+
+@query("p13_five_dimensions", f"""with l as ({_LINKS}), m as (select *, l_linenumber = max(l_linenumber) over (partition by l_orderkey) last_link,
+    list_avg([coalesce(low_share, 0), coalesce(stop_share, 0), speed_variation / (speed_variation + 1), acceleration / (acceleration + 1)]) c, case when excess is not null then greatest(excess, 0) end late from l)
+    select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(case when observed then least(c, 1) end, 6) congestion,
+    round(case when observed and (movement_reliable or last_link) then list_avg([least(low_time / duration, 1), least(stop_time / duration, 1), least(abs(angle) / 180, 1), least(node_degree / 8, 1)]) end, 6) intersection,
+    round(list_avg([curvature / (curvature + 90), case when minor then 1e0 else 0e0 end, case when fragmentation is not null then least(fragmentation / 10, 1) end, least(end_degree / 8, 1)]), 6) geometry,
+    round(case when observed then late / (late + 1) end, 6) tail, round(case when observed then least(coalesce(activity, 0), 1) * (least(c, 1) + late / (late + 1)) / 2 end, 6) place_activity,
+    round(case when coalesce(activity, 0) >= 0.75 then late else 0e0 end, 6) active_delay from m""")
+def _(spark, sf):
+    li, o, p = (table(spark, sf, t) for t in ("lineitem", "orders", "part"))
+    rows = li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey"))
+    d = lambda c: F.expr(c).cast("double")
+    links = rows.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linenumber") < 7, d("l_discount * 5")).alias("low_share"), d("l_tax * 4").alias("stop_share"),
+        F.when((F.col("l_returnflag") != "A") | (F.col("l_linenumber") != 3), d("l_quantity / 25")).alias("speed_variation"), d("l_extendedprice / 50000").alias("acceleration"),
+        d("l_quantity").alias("duration"), d("l_discount * 100").alias("low_time"), d("l_tax * 100").alias("stop_time"), d("o_custkey % 400 - 200").alias("angle"),
+        d("p_size % 12").alias("node_degree"), d("p_retailprice / 10").alias("curvature"), (F.col("p_size") <= 10).alias("minor"),
+        F.when(F.col("p_size") % 3 > 0, d("p_size / 4")).alias("fragmentation"), d("p_partkey % 10").alias("end_degree"),
+        F.when(F.col("l_suppkey") % 50 > 0, d("l_extendedprice / 20000 - 1")).alias("excess"), F.when(F.col("l_suppkey") % 7 > 0, d("(l_suppkey % 100) / 80")).alias("activity"),
+        (F.col("l_returnflag") != "R").alias("observed"), (F.col("o_orderstatus") != "P").alias("movement_reliable"))
+    names = ("congestion", "intersection", "geometry", "tail", "place_activity", "active_delay")
+    return show(labels.five_dimensions(links, "l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", **{c: c for c in names})
+
+
+def _split_sql(truth: str) -> str:
+    """Tables ``split`` (feature, threshold), ``t`` (training rows) and ``leaf`` (side, mean): the one split of least squared error."""
+    return f"""t as (select l_quantity q, l_linenumber n, {truth} y from lineitem where l_orderkey % 2 = 0),
+    v as (select 'q' f, cast(q as double) v, count(*) c, sum(y) s from t group by all union all select 'n', n, count(*), sum(y) from t group by all),
+    u as (select f, v, lead(v) over w nxt, sum(c) over w c, sum(s) over w s from v window w as (partition by f order by v)),
+    g as (select f, (v + nxt) / 2 cut, s * s / c + pow((select sum(y) from t) - s, 2) / ((select count(*) from t) - c) gain from u where nxt is not null),
+    split as (select arg_max(f, gain) f, arg_max(cut, gain) cut from g),
+    leaf as (select (case when f = 'q' then q else n end) <= cut low, avg(y) m from t, split group by 1)"""
+
+
+@query("m1_one_split", f"""with {_split_sql("case when l_quantity * l_extendedprice > 800000 then 1e0 else 0e0 end")}
+    select l_orderkey, l_linenumber, l_partkey, l_quantity, round(m, 6) score from lineitem, split join leaf on leaf.low = ((case when split.f = 'q' then l_quantity else l_linenumber end) <= split.cut) where l_orderkey % 2 = 1""")
+def _(spark, sf):
+    """The classifier forest with one tree of one split, which SQL can find too."""
+    rows = table(spark, sf, "lineitem").withColumn("y", (F.col("l_quantity") * F.col("l_extendedprice") > 800_000).cast("double"))
+    model = ml.fit_forest(rows.where("l_orderkey % 2 = 0"), [], ["l_quantity", "l_linenumber"], "y", binary=True, trees=1, depth=1)
+    return ml.predict(model, rows.where("l_orderkey % 2 = 1"), "p").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", r6("p").alias("score"))
+
+
+@query("m1_model_errors", f"""with {_split_sql("l_extendedprice")}, b as (select l_linenumber g, avg(l_extendedprice) m from lineitem where l_orderkey % 2 = 0 group by 1),
+    e as (select l_extendedprice y, (select avg(y) from t) constant, coalesce(b.m, (select avg(y) from t)) class_mean, leaf.m one_split
+        from lineitem cross join split join leaf on leaf.low = ((case when split.f = 'q' then l_quantity else l_linenumber end) <= split.cut) left join b on b.g = l_linenumber where l_orderkey % 2 = 1),
+    k as (select 'constant' model, abs(constant - y) e from e union all select 'class_mean', abs(class_mean - y) from e union all select 'one_split', abs(one_split - y) from e),
+    a as (select model, count(*) n, avg(e) mae, sqrt(avg(e * e)) rmse from k group by 1)
+    select model, n, round(mae, 3) mae, round(rmse, 3) rmse, row_number() over (order by mae, model) = 1 best from a""")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("g", F.col("l_linenumber"))
+    train, test = rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 2 = 1")
+    model = ml.fit_forest(train, [], ["l_quantity", "l_linenumber"], "l_extendedprice", trees=1, depth=1)
+    scored = ml.predict(model, ml.class_means(train, test, "g", "l_extendedprice"), "one_split")
+    out = ml.model_errors(scored, "l_extendedprice", ["constant", "class_mean", "one_split"])
+    return out.select("model", "n", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"), "best")
+
+
+@query("m1_forest_classifier")
+def _(spark, sf):
+    """Lines of a high value by a forest over flags and numbers; no SQL, tested by its ranking of lines it wasn't fitted on."""
+    rows = table(spark, sf, "lineitem").withColumn("y", (F.col("l_quantity") * F.col("l_extendedprice") > 800_000).cast("double"))
+    model = ml.fit_forest(rows.where("l_orderkey % 2 = 0"), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_linenumber", "l_discount"], "y", binary=True)
+    return ml.predict(model, rows.where("l_orderkey % 2 = 1"), "p").select("l_orderkey", "l_linenumber", "l_partkey", "y", "p")
