@@ -281,8 +281,8 @@ def _(spark, sf):
 
 _LINKS = """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, case when l_linenumber < 7 then l_discount * 5 end low_share, l_tax * 4 stop_share,
     case when l_returnflag <> 'A' or l_linenumber <> 3 then l_quantity / 25 end speed_variation, l_extendedprice / 50000 acceleration, cast(l_quantity as double) duration,
-    l_discount * 100 low_time, l_tax * 100 stop_time, cast(o_custkey % 400 - 200 as double) angle, cast(p_size % 12 as double) node_degree, p_retailprice / 10 curvature, p_size <= 10 minor,
-    case when p_size % 3 > 0 then p_size / 4e0 end fragmentation, cast(p_partkey % 10 as double) end_degree, case when l_suppkey % 50 > 0 then l_extendedprice / 20000 - 1 end excess,
+    l_discount * 100 / 7 low_time, l_tax * 100 / 7 stop_time, cast(o_custkey % 400 - 200 as double) angle, cast(p_size % 12 as double) node_degree, p_retailprice / 10 curvature, p_size <= 10 minor,
+    case when p_size % 3 > 0 then p_size / 4e0 end fragmentation, cast(p_partkey % 10 as double) end_degree, case when l_suppkey % 50 > 0 then l_extendedprice / 21000 - 1 end excess,
     case when l_suppkey % 7 > 0 then (l_suppkey % 100) / 80e0 end activity, l_returnflag <> 'R' observed, o_orderstatus <> 'P' movement_reliable
     from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey"""
 
@@ -301,10 +301,10 @@ def _(spark, sf):
     links = rows.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linenumber") < 7, d("l_discount * 5")).alias("low_share"), d("l_tax * 4").alias("stop_share"),
         F.when((F.col("l_returnflag") != "A") | (F.col("l_linenumber") != 3), d("l_quantity / 25")).alias("speed_variation"), d("l_extendedprice / 50000").alias("acceleration"),
-        d("l_quantity").alias("duration"), d("l_discount * 100").alias("low_time"), d("l_tax * 100").alias("stop_time"), d("o_custkey % 400 - 200").alias("angle"),
+        d("l_quantity").alias("duration"), d("l_discount * 100 / 7").alias("low_time"), d("l_tax * 100 / 7").alias("stop_time"), d("o_custkey % 400 - 200").alias("angle"),
         d("p_size % 12").alias("node_degree"), d("p_retailprice / 10").alias("curvature"), (F.col("p_size") <= 10).alias("minor"),
         F.when(F.col("p_size") % 3 > 0, d("p_size / 4")).alias("fragmentation"), d("p_partkey % 10").alias("end_degree"),
-        F.when(F.col("l_suppkey") % 50 > 0, d("l_extendedprice / 20000 - 1")).alias("excess"), F.when(F.col("l_suppkey") % 7 > 0, d("(l_suppkey % 100) / 80")).alias("activity"),
+        F.when(F.col("l_suppkey") % 50 > 0, d("l_extendedprice / 21000 - 1")).alias("excess"), F.when(F.col("l_suppkey") % 7 > 0, d("(l_suppkey % 100) / 80")).alias("activity"),
         (F.col("l_returnflag") != "R").alias("observed"), (F.col("o_orderstatus") != "P").alias("movement_reliable"))
     names = ("congestion", "intersection", "geometry", "tail", "place_activity", "active_delay")
     return show(labels.five_dimensions(links, "l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", **{c: c for c in names})
