@@ -5,7 +5,9 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from waymark.llm import decontaminate, jaccard, records, secrets, urls
@@ -93,3 +95,33 @@ def test_secret_scan_of_a_long_log():
     began = time.perf_counter()
     base, _ = secrets.scan(text, enc)
     assert len(base) == 20_000 and time.perf_counter() - began < 60
+
+
+def test_jaccard_crowds_tell_of_shared_signatures():
+    """Part 0 tells which signatures of a slice are shared; no row but repeats is lost, and crowds leave two rows there."""
+    rng = np.random.default_rng(12)
+    for size in (0, 1, 5, 400):
+        sig, node = rng.integers(0, 40, size).astype(np.uint64), rng.integers(-6, 6, size)
+        s, v, part = jaccard.crowds(sig, node)
+        assert set(zip(s.tolist(), v.tolist(), strict=True)) == set(zip(sig.tolist(), node.tolist(), strict=True))
+        assert len(s) == len(v) == len(part) and part.max(initial=0) <= jaccard.SPREAD
+        for x in set(sig.tolist()):
+            nodes, here = set(node[sig == x].tolist()), set(v[(s == x) & (part == 0)].tolist())
+            assert {min(nodes), max(nodes)} <= here
+            assert len(here) == 2 or (s == x).sum() == len(here) < jaccard.CROWD or len(nodes) == 1
+
+
+def test_jaccard_shared_shingles_are_counted_over_slices(spark):
+    """``_possible`` in slices of one, a few and all texts against counting by hand."""
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4, 12)) for _ in range(40)] + ["all words of this one are its own"]
+    want_sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    keys = [jaccard.set_key(s) for s in jaccard._sets(pa.array(texts), 5)]
+    by_node = dict(zip(keys, want_sets, strict=True))
+    want = {k: len({g for g in s if any(g in o for q, o in by_node.items() if q != k)}) for k, s in by_node.items()}
+    for parts in (1, 7, 41):
+        docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(parts)
+        rows = [(k, i) for i, k in enumerate(keys) if keys.index(k) == i]
+        nodes = spark.createDataFrame(rows, "node long, key long").join(docs.select("key", F.xxhash64("text").alias("row")), "key").select("node", "key", "row")
+        got = {r["node"]: r["shared"] for r in jaccard._possible(docs, nodes, 5).collect()}
+        assert got == {k: n for k, n in want.items() if n}

@@ -24,6 +24,10 @@ component are settled. In the others, nodes that can't reach the threshold by th
 of their shingles that any other open node has are dropped, and the few that remain are
 compared across components, block by block.
 
+No bucket, shingle or group of any size is one task. Of a signature that several sets of a slice share, two sets go where all its
+rows meet, and tell that it is shared; the others stay in parts. The same holds for the shingles of open nodes. What
+a bucket's rows must know of it, its aggregates tell them part by part.
+
 Defined cases: null, empty and blank texts have the empty set and link with nothing; fewer
 words than n make one shingle; equal sets are one node and always link; rows with an equal
 or null key are documents of their own, told apart by their texts; an empty table gives an empty result; other
@@ -40,6 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.hashing import distinct_runs, mix, set_key, word_hashes
+from waymark.llm.positions import numbered
 from waymark.plans.components import connected_components
 from waymark.plans.scratch import materialize, release
 
@@ -55,6 +60,8 @@ BLOCK, WIDE = 128, 16_384
 COUNTED = 4
 #: Bits of the filter that names the wanted texts (8 MB, whatever the number of texts).
 FILTER = 1 << 26
+#: A signature of so many sets of a slice is a crowd there, and a crowd's rows lie in so many parts.
+CROWD, SPREAD = 4, 256
 #: Bytes kept of a shingle's hash in verification.
 KEPT = 6
 _U = np.uint64
@@ -171,8 +178,27 @@ def _among(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
 
+def crowds(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(sig, node, part)`` of a slice's rows. Part is 0 but for crowds: of these the smallest and the largest node are in part 0, the others in parts from 1."""
+    if not len(sig):
+        return sig, node, np.empty(0, np.int32)
+    order = np.argsort(sig, kind="stable")
+    sig, node = sig[order], node[order]
+    counts = np.diff(np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True]))))
+    many = np.repeat(counts >= CROWD, counts)
+    s, v = sig[many], node[many]
+    order = np.lexsort((v, s))
+    s, v = s[order], v[order]
+    other = np.concatenate(([True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])))[:len(s)]
+    s, v = s[other], v[other]
+    ends = np.concatenate(([True], s[1:] != s[:-1], [True]))
+    part = np.where(ends[:-1] | ends[1:], 0, 1 + (mix(v.view(_U)) % _U(SPREAD)).astype(np.int32)) if len(s) else np.empty(0, np.int32)
+    rest = np.zeros(int((~many).sum()), np.int32)
+    return np.concatenate((sig[~many], s)), np.concatenate((node[~many], v)), np.concatenate((rest, part)).astype(np.int32)
+
+
 def _sign(docs: DataFrame, n: int, g: float, frequent: np.ndarray, copied: dict[int, int | None]) -> DataFrame:
-    """``(sig, node)``; of a much-copied node, the row of its smallest key signs."""
+    """``(sig, node, part)`` as by ``crowds``; of a much-copied node, the row of its smallest key signs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -180,12 +206,18 @@ def _sign(docs: DataFrame, n: int, g: float, frequent: np.ndarray, copied: dict[
             nodes = [set_key(s) for s in sets]
             own = [i for i, v in enumerate(nodes) if v not in copied or copied[v] == keys[i]]
             sig, who = signatures([sets[i] for i in own], frequent, g)
-            node = np.array([nodes[i] for i in own], np.int64)
+            sig, node, part = crowds(sig, np.array([nodes[i] for i in own], np.int64)[who])
             for at in range(0, len(sig), 500_000):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(sig[at:at + 500_000].view(np.int64)), pa.array(node[who[at:at + 500_000]])], names=["sig", "node"])
+                    pa.array(x[at:at + 500_000]) for x in (sig.view(np.int64), node, part)], names=["sig", "node", "part"])
+
+    return docs.mapInArrow(run, "sig long, node long, part int")
+
 
-    return docs.mapInArrow(run, "sig long, node long")
+def _beside(rows: DataFrame, of: DataFrame, by: str, part: Column | None = None) -> DataFrame:
+    """``rows``, a written table, with the columns of ``of``, which has a row per ``by`` or none (these rows go). A group's rows meet its row in up to SPREAD parts."""
+    parted = rows.withColumn("__part", F.pmod(F.xxhash64("node"), F.lit(SPREAD)) if part is None else part)
+    return parted.join(parted.select(by, "__part").distinct().join(of, by), [by, "__part"]).drop("__part")
 
 
 def _folded(maps: np.ndarray) -> np.ndarray:
@@ -322,20 +354,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """``(node, shared)``: how many of its shingles another of these nodes (node, key, row) has too."""
+    """``(node, shared)``: how many of its shingles another of these nodes (node, key, row) has too.
+
+    A shingle that several nodes of a slice have is counted for them there. One row, which counts nothing, tells the other slices of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 sets = _sets(batch.column("text").slice(at, 500), n)
+                node = np.array([set_key(s) for s in sets], np.int64)
+                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                shingle, first, which, rows = np.unique(np.concatenate(sets), return_index=True, return_inverse=True, return_counts=True)
+                here = np.bincount(owner[rows[which] > 1], minlength=len(sets))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(sets).view(np.int64)),
-                    pa.array(np.repeat(np.array([set_key(s) for s in sets], np.int64), [len(s) for s in sets]))], names=["shingle", "node"])
+                    pa.array(np.concatenate((np.ones(len(sets), bool), np.zeros(len(shingle), bool)))),
+                    pa.array(np.concatenate((node, shingle.view(np.int64)))), pa.array(np.concatenate((node, node[owner[first]]))),
+                    pa.array(np.concatenate((here, rows == 1)).astype(np.int64)), pa.array(np.concatenate((here > 0, rows > 1)))],
+                    names=["sure", "shingle", "node", "counts", "several"])
 
-    rows = _texts(docs, nodes).mapInArrow(run, "shingle long, node long")
-    w = Window.partitionBy("shingle")
-    return (rows.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w))
-            .where("low <> high").groupBy("node").agg(F.count_distinct("shingle").alias("shared")))
+    rows = _texts(docs, nodes).mapInArrow(run, "sure boolean, shingle long, node long, counts long, several boolean")
+    w = Window.partitionBy("sure", "shingle")  # a row per slice and shingle, or one per node
+    return (rows.withColumn("met", F.max("several").over(w) | (F.min("node").over(w) != F.max("node").over(w)))
+            .where("met and counts > 0").groupBy("node").agg(F.sum("counts").alias("shared")))
 
 
 def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
@@ -363,14 +404,16 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     copied = {r["node"]: r["key"] for r in nodes.where("rows >= 8 and key is not null").orderBy(F.desc("rows"), "node").limit(MAX_COPIED).select("node", "key").collect()}
     nodes = nodes.drop("rows")
 
-    w = Window.partitionBy("sig")
-    shared = (_sign(docs, n, g, frequent, copied)
-              .withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w))
-              .where("low <> high").select("sig", "node", "low").distinct())
+    w = Window.partitionBy("sig", "part")  # a signature's part 0 holds a few rows a slice
+    shared = materialize(_sign(docs, n, g, frequent, copied)
+                         .withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w))
+                         .where("part > 0 or low <> high").select("sig", "part", "node").distinct(), "shared")
     # buckets of equal members get one name, and are one from here on
-    named = shared.withColumn("size", F.count("*").over(w)).withColumn("grp", F.xxhash64(
-        "low", "size", F.bit_xor(F.xxhash64("node")).over(w), F.bit_xor(F.xxhash64("node", F.lit(1))).over(w)))
+    of = shared.select("sig", "node").distinct().groupBy("sig").agg(
+        F.min("node").alias("low"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    named = _beside(shared, of.select("sig", F.xxhash64("low", "size", "x", "y").alias("grp"), "low", "size"), "sig", F.col("part"))
     groups = materialize(named.select("grp", "node", "low", "size").dropDuplicates(["grp", "node"]), "groups")
+    release(shared)
     small, large = groups.where(F.col("size") <= SMALL), groups.where(F.col("size") > SMALL)
 
     # in a bucket sorted by size, a set without a neighbour of a fitting size has no partner there, and its bitmap needn't travel
@@ -414,14 +457,14 @@ def _large(docs: DataFrame, nodes: DataFrame, large: DataFrame, checked: DataFra
     g = percent / 100
     size = nodes.select("node", "n")
     buckets = large.where("node <> low").select(F.col("grp").alias("sig"), "node")
-    open_ = materialize(_open(buckets, labels), "open")
+    open_ = _open_parts(buckets, labels)
     if open_.isEmpty():
         return links
     # the bucket's largest component sends one node to meet the members of the others
-    led = (open_.withColumn("many", F.count("*").over(Window.partitionBy("sig", "label")))
-           .withColumn("lead", F.max(F.struct("many", F.xxhash64("node"), "node", "label")).over(Window.partitionBy("sig"))))
-    pairs = (led.where(F.col("lead.label") != F.col("label"))
-             .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+    lead = (open_.groupBy("sig", "label").agg(F.count("*").alias("many"), F.max(F.struct(F.xxhash64("node").alias("draw"), "node")).alias("top"))
+            .groupBy("sig").agg(F.max(F.struct("many", "top", "label")).alias("lead")))
+    pairs = (_beside(open_, lead, "sig").where(F.col("lead.label") != F.col("label"))
+             .select(F.least("node", "lead.top.node").alias("a"), F.greatest("node", "lead.top.node").alias("b")).distinct()
              .join(checked, ["a", "b"], "left_anti"))
     pairs = materialize(_within_bits(pairs, nodes, g), "pairs")
     if not pairs.isEmpty():
@@ -429,18 +472,16 @@ def _large(docs: DataFrame, nodes: DataFrame, large: DataFrame, checked: DataFra
         links = materialize(links.unionByName(_verified(pairs, sets, percent)), "links")
         release(sets)
         release(open_)
-        open_ = materialize(_open(buckets, connected_components(links, "a", "b").toDF("node", "label")), "open")
+        open_ = _open_parts(buckets, connected_components(links, "a", "b").toDF("node", "label"))
 
     # A partner of size m needs g / (1 + g) (n + m) common shingles: at least g n, and at least this with the bucket's smallest m.
     need = g / (1 + g)
     shared = _possible(docs, nodes.select("node", "key", "row").join(open_.select("node").distinct(), "node"), n)
-    w = Window.partitionBy("sig")
-    alive = (open_.join(size, "node").join(shared, "node").where(F.col("shared") >= g * F.col("n") - 1e-6)
-             .withColumn("n0", F.min("n").over(w)).where(F.col("shared") >= need * (F.col("n") + F.col("n0")) - 1e-6)
-             .withColumn("l0", F.min("label").over(w)).withColumn("l1", F.max("label").over(w)).where("l0 <> l1")
-             .select("sig", "node", "label", "n", "shared"))
-    alive = materialize(alive, "open")
+    able = materialize(open_.join(size, "node").join(shared, "node").where(F.col("shared") >= g * F.col("n") - 1e-6), "able")
     release(open_)
+    least = able.groupBy("sig").agg(F.min("n").alias("n0"))
+    alive = _mixed(_beside(able, least, "sig").where(F.col("shared") >= need * (F.col("n") + F.col("n0")) - 1e-6).select("sig", "node", "label"))
+    release(able)
     if not alive.isEmpty():
         links = materialize(links.unionByName(_blockwise(docs, nodes, alive, n, percent)), "links")
     return links
@@ -477,11 +518,10 @@ def _blockwise(docs: DataFrame, nodes: DataFrame, alive: DataFrame, n: int, perc
         i, j = np.nonzero(np.triu(linked, 1))
         return pa.table({"a": pa.array(np.minimum(node[i], node[j]), pa.int64()), "b": pa.array(np.maximum(node[i], node[j]), pa.int64())})
 
-    w = Window.partitionBy("sig")
-    joined = alive.select(F.col("node").alias("src"), F.min("node").over(w).alias("dst"))
-    groups = connected_components(joined).toDF("node", "group")
-    dealt = alive.select("node", "label").distinct().join(groups, "node").withColumn(
-        "block", F.expr(f"(row_number() over (partition by group order by label, node) - 1) div {BLOCK}"))
+    least = alive.groupBy("sig").agg(F.min("node").alias("dst"))
+    groups = connected_components(_beside(alive, least, "sig").select(F.col("node").alias("src"), "dst")).toDF("node", "group")
+    seated = materialize(alive.select("node", "label").distinct().join(groups, "node"), "seated")
+    dealt = numbered(seated, ["group"], ["label", "node"]).select("node", "label", "group", F.expr(f"pos div {BLOCK}").alias("block"))
     dealt = materialize(dealt, "dealt")
     blocks = dealt.groupBy("group", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
     meet = (blocks.toDF("group", "b1", "l0", "l1").join(blocks.toDF("group", "b2", "m0", "m1"), "group")
@@ -495,13 +535,30 @@ def _blockwise(docs: DataFrame, nodes: DataFrame, alive: DataFrame, n: int, perc
 
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(sig, node, label)`` of buckets whose members are not of one component."""
+    """``(sig, node, label)`` of buckets (SMALL at most) whose members are not of one component."""
     w = Window.partitionBy("sig")
-    return (buckets.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-            .withColumn("l0", F.min("label").over(w)).withColumn("l1", F.max("label").over(w))
+    return (_labelled(buckets, labels).withColumn("l0", F.min("label").over(w)).withColumn("l1", F.max("label").over(w))
             .where("l0 <> l1").select("sig", "node", "label"))
 
 
+def _open_parts(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``_open`` for buckets of any size, as a written table."""
+    return _mixed(_labelled(buckets, labels))
+
+
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    return buckets.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows ``(sig, node, label)`` of buckets with several labels, as a written table."""
+    rows = materialize(rows, "labelled")
+    of = rows.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("sig")
+    out = materialize(_beside(rows, of, "sig"), "open")
+    release(rows)
+    return out
+
+
 def _placed(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     """``(key, row, n_shingles, node, label)`` per row of ``docs``; label is the component's smallest node."""
     members, links = jaccard_links(docs, key, text, n, percent)
