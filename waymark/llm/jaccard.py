@@ -388,6 +388,12 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     within what is already one component need not be listed. ``percent`` must be above 50: linked
     sets then share two shingles at least, and lie in one band or two next to each other.
     """
+    members, links, _ = _linked(docs, key, text, n, percent)
+    return members, links
+
+
+def _linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``jaccard_links``, and the components ``(node, label)`` of the links where no link came after these were found."""
     if not 50 < percent <= 100:
         raise ValueError("the signatures' guarantee holds for a similarity above 50 and up to 100 percent")
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -442,9 +448,9 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     for table in (met, sets, again):
         release(table)
     if hot:
-        links = _large(docs, nodes, large, pairs, links, labels, n, percent)
+        links, labels = _large(docs, nodes, large, pairs, links, labels, n, percent)
     release(groups)
-    return members, links
+    return members, links, labels
 
 
 def _where(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -452,14 +458,14 @@ def _where(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("node", "key", "row").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
 
 
-def _large(docs: DataFrame, nodes: DataFrame, large: DataFrame, checked: DataFrame, links: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame:
-    """``links`` and those within buckets of more than SMALL nodes, whose pairs with the bucket's smallest node are settled."""
+def _large(docs: DataFrame, nodes: DataFrame, large: DataFrame, checked: DataFrame, links: DataFrame, labels: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """``links`` and those within buckets of more than SMALL nodes, whose pairs with the bucket's smallest node are settled; ``labels`` if they still hold."""
     g = percent / 100
     size = nodes.select("node", "n")
     buckets = large.where("node <> low").select(F.col("grp").alias("sig"), "node")
     open_ = _open_parts(buckets, labels)
     if open_.isEmpty():
-        return links
+        return links, labels
     # the bucket's largest component sends one node to meet the members of the others
     lead = (open_.groupBy("sig", "label").agg(F.count("*").alias("many"), F.max(F.struct(F.xxhash64("node").alias("draw"), "node")).alias("top"))
             .groupBy("sig").agg(F.max(F.struct("many", "top", "label")).alias("lead")))
@@ -472,7 +478,8 @@ def _large(docs: DataFrame, nodes: DataFrame, large: DataFrame, checked: DataFra
         links = materialize(links.unionByName(_verified(pairs, sets, percent)), "links")
         release(sets)
         release(open_)
-        open_ = _open_parts(buckets, connected_components(links, "a", "b").toDF("node", "label"))
+        labels = connected_components(links, "a", "b").toDF("node", "label")
+        open_ = _open_parts(buckets, labels)
 
     # A partner of size m needs g / (1 + g) (n + m) common shingles: at least g n, and at least this with the bucket's smallest m.
     need = g / (1 + g)
@@ -483,8 +490,10 @@ def _large(docs: DataFrame, nodes: DataFrame, large: DataFrame, checked: DataFra
     alive = _mixed(_beside(able, least, "sig").where(F.col("shared") >= need * (F.col("n") + F.col("n0")) - 1e-6).select("sig", "node", "label"))
     release(able)
     if not alive.isEmpty():
-        links = materialize(links.unionByName(_blockwise(docs, nodes, alive, n, percent)), "links")
-    return links
+        found = _blockwise(docs, nodes, alive, n, percent)
+        if not found.isEmpty():
+            return materialize(links.unionByName(found), "links"), None
+    return links, labels
 
 
 def _blockwise(docs: DataFrame, nodes: DataFrame, alive: DataFrame, n: int, percent: int) -> DataFrame:
@@ -561,8 +570,9 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 def _placed(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     """``(key, row, n_shingles, node, label)`` per row of ``docs``; label is the component's smallest node."""
-    members, links = jaccard_links(docs, key, text, n, percent)
-    labels = connected_components(links, "a", "b").toDF("node", "label")
+    members, links, labels = _linked(docs, key, text, n, percent)
+    if labels is None:
+        labels = connected_components(links, "a", "b").toDF("node", "label")
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
