@@ -342,7 +342,7 @@ _VISITS = """i0 as (select *, strftime(ts, '%Y%m%d') date, (epoch_us(lead(ts) ov
     i1 as (select *, (d + lag(d) over w) / 2 gap, value - lag(value) over w dv from i0 where d > 0 window w as (partition by user_id, date order by ts, event_id)),
     v0 as (select user_id, date, event_type, count(*) n, sum(d) time_s, sum(value * d) / sum(d) m, sum(value * value * d) / sum(d) mm, sum(case when value <= 5 then d else 0 end) st, sum(case when value > 5 and value < 40 then d else 0 end) cr,
       sqrt(sum(case when abs(dv / gap) <= 1 then gap * (dv / gap) ** 2 end) / sum(case when abs(dv / gap) <= 1 then gap end)) rms from i1 group by all),
-    v as (select user_id, date, event_type, n, time_s, m speed_mean, sqrt(greatest(mm - m * m, 0)) / m speed_cv, st / time_s stop_share, cr / time_s crawl_share, rms acceleration_rms, case when n < 1 then 'few_intervals' when time_s < 60 then 'short_time' when m is null then 'no_speed' end reason from v0)"""
+    v as (select user_id, date, event_type, n, time_s, m speed_mean, sqrt(greatest(mm - m * m, 0)) / nullif(m, 0) speed_cv, st / time_s stop_share, cr / time_s crawl_share, rms acceleration_rms, case when n < 1 then 'few_intervals' when time_s < 60 then 'short_time' when coalesce(m, 0) = 0 then 'no_speed' end reason from v0)"""
 
 
 @query("a1_visits", f"with {_VISITS} select user_id, date, event_type, n, reason, round(time_s, 3) time_s, round(speed_mean, 6) speed_mean, round(speed_cv, 4) speed_cv, round(stop_share, 6) stop_share, round(crawl_share, 6) crawl_share, round(acceleration_rms, 6) acceleration_rms from v")
