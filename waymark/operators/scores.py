@@ -152,13 +152,21 @@ def screening(rows: DataFrame, trip: str, truth: str, score: str, share: float)
     return r.agg(k.alias("k"), (top("hit") / k).alias("precision"), F.try_divide(top("hit"), F.sum("hit")).alias("recall"), F.try_divide(top("hit") / k, F.avg("hit")).alias("lift"), F.try_divide(top("y"), F.sum("y")).alias("captured"))
 
 
+def _log_ratio(speed: Column, limit: Column) -> Column:
+    """Null for a speed that isn't a positive number."""
+    return F.when((speed > 0) & ~F.isnan(speed), F.log(speed / limit))
+
+
 def speed_posterior(train: DataFrame, rows: DataFrame, kind: str, speed: str, limit: str, grid: list[float], spread: float, key: str) -> DataFrame:
-    """The limit on a grid of the largest posterior: log of (class count + 1), and a Gaussian of log(speed / limit) around the training mean (M4)."""
+    """The limit on a grid of the largest posterior: log of (class count + 1), and a Gaussian of log(speed / limit) around the training mean (M4).
+
+    A speed that isn't positive has no logarithm: it is left out of the mean, and its row is judged by the class counts alone.
+    """
     prior = train.groupBy(kind, limit).agg(F.count("*").alias("_c"))
-    ratio = train.agg(F.avg(F.log(F.col(speed) / F.col(limit))).alias("_mu"))
+    ratio = train.agg(F.avg(_log_ratio(F.col(speed), F.col(limit))).alias("_mu"))
     each = rows.withColumn("candidate", F.explode(F.array(*map(F.lit, grid))))
     j = each.join(prior.withColumnRenamed(limit, "candidate"), [kind, "candidate"], "left").crossJoin(F.broadcast(ratio))  # one row
-    score = F.log(F.coalesce("_c", F.lit(0)) + 1.0) - F.pow(F.log(F.col(speed) / F.col("candidate")) - F.col("_mu"), 2) / (2 * spread * spread)
+    score = F.log(F.coalesce("_c", F.lit(0)) + 1.0) - F.coalesce(F.pow(_log_ratio(F.col(speed), F.col("candidate")) - F.col("_mu"), 2) / (2 * spread * spread), F.lit(0.0))
     return j.withColumn("_s", F.round(score, 9)).groupBy(key).agg(F.min(F.struct(-F.col("_s"), "candidate")).alias("b")).select(key, F.col("b.candidate").alias("limit"))
 
 
@@ -170,7 +178,7 @@ def speed_folds(rows: DataFrame, kind: str, speed: str, limit: str, group: str,
     """
     from waymark.functions.exprs import hash_modulo
 
-    ratio = F.log(F.col(speed) / F.col(limit))
+    ratio = _log_ratio(F.col(speed), F.col(limit))
     each = materialize(rows.withColumn("fold", hash_modulo(seed, F.col(group), folds).cast("int")), "folds")
     part = each.groupBy("fold", kind, limit).agg(F.count("*").alias("c"), F.sum(ratio).alias("s"), F.count(ratio).alias("n"))
     part = materialize(part, "counts")
@@ -182,8 +190,8 @@ def speed_folds(rows: DataFrame, kind: str, speed: str, limit: str, group: str,
     sums = part.agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"))
     means = part.groupBy("fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).crossJoin(sums)  # one row
     means = means.select("fold", F.try_divide(F.col("_s") - F.col("s"), F.col("_n") - F.col("n")).alias("_mu"))
-    j = each.withColumn("candidate", F.explode(F.array(*map(F.lit, grid)))).join(without, ["fold", kind, "candidate"], "left").join(means, "fold")
-    score = F.log(F.coalesce("_c", F.lit(0)) + 1.0) - F.pow(F.log(F.col(speed) / F.col("candidate")) - F.col("_mu"), 2) / (2 * spread * spread)
+    j = each.withColumn("candidate", F.explode(F.array(*map(F.lit, grid)))).join(without, ["fold", kind, "candidate"], "left").join(means, "fold", "left")
+    score = F.log(F.coalesce("_c", F.lit(0)) + 1.0) - F.coalesce(F.pow(_log_ratio(F.col(speed), F.col("candidate")) - F.col("_mu"), 2) / (2 * spread * spread), F.lit(0.0))
     best = j.withColumn("_s", F.round(score, 9)).groupBy(key, "fold", limit).agg(F.min_by("candidate", F.struct(-F.col("_s"), "candidate")).alias("found"))
     t, f = F.col(limit), F.col("found")
     agree = sum(((t <= cap) == (f <= cap)).cast("double") for cap in (60, 80, 120)) / 3

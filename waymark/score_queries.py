@@ -286,8 +286,8 @@ def _(spark, sf):
     return show(scores.screening(_lines(spark, sf), "l_orderkey", "l_extendedprice", "l_quantity", 0.1), "k", precision="precision", recall="recall", lift="lift", captured="captured")
 
 
-@query("m4_speed_posterior", """with t as (select event_type k, value v, [10.0::double, 30.0, 60.0, 120.0][user_id % 4 + 1] l from events where day(ts) <= 20), pr as (select k, l, count(*) c from t group by all), mu as (select avg(ln(v / l)) mu from t), r as (select event_id, event_type k, value v from events where day(ts) > 20),
-    s as (select event_id, g, round(ln(coalesce(c, 0) + 1) - (ln(v / g) - mu) ** 2 / (2 * 0.25), 9) s from r cross join mu, unnest([10.0::double, 30.0, 60.0, 120.0]) u(g) left join pr on pr.k = r.k and pr.l = g) select event_id, g as "limit" from s qualify row_number() over (partition by event_id order by s desc, g) = 1""")
+@query("m4_speed_posterior", """with t as (select event_type k, value v, [10.0::double, 30.0, 60.0, 120.0][user_id % 4 + 1] l from events where day(ts) <= 20), pr as (select k, l, count(*) c from t group by all), mu as (select avg(ln(v / l)) mu from t where v > 0), r as (select event_id, event_type k, value v from events where day(ts) > 20),
+    s as (select event_id, g, round(ln(coalesce(c, 0) + 1) - coalesce((case when v > 0 then ln(v / g) end - mu) ** 2 / (2 * 0.25), 0), 9) s from r cross join mu, unnest([10.0::double, 30.0, 60.0, 120.0]) u(g) left join pr on pr.k = r.k and pr.l = g) select event_id, g as "limit" from s qualify row_number() over (partition by event_id order by s desc, g) = 1""")
 def _(spark, sf):
     grid = [10.0, 30.0, 60.0, 120.0]
     e = events(spark, sf).withColumn("l", F.element_at(F.array(*map(F.lit, grid)), (F.col("user_id") % 4 + 1).cast("int")))
