@@ -112,8 +112,8 @@ for _h in _HEX:
 
 @query("m4_speed_folds", f"""with e as (select event_id, event_type k, value v, [10.0::double, 30.0, 60.0, 120.0][user_id % 4 + 1] l, sha256('fold|' || user_id) h from events),
     t as (select *, {_FOLD} as fold from e), f as (select distinct fold from t),
-    pr as (select f.fold, k, l, count(*) c from f join t on t.fold <> f.fold group by all), mu as (select f.fold, avg(ln(v / l)) mu from f join t on t.fold <> f.fold group by 1),
-    s as (select event_id, t.fold, t.l, g, round(ln(coalesce(c, 0) + 1) - (ln(v / g) - mu) ** 2 / (2 * 0.25), 9) s from t join mu using (fold) cross join unnest([10.0::double, 30.0, 60.0, 120.0]) u(g) left join pr on pr.fold = t.fold and pr.k = t.k and pr.l = g),
+    pr as (select f.fold, k, l, count(*) c from f join t on t.fold <> f.fold group by all), mu as (select f.fold, avg(ln(v / l)) mu from f join t on t.fold <> f.fold where v > 0 group by 1),
+    s as (select event_id, t.fold, t.l, g, round(ln(coalesce(c, 0) + 1) - coalesce((case when v > 0 then ln(v / g) end - mu) ** 2 / (2 * 0.25), 0), 9) s from t left join mu using (fold) cross join unnest([10.0::double, 30.0, 60.0, 120.0]) u(g) left join pr on pr.fold = t.fold and pr.k = t.k and pr.l = g),
     b as (select * from s qualify row_number() over (partition by event_id order by s desc, g) = 1)
     select cast(fold as int) fold, count(*) n, round(avg((l = g)::int), 6) exact, round(avg((abs(l - g) <= 10)::int), 6) within_10,
         round(avg((((l <= 60) = (g <= 60))::int + ((l <= 80) = (g <= 80))::int + ((l <= 120) = (g <= 120))::int) / 3), 6) compatible, round(avg(abs(l - g)), 6) mae from b group by grouping sets ((fold), ())""")
