@@ -74,7 +74,7 @@ def _(spark, sf):
     lines = _lines(spark, sf)
     c = lines.groupBy(F.col("l_suppkey").alias("link"), F.col("l_linenumber").alias("b")).agg(F.avg("l_discount").alias("v"))
     n = lines.select(F.col("l_suppkey").alias("link"), F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy(*_ROUTE.split(", "))).alias("neighbour")).where("link <> neighbour")
-    adj = n.unionByName(n.select(F.col("neighbour").alias("link"), F.col("link").alias("neighbour"))).distinct()
+    adj = n.select(F.explode(F.array(F.struct("link", "neighbour"), F.struct(F.col("neighbour").alias("link"), F.col("link").alias("neighbour")))).alias("p")).select("p.*")
     return show(context.neighbour_means(c, adj, "link", "b", "v"), "link", "b", "neighbours", neighbour_mean="neighbour_mean")
 
 
