@@ -48,6 +48,10 @@ def adjacency(edges: DataFrame, src: str, dst: str, edge: str) -> DataFrame:
     return a.join(b, "via").where("upstream <> downstream").select("upstream", "downstream").distinct()
 
 
+#: Grids of the nearest join; the finest is radius / 2^15.
+_LEVELS = 16
+
+
 def within_radius(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     """(id, target, distance) of planar points within the radius, by grid cells of its size and their 8 neighbours.
 
@@ -62,9 +66,27 @@ def within_radius(points: DataFrame, targets: DataFrame, radius: float) -> DataF
 
 
 def nearest(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
-    """The nearest target within the radius, ties by target (J16). An aggregate, so no point is sorted with its candidates."""
-    found = within_radius(points, targets, radius)
-    return found.groupBy("id").agg(F.min(F.struct("distance", "target")).alias("b")).select("id", "b.target", "b.distance")
+    """The nearest target within the radius, ties by target (J16). An aggregate, so no point is sorted with its candidates.
+
+    Points and targets of one place are one row. A place looks around at the finest of ``_LEVELS`` grids, each half as wide as the one before, where its own cell
+    holds a target: none nearer is beyond the next two cells. So dense targets are met in fine cells, and only places without one in their cell of the radius' size look around in that one.
+    """
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    side = lambda level: F.lit(float(radius)) / F.pow(F.lit(2.0), level)
+    cell = lambda c: F.floor(F.col(c) / side(F.col("level"))).cast("long")
+    at_levels = lambda df: df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1)))).withColumns({"cx": cell("x"), "cy": cell("y")})
+    places = points.where(known).select("x", "y").distinct()
+    spots = at_levels(targets.where(known).groupBy("x", "y").agg(F.min("id").alias("target")))
+    occupied = spots.select("level", "cx", "cy").distinct()
+    own = at_levels(places).join(occupied, ["level", "cx", "cy"], "left_semi").groupBy("x", "y").agg(F.max("level").alias("level"))
+    look = places.join(own, ["x", "y"], "left").na.fill(0, ["level"])
+    around = F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in range(-2, 3) for j in range(-2, 3)])
+    look = look.withColumn("c", F.explode(around)).select("x", "y", "level", "c.*")
+    t = spots.select("level", "cx", "cy", "target", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    d = F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2))
+    found = look.join(t, ["level", "cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius)
+    best = found.groupBy("x", "y").agg(F.min(F.struct("distance", "target")).alias("b"))
+    return points.select("id", "x", "y").join(best, ["x", "y"]).select("id", "b.target", "b.distance")
 
 
 def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
