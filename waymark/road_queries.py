@@ -102,8 +102,7 @@ _ROUTE = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_qua
     select l_orderkey, round(avg(i::int), 6) interpolated_share, round(1 - count(distinct l_suppkey) / count(*), 6) repeated_share, count(*) filter (turn) returns, round(sum(l_quantity) / max(d), 6) length_ratio from p group by 1""")
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("d"))
-    rows = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    s = traces.route_sequence(rows, "l_orderkey", _ROUTE.split(", "), "l_suppkey", "l_quantity", F.col("l_returnflag") == "N", F.col("d"))
+    s = traces.route_sequence(table(spark, sf, "lineitem"), "l_orderkey", _ROUTE.split(", "), "l_suppkey", "l_quantity", F.col("l_returnflag") == "N", o)
     return show(s, "l_orderkey", "returns", **{c: c for c in ("interpolated_share", "repeated_share", "length_ratio")})
 
 
