@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +19,40 @@ def session_gap(gaps: DataFrame, gap: str, usual: float, longer: float) -> DataF
 
 
 def trailing_means(rows: DataFrame, key: list[str], ts: str, value: str, minutes: list[int]) -> DataFrame:
-    """Per row and window: sum and count of the key's earlier values in [t - w, t), and their mean."""
-    out = rows.withColumn("_t", micros(F.col(ts)))
+    """Per row and window: sum and count of the key's earlier values in [t - w, t), and their mean.
+
+    Time is cut into sixtieths of a window. A window is then the end of one of them, 59 whole ones and the beginning of another, and each end and
+    beginning is a running sum within its sixtieth: rows are added up once each way, whatever a window holds, and never subtracted, so that NaN
+    and infinite values stay in their windows. Whole sixtieths are one row each. A row without a time has no earlier values.
+    """
+    each = rows.withColumn("_t", micros(F.col(ts)))
+    at = each.where("_t is not null").groupBy(*key, "_t").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    found = None
+    for m in minutes:
+        width, size = m * 60_000_000, m * 1_000_000
+        begin = lambda c: c - F.pmod(c, F.lit(size))  # noqa: B023, E731
+        none = lambda *names: [F.lit(None).cast("double" if n in ("_s", "_ms") else "long").alias(n) for n in names]
+        here = at.select(*key, begin(F.col("_t")).alias("_b"), F.col("_t").alias("_at"), "_t", F.lit(True).alias("_here"), "_s", "_n", *none("_ms", "_mn"))
+        ago = at.select(*key, begin(F.col("_t") - width).alias("_b"), (F.col("_t") - width).alias("_at"), "_t", F.lit(False).alias("_here"), *none("_s", "_n", "_ms", "_mn"))
+        w = Window.partitionBy(*key).orderBy("_b").rangeBetween(size - width, -size)
+        whole = at.groupBy(*key, begin(F.col("_t")).alias("_b")).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))  # bounded by the span of time, not by rows
+        whole = whole.select(*key, "_b", F.col("_b").alias("_at"), *none("_t"), F.lit(None).cast("boolean").alias("_here"), *none("_s", "_n"), F.sum("_s").over(w).alias("_ms"), F.sum("_n").over(w).alias("_mn"))
+        part = Window.partitionBy(*key, "_b")
+        before = part.orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+        since = part.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+        sums = here.unionByName(ago).unionByName(whole).select(*key, "_t", *[
+            x for c in "sn" for x in (F.sum(f"_{c}").over(before).alias(f"_h{c}"), F.sum(f"_{c}").over(since).alias(f"_a{c}"), F.sum(f"_m{c}").over(part).alias(f"_m{c}"))], "_here").where("_t is not null")
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        sums = sums.select(*key, "_t", *[F.when(F.col("_here"), zero(F.col(f"_m{c}")) + zero(F.col(f"_h{c}"))).otherwise(zero(F.col(f"_a{c}"))).alias(f"{name}_{m}") for c, name in (("s", "sum"), ("n", "n"))])
+        found = sums if found is None else found.unionByName(sums, allowMissingColumns=True)
+    names = [f"{n}_{m}" for m in minutes for n in ("sum", "n")]
+    found = found.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(key)], F.col("_t").alias("_at")).agg(*[F.sum(c).alias(c) for c in names])
+    alike = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(key)]
+    out = each.join(found, reduce(lambda a, b: a & b, alike, F.col("_t") == F.col("_at")), "left")
+    out = out.select(*rows.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
     for m in minutes:
-        w = Window.partitionBy(*key).orderBy("_t").rangeBetween(-m * 60_000_000, -1)
-        out = out.withColumn(f"sum_{m}", F.coalesce(F.sum(value).over(w), F.lit(0.0))).withColumn(f"n_{m}", F.count(value).over(w))
         out = out.withColumn(f"mean_{m}", F.try_divide(F.col(f"sum_{m}"), F.col(f"n_{m}")))
-    return out.drop("_t")
+    return out
 
 
 def entry_times(tokens: DataFrame, pace: DataFrame, trip: str, sequence: str, start: str, length: str, link: str, width_s: int, overall: float, spread: str | None = None,
