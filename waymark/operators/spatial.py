@@ -66,6 +66,10 @@ def near_clusters(points: DataFrame, radius: float) -> DataFrame:
     return out.unionByName(lost.select("id", F.col("id").alias("cluster"), F.lit(1).cast("long").alias("members"), *[F.lit(None).cast("double").alias(c) for c in ("cx", "cy")]))
 
 
+#: Places of a cell that one share of it holds, about.
+_SHARE = 256
+
+
 def _turns(lon: Column) -> Column:
     """Longitude as degrees from -180 on, in [0, 360)."""
     return F.pmod(lon + 180, F.lit(360.0))
@@ -76,7 +80,8 @@ def sphere_counts(points: DataFrame, targets: DataFrame, categories: list[str],
 
     Bands of latitude as high as the largest radius hold cells at least as wide wherever they are, so few at the poles; targets are
     copied to the cells that their circle meets, across 180 degrees and over a pole too, points to none, and one probe
-    serves all radii. Columns: ``{category}_{radius}``, ``density``, ``activity`` (sum of log1p at ``density_at`` over ``active``) and ``activity_rank`` (average rank / points).
+    serves all radii. Points and targets of one place are one row, so copies add no pairs, and the places of a crowded cell are dealt out in shares, each of which
+    meets the cell's targets in a task of its own. Different places within reach of each other are compared pair by pair. Columns: ``{category}_{radius}``, ``density``, ``activity`` (sum of log1p at ``density_at`` over ``active``) and ``activity_rank`` (average rank / points).
     """
     reach = float(max(radii))
     height = math.degrees(reach / EARTH_M) * 1.0001
@@ -88,20 +93,41 @@ def sphere_counts(points: DataFrame, targets: DataFrame, categories: list[str],
         edge = F.greatest(F.abs(b * height - 90), F.abs((b + 1) * height - 90))
         return F.greatest(F.lit(1), F.floor(F.cos(F.radians(F.least(edge, F.lit(90.0)))) * (2 * math.pi * EARTH_M / reach))).cast("long")
 
-    p = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("id", "lon", "lat", band(F.col("lat")).alias("band"))
+    known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    p = points.where(known).select("lon", "lat").distinct().withColumn("band", band(F.col("lat")))
     p = p.withColumn("cell", F.floor(_turns(F.col("lon")) / 360 * cells(F.col("band"))).cast("long"))
-    t = targets.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).withColumn("band", F.explode(F.array(*[band(F.col("lat")) + k for k in (-1, 0, 1)]))).where(f"band between 0 and {bands - 1}")
+    crowds = p.groupBy("band", "cell").agg(F.ceil(F.count("*") / _SHARE).cast("int").alias("shares"))
+    p = p.join(crowds, ["band", "cell"]).withColumn("share", F.pmod(F.xxhash64("lon", "lat"), F.col("shares")).cast("int"))
+    t = targets.where(known).groupBy("lon", "lat").agg(*[F.count_if(F.col("category") == c).alias(f"n_{c}") for c in categories])
+    t = t.withColumn("band", F.explode(F.array(*[band(F.col("lat")) + k for k in (-1, 0, 1)]))).where(f"band between 0 and {bands - 1}")
     cap = reach / EARTH_M * 1.0001
     wide = F.sin(F.lit(cap)) / F.cos(F.radians("lat"))
     half = F.when(F.radians(F.abs("lat")) + cap >= math.pi / 2, 180.0).otherwise(F.degrees(F.asin(F.least(wide, F.lit(1.0)))) + 1e-9)
     n = cells(F.col("band"))
     low, high = [F.floor((_turns(F.col("lon")) + s * half) / 360 * n).cast("long") for s in (-1, 1)]
     t = t.withColumn("cell", F.explode(F.array_distinct(F.transform(F.sequence(low, F.least(high, low + n)), lambda c: F.pmod(c, n)))))
-    t = t.select("band", "cell", "category", F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))
-    near = p.join(t, ["band", "cell"]).withColumn("d", haversine_m(F.col("lon"), F.col("lat"), F.col("tlon"), F.col("tlat"))).where(F.col("d") <= reach)
-    counts = near.groupBy("id").agg(*[F.count_if((F.col("category") == c) & (F.col("d") <= r)).alias(f"{c}_{r}") for c in categories for r in radii])
+    t = t.join(crowds, ["band", "cell"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    t = t.select("band", "cell", "share", F.col("lon").alias("tlon"), F.col("lat").alias("tlat"), *[f"n_{c}" for c in categories])
+    axes = lambda lon, lat: [EARTH_M * x for x in (F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat)))]
+    p = p.withColumns(dict(zip(("x", "y", "z"), axes("lon", "lat"), strict=True)))
+    t = t.withColumns(dict(zip(("tx", "ty", "tz"), axes("tlon", "tlat"), strict=True)))
+    # the straight line decides but for a tenth of a millimetre around a radius, where the arc does
+    line = sum(((F.col(f"t{c}") - F.col(c)) * (F.col(f"t{c}") - F.col(c)) for c in "yz"), (F.col("tx") - F.col("x")) * (F.col("tx") - F.col("x")))
+    chord = lambda r: (2 * EARTH_M * math.sin(r / (2 * EARTH_M))) ** 2
+    alike = (F.col("band") == F.col("_band")) & (F.col("cell") == F.col("_cell")) & (F.col("share") == F.col("_share"))
+    # few places have many pairs: as many tasks as a shuffle has, which are not merged for being small
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p, t = (x.repartition(parts, "band", "cell", "share") for x in (p, t))
+    t = t.toDF("_band", "_cell", "_share", *t.columns[3:])
+    near = p.join(t, alike & (line <= chord(reach + 1e-4))).withColumn("line", line)
+    arc = haversine_m(F.col("lon"), F.col("lat"), F.col("tlon"), F.col("tlat"))
+    beyond = lambda d, far: sum(((d > far(r)).cast("int") for r in radii), F.lit(0))
+    ring = F.when(beyond(F.col("line"), lambda r: chord(r - 1e-4)) == beyond(F.col("line"), lambda r: chord(r + 1e-4)), beyond(F.col("line"), chord)).otherwise(beyond(arc, float))
+    rings = near.groupBy("lon", "lat", ring.alias("ring")).agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in categories])
+    within = {r: len(radii) - sum(x >= r for x in radii) for r in radii}  # rings whose arc is at most r
+    counts = rings.groupBy("lon", "lat").agg(*[F.sum(F.when(F.col("ring") <= within[r], F.col(f"n_{c}")).otherwise(0)).alias(f"{c}_{r}") for c in categories for r in radii])
     names = [f"{c}_{r}" for c in categories for r in radii]
-    out = points.select("id").join(counts, "id", "left").na.fill(0, names)
+    out = points.select("id", "lon", "lat").join(counts, ["lon", "lat"], "left").na.fill(0, names).select("id", *names)
     total = sum((F.col(f"{c}_{density_at}") for c in categories[1:]), F.col(f"{categories[0]}_{density_at}"))
     activity = sum((F.log1p(f"{c}_{density_at}") for c in active[1:]), F.log1p(f"{active[0]}_{density_at}"))
     out = materialize(out.withColumns({"density": total / (math.pi * density_at**2 / 1e6), "activity": F.round(activity, 12)}), "exposure")
