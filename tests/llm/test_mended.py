@@ -125,3 +125,17 @@ def test_jaccard_shared_shingles_are_counted_over_slices(spark):
         nodes = spark.createDataFrame(rows, "node long, key long").join(docs.select("key", F.xxhash64("text").alias("row")), "key").select("node", "key", "row")
         got = {r["node"]: r["shared"] for r in jaccard._possible(docs, nodes, 5).collect()}
         assert got == {k: n for k, n in want.items() if n}
+
+
+def test_idle_workers_forget_encoders(monkeypatch):
+    """Workers outlive the step: what an encoder remembers (some 300 MB a worker) stayed for all later steps."""
+    monkeypatch.setattr(records, "IDLE_S", 0.5, raising=False)
+    records._ENCODERS.clear()
+    encode = records.byte_bpe(vocabulary("byte_bpe_50k.json"))
+    before = encode(["a word and a word", ""])
+    assert len(records._ENCODERS) == 1
+    end = time.monotonic() + 10
+    while records._ENCODERS and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not records._ENCODERS
+    assert encode(["a word and a word", ""]) == before

@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import re
 import struct
+import threading
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -42,6 +44,8 @@ MASK = 0xA282EAD8
 MEMO = 3_000_000
 #: Bytes of text encoded at once.
 SLICE = 1_500_000
+#: Seconds without work after which a worker gives its encoders' memory back.
+IDLE_S = 3.0
 _NULL = -(2**63)
 
 
@@ -377,17 +381,36 @@ class PieceEncoder:
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
+_LAST_USED = [0.0]
+
+
+def _forget_when_idle() -> None:
+    """Workers outlive the step, and the next steps' tasks find what it remembered as memory in use."""
+    while (left := _LAST_USED[0] + IDLE_S - time.monotonic()) > 0:
+        time.sleep(left)
+    _ENCODERS.clear()
+
+
+def _encoder(path: str, dtype: type) -> PieceEncoder:
+    _LAST_USED[0] = time.monotonic()
+    found = _ENCODERS.get((path, dtype))
+    if found is None:
+        first, found = not _ENCODERS, PieceEncoder(path, dtype)
+        _ENCODERS[path, dtype] = found
+        if first:
+            threading.Thread(target=_forget_when_idle, daemon=True).start()
+    return found
 
 
 def byte_bpe(path: str, vocabulary: int = 50_257, end: int = 0) -> Callable[[list[str]], list[bytes]]:
-    """An encoder of texts into id bytes with ``end`` appended, kept per worker process."""
+    """An encoder of texts into id bytes with ``end`` appended, kept per worker process until it is idle."""
     dtype = np.uint16 if vocabulary <= 65_536 else np.uint32
 
     def encode(texts: list[str]) -> list[bytes]:
-        if (path, dtype) not in _ENCODERS:
-            _ENCODERS[path, dtype] = PieceEncoder(path, dtype)
         last = np.array([end], dtype).tobytes()
-        return [b + last for b in _ENCODERS[path, dtype].encode(texts)]
+        out = [b + last for b in _encoder(path, dtype).encode(texts)]
+        _LAST_USED[0] = time.monotonic()
+        return out
 
     encode.width = np.dtype(dtype).itemsize
     return encode
@@ -431,6 +454,8 @@ def write_records(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], f
                     n_tokens += len(ids) // width
         if out is None:
             return
+        del batch, part
+        pa.default_memory_pool().release_unused()  # Arrow gives back its own thread's memory only
         out.close()
         with fs.open_output_stream(f"{name}.idx") as f:
             f.write(np.array(index, "<i8").tobytes())
