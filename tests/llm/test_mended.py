@@ -14,6 +14,7 @@ from waymark.llm import decontaminate, jaccard, records, secrets, urls
 from waymark.llm.em import fit_votes
 from waymark.llm.hashing import range_keys, word_hashes
 from waymark.llm.queries import vocabulary
+from waymark.plans.scratch import materialize
 
 
 def twins(doublings):
@@ -139,3 +140,16 @@ def test_idle_workers_forget_encoders(monkeypatch):
         time.sleep(0.1)
     assert not records._ENCODERS
     assert encode(["a word and a word", ""]) == before
+
+
+def test_workers_get_as_many_rows_as_are_worked_on(spark):
+    """Ten times as many texts lay in memory at once; the setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    made = materialize(spark.range(5000, numPartitions=1).mapInArrow(sizes, "n long"))
+    assert [r.n for r in made.collect()] == [1000] * 5 and spark.conf.get(name) == before
