@@ -37,6 +37,7 @@ columns are never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,8 @@ FILTER = 1 << 26
 CROWD, SPREAD = 4, 256
 #: Bytes kept of a shingle's hash in verification.
 KEPT = 6
+#: Edges that a task joins into stars at once.
+HELD = 500_000
 _U = np.uint64
 _SMALL = 16
 
@@ -286,10 +289,9 @@ def _within_bits(pairs: DataFrame, nodes: DataFrame, g: float) -> DataFrame:
             keep = [bool(len(near(np.array([x, y]), [p, q], g))) for x, y, p, q in zip(na, nb, ba, bb, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    n = nodes.select("node", "n")
-    sized = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").where(F.least("na", "nb") >= g * F.greatest("na", "nb") - 1e-9)
-    bits = nodes.select("node", "bits")
-    return (sized.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+    of = nodes.select("node", "n", "bits")
+    return (pairs.join(of.toDF("a", "na", "bits_a"), "a").join(of.toDF("b", "nb", "bits_b"), "b")
+            .where(F.least("na", "nb") >= g * F.greatest("na", "nb") - 1e-9)
             .select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long"))
 
 
@@ -388,12 +390,12 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     within what is already one component need not be listed. ``percent`` must be above 50: linked
     sets then share two shingles at least, and lie in one band or two next to each other.
     """
-    members, links, _ = _linked(docs, key, text, n, percent)
+    members, links, _, _ = _linked(docs, key, text, n, percent)
     return members, links
 
 
-def _linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """``jaccard_links``, and the components ``(node, label)`` of the links where no link came after these were found."""
+def _linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """``jaccard_links``, and the ``_joined`` of all links but the last ones, and these if there are any."""
     if not 50 < percent <= 100:
         raise ValueError("the signatures' guarantee holds for a similarity above 50 and up to 100 percent")
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -431,26 +433,72 @@ def _linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple
     stars = large.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     hot = not stars.isEmpty()
     pairs = met.where("grp is null").groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(
-        met.where("grp is null").groupBy("a").agg(F.min("b").alias("b"))).distinct()
+        met.where("grp is null").groupBy("a").agg(F.min("b").alias("b")))
     if hot:
-        pairs = pairs.union(_within_bits(stars, nodes, g)).distinct()
-    pairs = materialize(pairs, "pairs")
+        pairs = pairs.union(_within_bits(stars, nodes, g))
+    pairs = materialize(pairs.distinct(), "pairs")
     sets = materialize(_packed_sets(docs, _where(nodes, pairs), n), "sets")
     links = materialize(_verified(pairs, sets, percent), "links")
 
-    labels = connected_components(links, "a", "b").toDF("node", "label")
+    labels = _joined(links)
     alive = _open(met.where("grp is not null").select(F.col("grp").alias("sig"), F.col("a").alias("node")), labels)
     again = _met(alive.withColumnRenamed("sig", "grp").join(nodes.select("node", "n", "bits"), "node"), g, True)
     again = materialize(again.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "again")
-    if not again.isEmpty():
-        links = materialize(links.unionByName(_verified(again, sets, percent)), "links")
-        labels = connected_components(links, "a", "b").toDF("node", "label")
-    for table in (met, sets, again):
+    late, spare = [] if again.isEmpty() else [_verified(again, sets, percent)], [met, sets, again]
+    open_ = _open_parts(large.where("node <> low").select(F.col("grp").alias("sig"), "node"), labels) if hot else None
+    if hot:  # the largest component of a large bucket sends one node to meet the members of the others
+        ahead = (open_.where(F.col("lead.label") != F.col("label"))
+                 .select(F.least("node", "lead.top.node").alias("a"), F.greatest("node", "lead.top.node").alias("b")).distinct()
+                 .join(pairs, ["a", "b"], "left_anti"))
+        ahead = materialize(_within_bits(ahead, nodes, g), "pairs")
+        if not ahead.isEmpty():
+            others = materialize(_packed_sets(docs, _where(nodes, ahead), n), "sets")
+            late.append(_verified(ahead, others, percent))
+            spare += [others, ahead]
+    if late:  # links of small and of large buckets are joined at once
+        more = materialize(reduce(DataFrame.unionByName, late).distinct(), "links")
+        links = links.unionByName(more)
+        labels = _joined(labels.toDF("a", "b").unionByName(more))
+        if hot:
+            spare.append(open_)
+            open_ = _open_parts(open_.select("sig", "node"), labels)
+    for table in spare:
         release(table)
-    if hot:
-        links, labels = _large(docs, nodes, large, pairs, links, labels, n, percent)
+    found = None if not hot or open_.isEmpty() else _large(docs, nodes, open_, labels, n, percent)
     release(groups)
-    return members, links, labels
+    return members, links if found is None else links.unionByName(found), labels, found
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """``(node, label)``: components of the edges (a, b), as a written table; the smallest node of a component, which is its label, has no row.
+
+    Tasks join the edges they read into stars, up to HELD at once, so that fewer edges and shorter ways are left to the rounds.
+    """
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = [np.concatenate([batch.column(c).to_numpy() for batch in held]) for c in ("a", "b")]
+        node, which = np.unique(np.concatenate(ends), return_inverse=True)
+        low, (x, y) = np.arange(len(node)), which.reshape(2, -1)
+        while (low[x] != low[y]).any():
+            np.minimum.at(low, np.maximum(low[x], low[y]), np.minimum(low[x], low[y]))
+            while (low != low[low]).any():
+                low = low[low]
+        own = low != np.arange(len(node))
+        return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[low[own]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= HELD:
+                yield stars(held)
+                held, rows = [], 0
+        if held:
+            yield stars(held)
+
+    return connected_components(edges.select("a", "b").mapInArrow(run, "a long, b long"), "a", "b", smallest=False).toDF("node", "label")
 
 
 def _where(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -458,46 +506,26 @@ def _where(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("node", "key", "row").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
 
 
-def _large(docs: DataFrame, nodes: DataFrame, large: DataFrame, checked: DataFrame, links: DataFrame, labels: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """``links`` and those within buckets of more than SMALL nodes, whose pairs with the bucket's smallest node are settled; ``labels`` if they still hold."""
+def _large(docs: DataFrame, nodes: DataFrame, open_: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """The links still missing within buckets of more than SMALL nodes (as by ``_open_parts``), whose pairs with the bucket's smallest node and its lead are settled."""
     g = percent / 100
-    size = nodes.select("node", "n")
-    buckets = large.where("node <> low").select(F.col("grp").alias("sig"), "node")
-    open_ = _open_parts(buckets, labels)
-    if open_.isEmpty():
-        return links, labels
-    # the bucket's largest component sends one node to meet the members of the others
-    lead = (open_.groupBy("sig", "label").agg(F.count("*").alias("many"), F.max(F.struct(F.xxhash64("node").alias("draw"), "node")).alias("top"))
-            .groupBy("sig").agg(F.max(F.struct("many", "top", "label")).alias("lead")))
-    pairs = (_beside(open_, lead, "sig").where(F.col("lead.label") != F.col("label"))
-             .select(F.least("node", "lead.top.node").alias("a"), F.greatest("node", "lead.top.node").alias("b")).distinct()
-             .join(checked, ["a", "b"], "left_anti"))
-    pairs = materialize(_within_bits(pairs, nodes, g), "pairs")
-    if not pairs.isEmpty():
-        sets = materialize(_packed_sets(docs, _where(nodes, pairs), n), "sets")
-        links = materialize(links.unionByName(_verified(pairs, sets, percent)), "links")
-        release(sets)
-        release(open_)
-        labels = connected_components(links, "a", "b").toDF("node", "label")
-        open_ = _open_parts(buckets, labels)
-
     # A partner of size m needs g / (1 + g) (n + m) common shingles: at least g n, and at least this with the bucket's smallest m.
     need = g / (1 + g)
     shared = _possible(docs, nodes.select("node", "key", "row").join(open_.select("node").distinct(), "node"), n)
-    able = materialize(open_.join(size, "node").join(shared, "node").where(F.col("shared") >= g * F.col("n") - 1e-6), "able")
+    able = materialize(open_.select("sig", "node", "label").join(nodes.select("node", "n"), "node").join(shared, "node")
+                       .where(F.col("shared") >= g * F.col("n") - 1e-9), "able")
     release(open_)
     least = able.groupBy("sig").agg(F.min("n").alias("n0"))
     alive = _mixed(_beside(able, least, "sig").where(F.col("shared") >= need * (F.col("n") + F.col("n0")) - 1e-6).select("sig", "node", "label"))
     release(able)
-    if not alive.isEmpty():
-        found = _blockwise(docs, nodes, alive, n, percent)
-        if not found.isEmpty():
-            return materialize(links.unionByName(found), "links"), None
-    return links, labels
+    if alive.isEmpty():
+        return None
+    found = _blockwise(docs, nodes, alive, n, percent)
+    return None if found.isEmpty() else found
 
 
 def _blockwise(docs: DataFrame, nodes: DataFrame, alive: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between different labels among ``alive`` (sig, node, label).
+    """Links between different labels among ``alive`` (as by ``_mixed``).
 
     Nodes that share buckets, directly or through others, are dealt into blocks of BLOCK. A
     task takes two blocks of a group and gets all its intersection sizes from one sparse-to-dense product.
@@ -527,9 +555,9 @@ def _blockwise(docs: DataFrame, nodes: DataFrame, alive: DataFrame, n: int, perc
         i, j = np.nonzero(np.triu(linked, 1))
         return pa.table({"a": pa.array(np.minimum(node[i], node[j]), pa.int64()), "b": pa.array(np.maximum(node[i], node[j]), pa.int64())})
 
-    least = alive.groupBy("sig").agg(F.min("node").alias("dst"))
-    groups = connected_components(_beside(alive, least, "sig").select(F.col("node").alias("src"), "dst")).toDF("node", "group")
-    seated = materialize(alive.select("node", "label").distinct().join(groups, "node"), "seated")
+    groups = _joined(alive.select(F.col("node").alias("a"), F.col("first").alias("b"))).toDF("node", "group")
+    seated = alive.select("node", "label").distinct().join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    seated = materialize(seated, "seated")
     dealt = numbered(seated, ["group"], ["label", "node"]).select("node", "label", "group", F.expr(f"pos div {BLOCK}").alias("block"))
     dealt = materialize(dealt, "dealt")
     blocks = dealt.groupBy("group", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
@@ -560,9 +588,11 @@ def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows ``(sig, node, label)`` of buckets with several labels, as a written table."""
+    """The rows ``(sig, node, label)`` of buckets with several labels, with the bucket's smallest node as ``first`` and a node of its largest component in ``lead``, as a written table."""
     rows = materialize(rows, "labelled")
-    of = rows.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("sig")
+    of = (rows.groupBy("sig", "label").agg(F.count("*").alias("many"), F.max(F.struct(F.xxhash64("node").alias("draw"), "node")).alias("top"), F.min("node").alias("first"))
+          .groupBy("sig").agg(F.count("*").alias("labels"), F.min("first").alias("first"), F.max(F.struct("many", "top", "label")).alias("lead"))
+          .where("labels > 1").drop("labels"))
     out = materialize(_beside(rows, of, "sig"), "open")
     release(rows)
     return out
@@ -570,9 +600,9 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 def _placed(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     """``(key, row, n_shingles, node, label)`` per row of ``docs``; label is the component's smallest node."""
-    members, links, labels = _linked(docs, key, text, n, percent)
-    if labels is None:
-        labels = connected_components(links, "a", "b").toDF("node", "label")
+    members, _, labels, found = _linked(docs, key, text, n, percent)
+    if found is not None:
+        labels = _joined(labels.toDF("a", "b").unionByName(found))
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
